@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, secrets, url_filter
+from . import bpe, embeddings, licenses, minhash, pii, secrets, url_filter
 from .shared import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -55,11 +55,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its class of near-duplicates, its verified links to other texts, and if it is the one kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: token count, digests of the ids and of the decoded text."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: links at cosine 0.9, component and if it is the one kept."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: host, path, the longest rule that fits and its verdict; allow where none fits."""
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
@@ -80,6 +90,6 @@ b AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.page_id = b.page_id AND k = 1"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op6_bpe, op9_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op6_bpe, op8_embedding_dedup, op9_url_filter)
 }
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL}
