@@ -154,7 +154,8 @@ def encode_digests(docs: DataFrame, description: str, key: str = "doc_id", text:
 
 def _whole(parts: list[tuple[int, str, str]]) -> dict:
     """parts: for each chunk of a text the number of ids, the ids and their names."""
-    return {"ids": [int(i) for p in parts if p[0] for i in p[1].split(" ")], "decoded": " ".join([p[2] for p in parts if p[0]])}
+    ids = " ".join([p[1] for p in parts if p[0]])
+    return {"ids": np.array(ids.split(" ") if ids else [], dtype=np.int32), "decoded": " ".join([p[2] for p in parts if p[0]])}
 
 
 def _digests(parts: list[tuple[int, str, str]]) -> dict:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, licenses, minhash, pii, secrets, url_filter
+from . import bpe, decontaminate, embeddings, licenses, minhash, pii, quality, secrets, toxicity, url_filter
 from .shared import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -60,11 +60,21 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fold, quality score and decision."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: token count, digests of the ids and of the decoded text."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fold, toxicity score and decision."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vector: links at cosine 0.9, component and if it is the one kept."""
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -76,6 +86,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, with the best passage's figures."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -90,6 +105,6 @@ b AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.page_id = b.page_id AND k = 1"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op6_bpe, op8_embedding_dedup, op9_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op5_quality, op6_bpe, op7_toxicity, op8_embedding_dedup, op9_url_filter, op10_decontamination)
 }
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL}

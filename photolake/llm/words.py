@@ -108,12 +108,12 @@ def shingles(hashed: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray
     full = sizes * ~short
     places = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full - at[:-1], full)
     out[np.repeat(~short, sizes)] = rolled[places]
-    for row in np.flatnonzero(short):
-        value = np.uint64(counts[row])
-        with np.errstate(over="ignore"):
-            for x in hashed[at[row] : at[row + 1]]:
-                value = value * np.uint64(0xA24BAED4963EE407) + x
-        out[to[row]] = value
+    for size in range(1, n):
+        rows = np.flatnonzero(counts == size)
+        value = np.full(len(rows), size, dtype=np.uint64)
+        for k in range(size):
+            value = value * np.uint64(0xA24BAED4963EE407) + hashed[at[rows] + k]
+        out[to[rows]] = value
     return mix(out, 7), to
 
 
