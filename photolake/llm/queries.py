@@ -56,7 +56,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its class of near-duplicates, its verified links to other texts, and if it is the one kept."""
+    """Per document: its class of near-duplicates, and if it is the one kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
