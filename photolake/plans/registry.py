@@ -1,4 +1,28 @@
 """All queries of the engine by name, and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from photolake.fixtures import oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a (spark, sf_dir) function under its name, with the SQL that states the same rows."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = oracle(sql)
+        return f
+
+    return add
+
+
+from photolake.plans import catalogue, pixels, streams  # noqa: E402, F401  they register their queries
