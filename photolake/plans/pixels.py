@@ -162,7 +162,7 @@ def meter_average(spark, d):
     return out.select("image_id", shown("g", 6).alias("gain"), shown(F.log2("g"), 4).alias("ev"))
 
 
-_WEIGHT = "exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / 18)"
+_WEIGHT = "exp(-((y - 3.5e0) * (y - 3.5e0) + (x - 3.5e0) * (x - 3.5e0)) / 18e0)"
 
 
 @query(f"SELECT image_id, round(1.23e-8 + 0.18 / (sum({_LUMA} * {_WEIGHT}) / sum({_WEIGHT})), 6) AS gain FROM fx_rgb GROUP BY 1")
