@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded chunks kept by a worker between batches; the table is emptied when it is full.
-MAX_KEPT_CHUNKS = 300_000
+MAX_KEPT_CHUNKS = 100_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -192,7 +192,7 @@ def _run(docs: DataFrame, description: str, key: str, text: str, columns: str, s
             start = 0
             sizes = rows.text_.str.len().cumsum().to_numpy()
             while start < len(rows):
-                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + (4 << 20), "right")))
+                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + (1 << 20), "right")))
                 part = rows.iloc[start:end]
                 start = end
                 texts = [bpe.chunks(t) for t in part.text_]
