@@ -3,7 +3,7 @@
 import numpy as np
 
 from photolake.functions import color
-from photolake.operators import catalogue, graph, pixels
+from photolake.operators import catalogue, develop, graph, pixels
 
 NODE = "fs_node_id long, name_display string, type_mime string, uri_storage string, time_modified long, time_created long, time_deleted long"
 EDGE = "id long, fs_node_id_child long, fs_node_id_parent long, time_deleted long"
@@ -77,3 +77,19 @@ def test_tiles_round_trip_and_tile_size_does_not_matter(spark):
 
 def test_unset_stages_are_identities():
     assert color.exposure("v", None) == "v" and color.boost(("r", "g", "b"), None, None) == ("r", "g", "b")
+
+
+def test_gamuts_keep_white():
+    for primaries in develop.GAMUTS.values():
+        assert np.allclose(develop.gamut_matrix(primaries) @ np.ones(3), 1)
+
+
+def test_develop_steps_keep_flat_fields_and_unset_stages(spark):
+    from pyspark.sql import functions as F
+
+    _, px = frame(spark, value=0.25)
+    cfa = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 1), (1, 0, 2, 1), (1, 1, 3, 2)], "ry int, rx int, plane int, colour int")
+    assert all(abs(r.blurred_v - 0.25) < 1e-12 for r in develop.gaussian_blur(px, "v", 1.0).collect())
+    assert all(abs(r.v - 0.25) < 1e-12 for r in develop.resample(px, F.col("y") * 1.3 - 2, F.col("x") * 0.7, F.lit(12), F.lit(10)).collect())
+    assert all(abs(v - 0.25) < 1e-12 for r in develop.demosaic_weighted(px, cfa, 2).collect() for v in (r.r, r.g, r.b))
+    assert {r.v for r in develop.dehaze(px, cfa, None).collect()} == {0.25}
