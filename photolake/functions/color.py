@@ -5,6 +5,8 @@ A parameter that is None switches its stage off: the expression is the column it
 
 from __future__ import annotations
 
+import numpy as np
+
 # Published values: luma weights of ProPhoto and Rec. 709, Oklab matrices (Ottosson), Krystek and CIE daylight, McCamy.
 PROPHOTO_LUMA = (0.2880402, 0.7118741, 0.0000857)
 REC709_LUMA = (0.2126, 0.7152, 0.0722)
@@ -87,3 +89,49 @@ def xy_to_kelvin(x: str, y: str) -> str:
     n = f"(({x} - 0.3320) / (0.1858 - {y}))"
     k = f"(449.0 * {n} * {n} * {n} + 3525.0 * {n} * {n} + 6823.3 * {n} + 5520.33)"
     return f"CASE WHEN {y} > 0 AND {k} > 0 THEN {k} ELSE 0 END"
+
+
+def _number(k: float) -> str:
+    return f"CAST({float(k)!r} AS DOUBLE)"
+
+
+def _rows(m: np.ndarray) -> list[tuple[float, ...]]:
+    return [tuple(row) for row in m.tolist()]
+
+
+def xyz_from_oklab(names: tuple[str, str, str]) -> tuple[str, ...]:
+    """The inverse of ``oklab``."""
+    roots = [dot(w, names) for w in _rows(np.linalg.inv(np.array(OKLAB_LAB)))]
+    cubes = tuple(f"({e} * {e} * {e})" for e in roots)
+    return tuple(dot(w, cubes) for w in _rows(np.linalg.inv(np.array(OKLAB_LMS))))
+
+
+def white_xyz(x: str, y: str) -> tuple[str, str, str]:
+    return f"({x} / {y})", "CAST(1 AS DOUBLE)", f"((1 - {x} - {y}) / {y})"
+
+
+def multipliers(neutral: tuple[str, str, str]) -> tuple[str, str, str]:
+    """White-balance gains of a camera neutral, green at 1: reciprocals from a floor on, within 1/16 and 16; ones if any part is not finite."""
+    low = f"greatest(greatest({', '.join(neutral)}, {_number(0)}) * {_number(1e-3)}, {_number(1e-6)})"
+    finite = " AND ".join(f"abs({n}) < {_number(1e308)}" for n in neutral)
+    gain = lambda n: f"CASE WHEN {finite} THEN least(greatest(greatest({neutral[1]}, {low}) / greatest({n}, {low}), {_number(1 / 16)}), {_number(16)}) ELSE {_number(1)} END"
+    return gain(neutral[0]), _number(1), gain(neutral[2])
+
+
+def inverse3(names: list[str]) -> list[str]:
+    """The inverse of a 3×3 matrix whose nine entries are named row by row; null where it has none."""
+    at = lambda i, j: names[(i % 3) * 3 + j % 3]
+    minor = lambda i, j: f"({at(i + 1, j + 1)} * {at(i + 2, j + 2)} - {at(i + 1, j + 2)} * {at(i + 2, j + 1)})"
+    det = "(" + " + ".join(f"{at(0, j)} * {minor(0, j)}" for j in range(3)) + ")"
+    return [f"({minor(j, i)} / nullif({det}, 0))" for i in range(3) for j in range(3)]
+
+
+# Published cone responses (Bradford) and XYZ of the standard whites.
+BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+WHITES = {"A": (1.09850, 1.0, 0.35585), "D50": (0.96422, 1.0, 0.82521), "D55": (0.95682, 1.0, 0.92149), "D65": (0.95047, 1.0, 1.08883), "D75": (0.94972, 1.0, 1.22638)}
+
+
+def bradford(source: str, target: str) -> np.ndarray:
+    """XYZ under one standard white to XYZ under another."""
+    cone = np.array(BRADFORD)
+    return np.linalg.solve(cone, np.diag(cone @ WHITES[target] / (cone @ WHITES[source])) @ cone)

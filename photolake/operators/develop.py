@@ -12,7 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import box_min, guided_filter, tent_blur, with_cfa
+from photolake.functions import color as K
+
+from .pixels import box_min, demosaic_bilinear, guided_filter, tent_blur, with_cfa
 
 RGB = ("r", "g", "b")
 PIXEL = ("image_id", "y", "x")
@@ -225,3 +227,47 @@ def dehaze(px: DataFrame, cfa: DataFrame, strength: float | None, cap: float = 0
     clear = F.greatest((F.col("v") - light) / through + light, F.lit(0.0))
     return merged.select(F.col("frame_id").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), clear.alias("v"))
 
+
+
+def develop_mosaic(px: DataFrame, cfa: DataFrame, ev: float | None = None, dehaze_strength: float | None = None, gains: tuple[float, float, float] | None = None) -> DataFrame:
+    """(image_id, y, x, r, g, b) of Bayer mosaics: exposure, dehazing, full colour, white balance.
+
+    A stage whose parameter is None is not part of the plan.
+    """
+    out = px.select(*PIXEL, F.expr(K.exposure("v", ev)).alias("v"))
+    out = demosaic_bilinear(dehaze(out, cfa, dehaze_strength), cfa)
+    return out.select(*PIXEL, *[(F.col(c) * w).alias(c) for c, w in zip(RGB, gains or (1.0, 1.0, 1.0), strict=True)])
+
+
+#: Illuminants of colour matrices, the preferred one first; fixed values.
+PREFERENCE = ("D65", "A", "B", "C", "D50", "D55", "D75", "Daylight", "Flash")
+
+
+def preferred_matrix(matrices: DataFrame) -> DataFrame:
+    """(camera_id, illuminant, m): each camera's matrix of the most preferred illuminant; other illuminants do not count."""
+    rank = F.array_position(F.array(*[F.lit(n) for n in PREFERENCE]), F.col("illuminant"))
+    best = matrices.where(rank > 0).groupBy("camera_id").agg(F.min_by(F.struct("illuminant", "m"), rank).alias("best"))
+    return best.select("camera_id", "best.*")
+
+
+def chromatic_adapt(targets: DataFrame, matrices: DataFrame) -> DataFrame:
+    """``targets`` (camera_id, target: D50 or D65, ...) with status and m, the camera's preferred matrix (XYZ to camera) for that white.
+
+    A matrix of another white takes XYZ by Bradford to its own white first (adapted), one of the same is as it is (kept).
+    A camera without matrices has the identity (identity). One of other than nine entries, or of an illuminant whose
+    white is not listed, cannot be adapted: m is null (unexpected).
+    """
+    out = targets.join(preferred_matrix(matrices), "camera_id", "left")
+    unit = F.array(*[F.lit(1.0 if k % 4 == 0 else 0.0) for k in range(9)])
+    adapted = F.lit(None).cast("array<double>")
+    for source in K.WHITES:
+        for target in ("D50", "D65"):
+            if source != target:
+                move = K.bradford(target, source)
+                product = F.array(*[sum((F.col("m")[3 * i + k] * float(move[k, j]) for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)])
+                fits = (F.col("illuminant") == source) & (F.col("target") == target) & (F.size("m") == 9)
+                adapted = F.when(fits, product).otherwise(adapted)
+    same = F.col("illuminant") == F.col("target")
+    out = out.withColumn("_m", F.when(F.col("illuminant").isNull(), unit).when(same, F.col("m")).otherwise(adapted))
+    status = F.when(F.col("illuminant").isNull(), "identity").when(same, "kept").when(F.col("_m").isNotNull(), "adapted").otherwise("unexpected")
+    return out.withColumn("status", status).drop("m", "illuminant").withColumnRenamed("_m", "m")

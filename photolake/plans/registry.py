@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from photolake.plans import catalogue, develop, pixels, streams  # noqa: E402, F401  they register their queries
+from photolake.plans import catalogue, develop, pixels, profiles, streams  # noqa: E402, F401  they register their queries

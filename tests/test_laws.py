@@ -93,3 +93,30 @@ def test_develop_steps_keep_flat_fields_and_unset_stages(spark):
     assert all(abs(r.v - 0.25) < 1e-12 for r in develop.resample(px, F.col("y") * 1.3 - 2, F.col("x") * 0.7, F.lit(12), F.lit(10)).collect())
     assert all(abs(v - 0.25) < 1e-12 for r in develop.demosaic_weighted(px, cfa, 2).collect() for v in (r.r, r.g, r.b))
     assert {r.v for r in develop.dehaze(px, cfa, None).collect()} == {0.25}
+
+
+def test_cube_files(spark, tmp_path):
+    from photolake.sources.cube import read_cube
+
+    points = [(r / 2, g / 2, b / 2) for b in range(3) for g in range(3) for r in range(3)]
+    body = "\n".join(f"{r} {g} {b}" for r, g, b in points)
+    (tmp_path / "good.cube").write_text(f'# made here\nTITLE "x"\nLUT_3D_SIZE 3\nDOMAIN_MIN 0 0 0\n{body}\n')
+    (tmp_path / "short.cube").write_text("LUT_3D_SIZE 2\n0 0 0\n")
+    (tmp_path / "empty.cube").write_text("")
+    rows = read_cube(spark, str(tmp_path)).collect()
+    assert len(rows) == 27
+    assert all(r.file.endswith("good.cube") and r.n == 3 and (r.r, r.g, r.b) == (r.i / 2, r.j / 2, r.k / 2) for r in rows)
+
+
+def test_matrices_of_whites(spark):
+    import numpy as np
+
+    from photolake.functions import color as K
+    from photolake.operators import develop as D
+
+    there, back = K.bradford("A", "D65"), K.bradford("D65", "A")
+    assert np.allclose(there @ back, np.eye(3)) and np.allclose(there @ K.WHITES["A"], K.WHITES["D65"])
+    none = spark.createDataFrame([], "camera_id int, illuminant string, m array<double>")
+    asked = spark.createDataFrame([(1, "D65")], "camera_id int, target string")
+    row = D.chromatic_adapt(asked, none).first()
+    assert row.status == "identity" and row.m == [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
