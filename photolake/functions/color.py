@@ -135,3 +135,40 @@ def bradford(source: str, target: str) -> np.ndarray:
     """XYZ under one standard white to XYZ under another."""
     cone = np.array(BRADFORD)
     return np.linalg.solve(cone, np.diag(cone @ WHITES[target] / (cone @ WHITES[source])) @ cone)
+
+
+def smooth(x: str, low: float, high: float) -> str:
+    """The cubic ramp from 0 at ``low`` to 1 at ``high``."""
+    t = clamp(f"(({x} - {_number(low)}) / {_number(high - low)})")
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
+def smoother(x: str, low: float, high: float) -> str:
+    """The quintic ramp from 0 at ``low`` to 1 at ``high``."""
+    t = clamp(f"(({x} - {_number(low)}) / {_number(high - low)})")
+    return f"({t} * {t} * {t} * ({t} * ({t} * 6 - 15) + 10))"
+
+
+# The ramp of an edge, the brightness of a full repair, the ramp of the tint and the parts of the target.
+LOCA_EDGE, LOCA_FULL, LOCA_TINT, LOCA_MIX = (0.01, 0.08), 1.5, 0.25, (0.8, 0.2)
+
+
+def loca_steps(purple: float, green: float, least: float = 0.5) -> list[dict[str, str]]:
+    """Steps that give ``repaired`` from v, colour, red, blue (means of a green site's neighbours) and its diagonals pp, mm, pm, mp."""
+    keep, mix = (_number(w) for w in LOCA_MIX)
+    return [
+        {
+            "edge": smooth("(0.25e0 * (abs(pp - mm) + abs(pm - mp)))", *LOCA_EDGE), "lum": "greatest(red, v, blue)",
+            "low_rb": "least(red, blue)", "high_rb": "greatest(red, blue)", "mean_rb": "((red + blue) * 0.5e0)",
+        },
+        {"near_full": f"edge * {smoother('lum', least, LOCA_FULL)}", "purple_over": "greatest(low_rb - v, 0e0) / nullif(lum, 0e0)", "green_over": "greatest(v - high_rb, 0e0) / nullif(lum, 0e0)"},
+        {
+            "raised": f"greatest(low_rb * {keep} + mean_rb * {mix} - v, 0e0) * near_full * {smooth('purple_over', 0.0, LOCA_TINT)}",
+            "lowered": f"greatest(v - (high_rb * {keep} + mean_rb * {mix}), 0e0) * near_full * {smooth('green_over', 0.0, LOCA_TINT)}",
+        },
+        {
+            "all_raised": "CASE WHEN low_rb > v THEN raised + greatest(low_rb - (v + raised), 0e0) * near_full ELSE 0e0 END",
+            "all_lowered": "CASE WHEN v > high_rb THEN lowered + greatest(v - lowered - high_rb, 0e0) * near_full ELSE 0e0 END",
+        },
+        {"repaired": f"CASE WHEN colour = 1 AND edge > 0 AND lum > {_number(least)} THEN v + {_number(purple)} * all_raised - {_number(green)} * all_lowered ELSE v END"},
+    ]

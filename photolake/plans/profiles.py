@@ -176,3 +176,26 @@ _RENDER = [
     {f"e{c}": f"CASE WHEN image_id % 2 = 0 THEN {K.log_encode(f'b{c}', 'V-Log')} ELSE {K.srgb(f'w{c}')} END" for c in RGB},
 ]
 staged("render", "fx_rgb", ["image_id", "y", "x"], _RENDER, {c: f"CAST(floor({K.clamp(f'e{c}')} * 255 + 1e-9) AS INT)" for c in RGB})
+
+_BESIDE = "avg(CASE WHEN (a.y = b.y OR a.x = b.x) AND b.colour = {} THEN b.v END)"
+_CORNER = "max(CASE WHEN b.y = a.y + {} AND b.x = a.x + {} THEN b.v END)"
+_CORNERS = {"pp": (1, 1), "mm": (-1, -1), "pm": (1, -1), "mp": (-1, 1)}
+
+
+def _loca_query(name: str, **strength: float):
+    text = "near"
+    for k, step in enumerate(K.loca_steps(strength.get("purple", 0.0), strength.get("green", 0.0))):
+        text = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {text}) t{k}"
+
+    def run(spark, d):
+        return D.loca(view(spark, d, "fx_px40"), view(spark, d, "fx_cfa"), **strength).withColumn("v", shown("v", 6))
+
+    run.__name__ = name
+    query(f"""WITH m AS (SELECT image_id, y, x, v, colour FROM fx_px40 JOIN fx_cfa ON y % 2 = ry AND x % 2 = rx),
+near AS (SELECT a.image_id, a.y, a.x, a.v, a.colour, {_BESIDE.format(0)} AS red, {_BESIDE.format(2)} AS blue, {', '.join(f'{_CORNER.format(*o)} AS {n}' for n, o in _CORNERS.items())}
+ FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
+SELECT image_id, y, x, round(1.23e-8 + CASE WHEN pp + mm + pm + mp IS NOT NULL AND red + blue IS NOT NULL THEN repaired ELSE v END, 6) AS v FROM {text}""")(run)
+
+
+_loca_query("loca_purple", purple=0.8)
+_loca_query("loca_green", green=1.0)
