@@ -199,3 +199,15 @@ SELECT image_id, y, x, round(1.23e-8 + CASE WHEN pp + mm + pm + mp IS NOT NULL A
 
 _loca_query("loca_purple", purple=0.8)
 _loca_query("loca_green", green=1.0)
+
+#: Asked for and sensors it suits, by the name of what then runs; anything else gets the sensor's default.
+_SENSOR = "CASE image_id % 4 WHEN 0 THEN 'xtrans' WHEN 1 THEN 'bayer4' ELSE 'bayer3' END"
+_ASKED = "CASE CAST(floor(image_id / 4) AS BIGINT) % 5 WHEN 0 THEN 'superpixel' WHEN 1 THEN 'bilinear' WHEN 2 THEN 'xtrans_fast' WHEN 3 THEN 'unknown' END"
+staged(
+    "demosaic_resolve", "fx_meta", ["image_id"], [{"sensor": _SENSOR, "asked": _ASKED}],
+    {
+        "sensor": "sensor",
+        "used": "CASE WHEN asked = 'superpixel' AND sensor = 'bayer3' THEN 'superpixel' WHEN sensor = 'xtrans' THEN 'xtrans_fast' ELSE 'bilinear' END",
+        "as_asked": "coalesce(asked IN ('superpixel', 'bilinear') AND sensor = 'bayer3' OR asked = 'bilinear' AND sensor = 'bayer4' OR asked = 'xtrans_fast' AND sensor = 'xtrans', FALSE)",
+    },
+)
