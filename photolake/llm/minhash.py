@@ -5,9 +5,10 @@
 3. Representatives that share a band meet. In a bucket each is held against the leaders seen so far by its samples and
    its total weight; one that is much like a leader stays with it, any other becomes a leader too.
 4. First each member is paired with the one leader that is most like it. These pairs are verified by the exact weighted
-   Jaccard similarity of their whole texts and give classes by distributed connected components. Then the buckets meet
-   again, and every pair that may be similar enough and whose two classes differ is verified as well. So a group of
-   copies gives about as many pairs as it has members and bands, not all pairs of the group, and loses no class.
+   Jaccard similarity of their whole texts and give classes by distributed connected components. Then the buckets that
+   hold more than one class meet again, all members in cells of two blocks: every pair that may be similar enough and
+   whose two classes differ is verified as well. So a group of copies gives about as many pairs as it has members and
+   bands, not all pairs of the group, and no link between classes is left out.
 5. The links of both rounds give the final classes.
 """
 
@@ -33,14 +34,15 @@ BANDS, ROWS = 16, 5
 #: occurs; above that its weight falls with the logarithm of its share, to LEAST for one that is everywhere.
 BINS, COMMON, LEAST = 1 << 20, 1 / 256, 0.1
 _BLOCK = 1 << 14
-#: Members of a bucket that one task holds against each other at once; a larger bucket is dealt to several.
+#: Members of a bucket that make a block; a larger bucket is dealt to several.
 SHARD = 4000
 #: How far under the similarity a pair's estimate may lie for it to be verified (2.7 standard deviations), and from which
 #: estimate on a member needs no place among the leaders.
 MARGIN, COVERED = 0.12, 0.85
-#: In buckets of more than CROWD members a pair must also pass by its shingles of lowest hash, up to LOWEST of each text
-#: (of shorter texts that is all of them): a sharper estimate where many texts are somewhat alike.
-CROWD, LOWEST, LOW_MARGIN = 16, 256, 0.08
+#: A pair of different classes must also pass by its shingles of lowest hash, up to LOWEST of each text (of shorter texts
+#: that is all of them). Weights that differ blur this estimate: a longer text whose mean squared weight is more than SKEW
+#: times its squared mean weight keeps none and passes; up to there LOW_MARGIN is 3.4 standard deviations at least.
+LOWEST, LOW_MARGIN, SKEW = 256, 0.12, 2.0
 _LOW = np.dtype([("hash", np.uint32), ("weight", np.float32)])
 
 
@@ -169,7 +171,9 @@ def signatures(docs: DataFrame, key: str, text: str, idf: tuple[np.ndarray, np.n
                 total = sums[to[1:]] - sums[to[:-1]]
                 low = np.empty(len(shingle), dtype=_LOW)
                 low["hash"], low["weight"] = shingle >> np.uint64(32), weight
-                lowest = [low[to[i] : min(to[i + 1], to[i] + LOWEST)].tobytes() for i in range(part.num_rows)]
+                squares = np.concatenate([[0.0], np.cumsum(weight**2)])
+                skewed = (np.diff(to) >= LOWEST) & (np.diff(to) * (squares[to[1:]] - squares[to[:-1]]) > SKEW * total**2)
+                lowest = [b"" if skewed[i] else low[to[i] : min(to[i + 1], to[i] + LOWEST)].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(total, pa.float64()), pa.array(lowest, pa.binary()), pa.array(samples, pa.binary())], ["key_", "text_key", "total", "lowest", "samples"])
 
     return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(sign, "key_ long, text_key binary, total double, lowest binary, samples binary")
@@ -199,86 +203,167 @@ def low_estimate(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
     return weighted_jaccard((x["hash"], x["weight"]), (y["hash"], y["weight"])), whole
 
 
+def low_passes(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if not len(x) or not len(y):
+        return True
+    like, whole = low_estimate(x, y)
+    return like >= similarity - (0.001 if whole else LOW_MARGIN)
+
+
 class _Leaders:
     """The leaders of one bucket so far, with room to grow."""
 
-    def __init__(self, width: int, similarity: float, first: bool):
-        self.n, self.similarity, self.first = 0, similarity, first
-        self.ids, self.labels, self.totals = np.zeros(8, np.int64), np.zeros(8, np.int64), np.zeros(8)
+    def __init__(self, width: int, similarity: float):
+        self.n, self.similarity = 0, similarity
+        self.ids, self.totals = np.zeros(8, np.int64), np.zeros(8)
         self.samples = np.zeros((8, width), dtype=np.uint32)
-        self.lowest: list[np.ndarray] = []
-
-    def _passes(self, k: int, low: np.ndarray) -> bool:
-        if not len(low):
-            return True
-        like, whole = low_estimate(self.lowest[k], low)
-        return like >= self.similarity - (0.001 if whole else LOW_MARGIN)
 
-    def meet(self, one: int, label: int, total: float, samples: np.ndarray, low: np.ndarray) -> list[int]:
-        """Leaders that ``one`` must be verified against; it becomes a leader unless one of them covers it."""
+    def meet(self, one: int, total: float, samples: np.ndarray) -> int | None:
+        """The leader that ``one`` is most like, if it is to be verified; ``one`` becomes a leader unless one covers it."""
         n = self.n
-        like = (self.samples[:n] == samples).mean(axis=1)
-        # a similarity cannot be above the ratio of the total weights
-        like[np.minimum(self.totals[:n], total) < (self.similarity - 1e-9) * np.maximum(self.totals[:n], total)] = 0
-        same = self.labels[:n] == label
-        if not (like[same | self.first] >= COVERED).any():
+        like = _alike(self.samples[:n], self.totals[:n], samples, total, self.similarity)
+        best = int(like.argmax()) if n else 0
+        if not n or like[best] < COVERED:
             if n == len(self.ids):
-                self.ids, self.labels, self.totals, self.samples = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.labels, self.totals, self.samples))
-            self.ids[n], self.labels[n], self.totals[n], self.samples[n] = one, label, total, samples
-            self.lowest.append(low)
+                self.ids, self.totals, self.samples = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.totals, self.samples))
+            self.ids[n], self.totals[n], self.samples[n] = one, total, samples
             self.n += 1
-        if self.first:
-            best = int(like.argmax()) if n else 0
-            return [int(self.ids[best])] if n and like[best] >= self.similarity - MARGIN else []
-        return [int(self.ids[k]) for k in np.flatnonzero((like >= self.similarity - MARGIN) & ~same) if self._passes(k, low)]
+        return int(self.ids[best]) if n and like[best] >= self.similarity - MARGIN else None
+
+
+def _alike(samples: np.ndarray, totals: np.ndarray, one: np.ndarray, total: float, similarity: float) -> np.ndarray:
+    """Estimates of ``one`` against each row; 0 where the ratio of the total weights, which no similarity exceeds, is too low."""
+    like = np.zeros(len(samples))
+    near = np.flatnonzero(np.minimum(totals, total) >= (similarity - 1e-9) * np.maximum(totals, total))
+    like[near] = (samples[near] == one).mean(axis=1)
+    return like
 
 
-def _meetings(members: DataFrame, by: list[str], width: int, similarity: float, first: bool) -> DataFrame:
-    """(bucket, a, b, label, total, lowest, samples): pairs a < b to verify; and, of shards, each leader, with b null."""
+def _led(members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(bucket, a, b, total, samples): pairs a < b to verify; and, of dealt buckets, each leader, with b null."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaders = None, None
         for batch in batches:
             out = []
             signed = np.frombuffer(b"".join(batch.samples), np.uint32).reshape(len(batch), width)
-            rows = zip(zip(*[batch[c] for c in by], strict=True), batch.rep, batch.label, batch.total, batch.lowest, strict=True)
-            for i, (key, one, label, total, lowest) in enumerate(rows):
-                if key != now:
-                    now, leaders = key, _Leaders(width, similarity, first)
+            for i, (bucket, shard, one, size, total) in enumerate(zip(batch.bucket, batch.shard, batch.rep, batch.n, batch.total, strict=True)):
+                if (bucket, shard) != now:
+                    now, leaders = (bucket, shard), _Leaders(width, similarity)
                 n = leaders.n
-                out += [(key[0], min(one, other), max(one, other), None, None, None, None) for other in leaders.meet(one, label, total, signed[i], np.frombuffer(lowest or b"", _LOW))]
-                if leaders.n > n and len(by) > 1:
-                    out.append((key[0], one, None, label, total, lowest, signed[i].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "a", "b", "label", "total", "lowest", "samples"]).astype({"bucket": "int64", "a": "int64", "b": "Int64", "label": "Int64"})
-
+                other = leaders.meet(one, total, signed[i])
+                if other is not None:
+                    out.append((bucket, min(one, other), max(one, other), None, None))
+                if leaders.n > n and size > dealt_from:
+                    out.append((bucket, one, None, total, signed[i].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "a", "b", "total", "samples"]).astype({"bucket": "int64", "a": "int64", "b": "Int64"})
+
+    dealt_from = SHARD
     # each bucket has an order of its own, so that members meet other leaders in each band
-    dealt = members.repartition(*by).sortWithinPartitions(*by, F.xxhash64("rep", "bucket"))
-    return dealt.mapInPandas(meet, "bucket long, a long, b long, label long, total double, lowest binary, samples binary")
+    dealt = members.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", F.xxhash64("rep", "bucket"))
+    return dealt.mapInPandas(meet, "bucket long, a long, b long, total double, samples binary")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, rep, n, ...) once for each cell (block, block) of their bucket that they take part in.
+
+    A bucket is dealt to blocks of about SHARD. Block k takes part in the cells (k, k) and (k, later) as side 0, in
+    (earlier, k) as side 1: any two members meet in one cell, and no task holds more than two blocks at once.
+    """
+    blocks = F.ceil(F.col("n") / SHARD).cast("long")
+    own = F.pmod(F.xxhash64("rep"), blocks)
+    part = lambda a, b, side: F.struct((a * blocks + b).alias("cell"), F.lit(side).alias("side"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.when(k >= own, part(own, k, 0)).otherwise(part(k, own, 1)))
+    return members.withColumn("part", F.explode(parts)).select(*members.columns, "part.cell", "part.side")
+
+
+def _met(members: DataFrame, bands: int, rows: int, similarity: float, best: bool) -> DataFrame:
+    """(a, b), a < b, to verify, of the members that share a cell.
+
+    With ``best`` each member with the one before it in its bucket that is most like it, so that alike members hang
+    together; else all pairs of different labels, in the first of their common bands.
+    """
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        kept = None
+        for batch in batches:
+            batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            bucket, cell = batch.bucket.to_numpy(), batch.cell.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1]) if len(batch) else np.zeros(1, np.int64)
+            yield from parts(batch, starts)
+            kept = batch.iloc[starts[-1] :]
+        if kept is not None and len(kept):
+            yield from parts(kept, np.array([0, len(kept)]))
+
+    def parts(batch: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple]:
+        end = starts[-1]
+        if not end:
+            return
+        signed = np.frombuffer(b"".join(batch.samples.iloc[:end]), np.uint32).reshape(-1, bands * rows)
+        columns = [batch[c].to_numpy() for c in ("side", "rep", "total", "band", "label", "lowest")]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if b - a > 1:
+                yield (signed[a:b], *(c[a:b] for c in columns))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int]] = []
+        for signed, side, ids, totals, band, labels, lowest in groups(batches):
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
+            low: dict[int, np.ndarray] = {}
+            for k, i in enumerate(right if len(right) else left):
+                others = left if len(right) else left[:k]
+                others = others if best else others[labels[others] != labels[i]]
+                if not len(others):
+                    continue
+                like = _alike(signed[others], totals[others], signed[i], totals[i], similarity)
+                if best:
+                    others = others[[like.argmax()]] if like.max() >= similarity - MARGIN else others[:0]
+                else:
+                    others = others[like >= similarity - MARGIN]
+                    if band[i] and len(others):
+                        same = (signed[others] == signed[i]).reshape(len(others), bands, rows).all(axis=2)
+                        others = others[~same[:, : band[i]].any(axis=1)]
+                    for j in (i, *others) if len(others) else ():
+                        if j not in low:
+                            low[j] = np.frombuffer(lowest[j] or b"", _LOW)
+                    others = [j for j in others if low_passes(low[i], low[j], similarity)]
+                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others]
+            if len(found) > 50_000:
+                yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    by = ["bucket", "cell"]
+    return members.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "a long, b long")
 
 
 def band_members(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, rep, n, shard) of the representatives that share a bucket with others; large buckets are dealt to shards."""
-    keyed = written(reps.select("rep", F.explode(_band_keys(bands, rows)("samples")).alias("bucket")), "bands")
+    """(bucket, band, rep, n, shard) of the representatives that share a bucket with others; large buckets are dealt to shards."""
+    keyed = written(reps.select("rep", F.posexplode(_band_keys(bands, rows)("samples")).alias("band", "bucket")), "bands")
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shard = F.when(F.col("n") > SHARD, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SHARD))).otherwise(0).cast("long")
     return written(keyed.join(sizes, "bucket").withColumn("shard", shard), "members")
 
 
-def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame | None, width: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, to verify; with ``labels`` (node, component) those of different components."""
-    about = reps.select("rep", "samples", "total", "lowest")
-    if labels is None:
-        about = about.withColumn("label", F.col("rep"))
-    else:
-        about = about.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    first = labels is None
-    crowded = F.lit(False) if first else F.col("n") > CROWD
-    rows = members.join(about, "rep").withColumn("lowest", F.when(crowded, F.col("lowest")))
-    small = _meetings(rows.where(F.col("n") <= SHARD), ["bucket"], width, similarity, first).select("a", "b")
-    large = written(_meetings(rows.where(F.col("n") > SHARD), ["bucket", "shard"], width, similarity, first), "shards")
-    leaders = large.where("b is null").select("bucket", F.col("a").alias("rep"), "label", "total", "lowest", "samples")
-    among = _meetings(leaders, ["bucket"], width, similarity, first).select("a", "b")
-    return small.unionByName(large.where("b is not null").select("a", "b")).unionByName(among).distinct()
+def first_candidates(members: DataFrame, reps: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, to verify: each member of a bucket with the leader that is most like it."""
+    about = members.select("bucket", "rep", "n", "shard").join(reps.select("rep", "samples", "total"), "rep")
+    led = written(_led(about, bands * rows, similarity), "led")
+    leaders = led.where("b is null").select("bucket", F.col("a").alias("rep"), "total", "samples")
+    leaders = leaders.join(leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    none = [F.lit(0).alias("band"), F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("lowest")]
+    among = _met(_cells(leaders.select("*", *none)), bands, rows, similarity, True)
+    return led.where("b is not null").select("a", "b").unionByName(among).distinct()
+
+
+def other_candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, to verify: any two members of a bucket whose classes in ``labels`` (node, component) differ."""
+    named = members.select("bucket", "band", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
+    rows_ = written(named.join(mixed, "bucket"), "mixed")
+    about = _cells(rows_).join(reps.select("rep", "samples", "total", "lowest"), "rep")
+    return _met(about, bands, rows, similarity, False).distinct()
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -337,9 +422,9 @@ def near_duplicates(
     worded = reps.where("samples is not null")
     members = band_members(worded, bands, rows)
     check = lambda pairs: written(verify(pairs.where("a <> b"), docs, "key_", "text_", idf, similarity), "links").select("a", "b")
-    links = check(candidates(members, worded, None, bands * rows, similarity))
+    links = check(first_candidates(members, worded, bands, rows, similarity))
     classes = connected_components(links)
-    more = check(candidates(members, worded, classes, bands * rows, similarity))
+    more = check(other_candidates(members, worded, classes, bands, rows, similarity))
     classes = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = reps.select("text_key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("text_key", F.coalesce("component", "rep").alias("class_id"))

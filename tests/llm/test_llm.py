@@ -113,6 +113,37 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4000, 20])
+def test_near_duplicates_bridge_two_families(spark, monkeypatch, shard):
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    monkeypatch.setattr(minhash, "SHARD", shard)
+    texts = []
+    for s in range(6):
+        stream = [f"w{s}x{k}" for k in range(600)]
+        window = lambda o: list(stream[o : o + 400])  # noqa: B023, E731
+        # near copies of the ends of a chain 0, 15, 55, 70: only 15 and 55 are alike across, and each is covered by its end
+        for o in (0, 70):
+            for k in range(25):
+                copy = window(o)
+                copy[180 + k] = f"e{s}o{o}k{k}"
+                texts.append(" ".join(copy))
+        texts += [" ".join(window(15)), " ".join(window(55))]
+    rows = minhash.near_duplicates(docs(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i // 52 * 52 for i in range(len(texts))}
+
+
+def test_low_estimate_of_skewed_weights(spark):
+    """A line that is repeated very often must not keep two alike texts apart, whether its hash is low or not."""
+    words = [f"v{k}" for k in range(900)]
+    texts = [" ".join(["again"] * 1500 + words[o : o + 600]) for o in (0, 150)]
+    idf = (np.zeros(0, np.int64), np.zeros(0))
+    rows = minhash.signatures(docs(spark, texts), "doc_id", "text", idf, minhash.BANDS, minhash.ROWS).collect()
+    shingle, weight, to = minhash.Weights(idf).of(minhash.pa.array(texts))
+    x, y = ((shingle[to[i] : to[i + 1]], weight[to[i] : to[i + 1]]) for i in (0, 1))
+    assert minhash.weighted_jaccard(x, y) >= 0.8
+    assert minhash.low_passes(*(np.frombuffer(r.lowest, minhash._LOW) for r in rows), 0.8)
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     shingle = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
