@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
-A text is layer 0. Percent escapes, ``\\u`` escapes, base64 runs and compressed bytes inside base64 each open a new
-layer that is scanned like the first and unwrapped in turn, until no new layer appears. A layer whose content was seen
+A text is layer 0. Percent escapes, ``\\u`` escapes, base64 runs (wrapped ones too) and compressed bytes inside base64
+or escapes each open a new layer that is scanned like the first and unwrapped in turn, until no new layer appears;
+compressed bytes are unpacked until they are compressed no more. A layer whose content was seen
 before in the same text is not opened again, so cycles end. Every layer keeps, for each of its characters, the range of
 the original text that it came from; a find in a layer is reported at that range.
 """
@@ -11,11 +12,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -33,9 +37,16 @@ LEAST_ASSIGNED = 8
 
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_QUOTED = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%01|%5[eE]|\^|%9[cC]|%[dD][aA])|(?:B|%42)(?:Z|%5[aA])(?:h|%68)|%[fF][dD](?:7|%37)(?:z|%7[aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*")
+_LITERAL = re.compile(r"""(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x01|\\x5[eE]|\^|\\x9[cC]|\\x[dD][aA])|(?:B|\\x42)(?:Z|\\x5[aA])(?:h|\\x68)|\\x[fF][dD](?:7|\\x37)(?:z|\\x7[aA]))(?:\\x[0-9A-Fa-f]{2}|\\[nrt'"\\0]|[\x20-\x21\x23-\x26\x28-\x5b\x5d-\x7e])*""")
+_CONTROL = bytes(c for c in (*range(32), 127) if c not in (9, 10, 13))
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ")
-#: A compressed layer that unpacks to more bytes than this is reported in ``n_oversized`` and not opened.
-MAX_UNPACKED = 64 << 20
+#: A compressed layer that unpacks to more bytes than this is counted in ``oversized`` and scanned as a stream of chunks
+#: (bytes, each with the last OVERLAP bytes of the one before it); every chunk is a layer.
+MAX_UNPACKED, PIECE, CHUNK, OVERLAP = 64 << 20, 1 << 20, 8 << 20, 1 << 20
 
 Span = tuple[int, int, int]
 
@@ -63,49 +74,143 @@ def _unescape(run: str) -> str:
     return units.decode("utf-16-be", "replace")
 
 
-def _unpack(data: bytes, most: int) -> bytes | None:
-    """The content of gzip, zlib, bzip2 or xz bytes; the data itself where they are none of these; None if too large."""
-    for magic, make in zip(_MAGIC, [lambda: zlib.decompressobj(31)] + [zlib.decompressobj] * 4 + [bz2.BZ2Decompressor, lzma.LZMADecompressor], strict=True):
+def _opener(data: bytes):
+    """What makes a decompressor for gzip, zlib, bzip2 or xz bytes; None where the data is none of these."""
+    makers = [lambda: zlib.decompressobj(31)] + [zlib.decompressobj] * 4 + [bz2.BZ2Decompressor, lzma.LZMADecompressor]
+    for magic, make in zip(_MAGIC, makers, strict=True):
         if data.startswith(magic):
             try:
-                out = make().decompress(data, most + 1)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return data
-            return None if len(out) > most else out
-    return data
-
-
-def _readable(data: bytes) -> str | None:
-    """Decoded bytes as a text, if they are UTF-8 with hardly any control characters."""
+                make().decompress(data, 1)
+            except _BROKEN:
+                return None
+            return make
+    return None
+
+
+def _inflated(chunks: Iterator[bytes], make) -> Iterator[bytes]:
+    """Pieces of the content of all members; ends where the data does not go on as such."""
+    box = make()
+    for data in chunks:
+        while data or not box.eof:
+            try:
+                out = box.decompress(data, PIECE)
+            except _BROKEN:
+                return
+            if out:
+                yield out
+            if box.eof:
+                data, box = box.unused_data.lstrip(b"\0"), make()
+                if not data:
+                    break
+                continue
+            data = getattr(box, "unconsumed_tail", b"")
+            if not (data or len(out) == PIECE if hasattr(box, "unconsumed_tail") else not box.needs_input):
+                break
+
+
+def _readable(data: bytes, whole: bool = True) -> str | None:
+    """Decoded bytes as a text, if they are UTF-8 with hardly any control characters; a cut piece may begin or end inside a character."""
+    if not whole:
+        data = data[next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0) :]
     try:
-        text = data.decode("utf-8")
+        text = data.decode("utf-8") if whole else codecs.getincrementaldecoder("utf-8")().decode(data)
     except UnicodeDecodeError:
         return None
-    odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data)
+    odd = len(data) - len(data.translate(None, _CONTROL))
     return text if data and odd * 20 <= len(data) else None
 
 
-def _base64_texts(run: str, most: int) -> tuple[list[tuple[int, int, str]], int]:
-    """Readable contents of a base64 run, or else of its parts between separators; and the count of oversized ones."""
+def _streamed(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Readable overlapping chunks of a stream of bytes, unpacked for as long as it is compressed."""
+    while True:
+        head = next(pieces, b"")
+        pieces = itertools.chain([head], pieces)
+        make = _opener(head)
+        if make is None:
+            break
+        pieces = _inflated(pieces, make)
+    kept, new = b"", False
+    for piece in pieces:
+        kept, new = kept + piece, True
+        if len(kept) >= CHUNK:
+            if text := _readable(kept, False):
+                yield text
+            kept, new = kept[-OVERLAP:], False
+    if new and (text := _readable(kept, False)):
+        yield text
+
+
+def _texts(data: bytes, most: int) -> tuple[Iterator[str], bool, bool]:
+    """The readable text that bytes unwrap to, in chunks if it is large; if they were compressed, and if it is large."""
+    seen: set[bytes] = set()
+    packed = False
+    while make := _opener(data):
+        key = hashlib.sha1(data).digest()
+        if key in seen:
+            return iter(()), True, False
+        seen.add(key)
+        out, size, pieces = [], 0, _inflated(iter([data]), make)
+        for piece in pieces:
+            out.append(piece)
+            size += len(piece)
+            if size > most:
+                return _streamed(itertools.chain(out, pieces)), True, True
+        if not size:
+            break
+        data, packed = b"".join(out), True
+    text = _readable(data)
+    return iter([text] if text else []), packed, False
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs with the places of their characters: those of one line, and lines of one width with the shorter one that ends them."""
+    for m in _BASE64.finditer(text):
+        yield m.group(), np.arange(m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m.group())]
+        i = 0
+        while i < len(lines):
+            width, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            ends = [k for k in (j + 1, j) if i + 1 < k <= len(lines) and (k == j or lines[j][1] - lines[j][0] < width)]
+            for k in ends:
+                at = np.concatenate([np.arange(a, b) for a, b in lines[i:k]])
+                yield "".join(text[a:b] for a, b in lines[i:k]), at
+            i = j
+
+
+def _base64_parts(run: str, most: int) -> Iterator[tuple[int, int, Iterator[str], bool, bool]]:
+    """Each part of a base64 run, first the whole, that decodes to a readable text or to compressed bytes, and lies in none before it."""
     tried = [(0, len(run))]
     if re.search("[+/_-]", run):
         tried += [m.span() for m in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", run)]
         tried += [m.span() for m in re.finditer(r"(?<=[/_-])[A-Za-z0-9+]{16,}={0,2}", run)]
-    large = 0
+    done: list[tuple[int, int]] = []
     for a, b in dict.fromkeys(tried):
         body = run[a:b].rstrip("=").translate(str.maketrans("-_", "+/"))
-        if len(body) % 4 == 1:
+        if len(body) % 4 == 1 or any(x <= a and b <= y for x, y in done):
             continue
         try:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        data = _unpack(data, most)
-        if data is None:
-            large += 1
-        elif text := _readable(data):
-            return [(a, b, text)], large
-    return [], large
+        texts, packed, large = _texts(data, most)
+        first = next(texts, None)
+        if first is not None or large:
+            done.append((a, b))
+            yield a, b, itertools.chain([first] if first is not None else [], texts), packed, large
+
+
+def _bytes_runs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Runs with escapes that stand for compressed bytes, whether all or only some of their bytes are escaped."""
+    for m in _QUOTED.finditer(text) if "%" in text else ():
+        yield m.start(), m.end(), unquote_to_bytes(m.group())
+    for m in _LITERAL.finditer(text) if "\\x" in text else ():
+        try:
+            yield m.start(), m.end(), codecs.escape_decode(m.group().encode("latin-1"))[0]
+        except ValueError:
+            continue
 
 
 class _Layer:
@@ -133,33 +238,59 @@ class _Layer:
         return _Layer("".join(texts), np.concatenate(firsts), np.concatenate(lasts))
 
 
+def _grouped(text: str, first: np.ndarray, last: np.ndarray) -> _Layer:
+    """The layer of a base64 part's text: each character stands for the groups of four that hold its bytes."""
+    size = np.fromiter((1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in map(ord, text)), np.int64, len(text))
+    end = np.cumsum(size)
+    a, b = (end - size) // 3 * 4, np.minimum((end - 1) // 3 * 4 + 3, len(last) - 1)
+    return _Layer(text, first[a], last[b])
+
+
 def scan(text: str | None, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span], list[Span], int, int]:
     """Base spans of the text, spans that only decoded layers show, number of layers opened, number of oversized ones."""
     text = text or ""
     base = find(text)
     if "%" not in text and "\\" not in text and not _BASE64.search(text):
         return base, [], 0, 0
-    work, seen, more, opened, large = [_Layer(text, None, None)], {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}, set(), 0, 0
-    while work:
-        layer = work.pop()
-        if layer.first is not None:
-            for start, kind, end in find(layer.text):
-                a, b = layer.origin(start, end)
-                more.add((a, kind, b))
+    seen, more, opened, large = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}, set(), 0, 0
+
+    def children(layer: _Layer) -> Iterator[_Layer]:
+        nonlocal large
         escapes = [(m.start(), m.end(), _unescape(m.group())) for m in _ESCAPE.finditer(layer.text)]
-        children = [layer.replaced(escapes)] if escapes else []
-        for m in _BASE64.finditer(layer.text):
-            texts, n = _base64_texts(m.group(), max_unpacked)
-            large += n
-            for a, b, inner in texts:
-                a, b = layer.origin(m.start() + a, m.start() + b)
-                children.append(_Layer(inner, np.full(len(inner), a), np.full(len(inner), b)))
-        for child in children:
-            key = hashlib.sha1(child.text.encode("utf-8", "surrogatepass")).digest()
-            if key not in seen:
-                seen.add(key)
-                opened += 1
-                work.append(child)
+        if escapes:
+            yield layer.replaced(escapes)
+        for a, b, data in _bytes_runs(layer.text):
+            texts, packed, over = _texts(data, max_unpacked)
+            large += over
+            a, b = layer.origin(a, b)
+            for inner in texts if packed else ():
+                yield _Layer(inner, np.full(len(inner), a), np.full(len(inner), b))
+        for run, at in _runs(layer.text):
+            first = at if layer.first is None else layer.first[at]
+            last = at + 1 if layer.last is None else layer.last[at]
+            for a, b, texts, packed, over in _base64_parts(run, max_unpacked):
+                large += over
+                for inner in texts:
+                    if packed:
+                        yield _Layer(inner, np.full(len(inner), first[a:b].min()), np.full(len(inner), last[a:b].max()))
+                    else:
+                        yield _grouped(inner, first[a:b], last[a:b])
+
+    work = [children(_Layer(text, None, None))]
+    while work:
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+            continue
+        key = hashlib.sha1(child.text.encode("utf-8", "surrogatepass")).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        opened += 1
+        for start, kind, end in find(child.text):
+            a, b = child.origin(start, end)
+            more.add((a, kind, b))
+        work.append(children(child))
     return base, sorted(more - set(base)), opened, large
 
 
@@ -170,7 +301,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", max_u
     they find in decoded layers, at the range of the original that was decoded; a range that ``base`` has already is
     not repeated. A null or empty text gives empty arrays. Repeated rows are scanned each. Other columns are not read.
     No shuffle: every text is scanned where it was read. A compressed layer of more than ``max_unpacked`` bytes is
-    counted in ``oversized`` and left closed, so that one row cannot fill a worker's memory.
+    counted in ``oversized`` and scanned chunk by chunk, so that one row cannot fill a worker's memory.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,10 @@
 """The ten operators and the pipeline against brute force, round trips and held-out labels, and on odd rows."""
 
 import base64
+import bz2
 import gzip
 import re
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -44,6 +46,30 @@ def test_secret_bomb_is_counted():
     assert secrets.scan(bomb, max_unpacked=1000)[3] >= 1
 
 
+def test_secrets_fixpoint():
+    inner = b"password = hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    noise = bytes(np.random.default_rng(1).integers(0, 256, 300, dtype=np.uint8)).hex().upper().encode()
+    shown = {
+        "gzip twice": b64(gzip.compress(gzip.compress(inner))),
+        "bzip2 in zlib": b64(zlib.compress(bz2.compress(inner))),
+        "second member": b64(gzip.compress(b"nothing here") + gzip.compress(inner)),
+        "percent": "".join(f"%{c:02X}" for c in gzip.compress(inner)),
+        "quoted": quote(zlib.compress(inner)),
+        "escaped": "".join(f"\\x{c:02x}" for c in gzip.compress(inner)),
+        "literal": repr(gzip.compress(inner)),
+        "wrapped": base64.encodebytes(gzip.compress(noise + b" " + inner)).decode(),
+        "two lines": base64.encodebytes(b"x" * 50 + b" " + inner + b" y").decode(),
+        "joined": b64(b"a first value, quite harmless") + "_" + b64(inner),
+    }
+    for name, text in shown.items():
+        assert any(k == 0 for _, k, _ in secrets.scan(f"see {text} end")[1]), name
+    large = b64(gzip.compress(b"some words " * 10_000 + inner + b" more words" * 10_000))
+    assert any(k == 0 for _, k, _ in secrets.scan(large, max_unpacked=1000)[1])
+    own = b64(b"token=abcdefgh1 and, later on, token=abcdefgh2")
+    assert secrets.scan(own)[1] == [(0, 0, 20), (40, 0, 64)]
+
+
 def test_secrets_rows(spark):
     out = secrets.scan_secrets(docs(spark, [*ODD, "api_key: 12345678", "api_key: 12345678"])).collect()
     assert len(out) == len(ODD) + 2 and sum(len(r.base) for r in out) == 2
