@@ -140,15 +140,16 @@ class Lexicon:
             masked[1:-1] = _MASKING[p[1:-1]] & _LETTER[p[:-2]] & _LETTER[p[2:]]
             stretched[2:] = _LETTER[p[2:]] & (p[2:] == p[1:-1]) & (p[1:-1] == p[:-2]) & (p[2:] < 128)
         letters, chars = t.share(_LETTER), np.diff(t.plain_at).astype(np.float64)
-        caps = np.zeros(len(t.starts), dtype=bool)
-        if len(t.data) == len(p) and (t.at == t.plain_at).all():  # else lower case changed the length of some text
-            up = np.concatenate([[0], np.cumsum(_UPPER[p])])
-            caps = (up[t.ends] - up[t.starts] == t.ends - t.starts) & (t.ends - t.starts > 1)
+        # of the words as written: lower case may change the length of a text
+        start, end = bounds(p, t.plain_at)
+        up = np.concatenate([[0], np.cumsum(_UPPER[p])])
+        caps = (up[end] - up[start] == end - start) & (end - start > 1)
+        written_at = np.searchsorted(start, t.plain_at)
         per_word = lambda m: _over(_per_row(m, t.to), t.n)
         count = lambda m: _per_row(m, t.to)
         return np.stack([
             count(seed), 100 * per_word(seed), count(weight > 0), 100 * per_word(weight > 0), np.add.reduceat(np.append(weight, 0.0), np.minimum(t.to[:-1], len(weight))) * (t.n > 0),
-            np.bincount(pairs, minlength=len(t.n)).astype(np.float64), 100 * per_word(you), count(near), _over(t.share(_UPPER), letters), per_word(caps),
+            np.bincount(pairs, minlength=len(t.n)).astype(np.float64), 100 * per_word(you), count(near), _over(t.share(_UPPER), letters), _over(_per_row(caps, written_at), np.diff(written_at).astype(np.float64)),
             _over(t.share(_lut("!")), t.n), _over(t.share(_lut("?")), t.n), _over(t.share(_PLAIN | _ODD), chars), _over(_per_row(masked, t.plain_at), t.n), _over(_per_row(stretched, t.plain_at), t.n), np.log1p(t.n),
         ], axis=1)
 

@@ -200,6 +200,15 @@ def test_features_of_odd_texts():
     assert not features.Lexicon(("bad",), {}).features(pa.array([""])).any()
 
 
+def test_capitals_do_not_depend_on_other_rows():
+    texts = ["YOU ARE ALL FOOLS", "İstanbul GROẞ and BIG", "quiet Text HERE", ""]
+    lexicon = features.Lexicon(("fools",), {})
+    alone = np.concatenate([lexicon.features(features.pa.array([x])) for x in texts])
+    together = lexicon.features(features.pa.array(texts))
+    assert np.array_equal(alone, together)
+    assert together[:, features.TOXICITY.index("upper_words")].tolist() == [1.0, 1 / 4, 1 / 3, 0.0]
+
+
 # 6
 def test_bpe_equals_the_library(spark):
     import public_tokenizers
