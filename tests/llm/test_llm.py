@@ -158,6 +158,18 @@ def test_near_duplicates_bridge_two_families(spark, monkeypatch, shard):
     assert {r.doc_id: r.class_id for r in rows} == {i: i // 52 * 52 for i in range(len(texts))}
 
 
+def test_cells_hold_two_blocks_and_meet_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARD", 30)
+    n = 200
+    rows = minhash._cells(spark.createDataFrame([(1, i, n) for i in range(n)], "bucket long, rep long, n long")).collect()
+    met = {}
+    for r in rows:
+        met.setdefault(r.cell, []).append((r.side, r.rep))
+    assert len(met) > 20 and max(map(len, met.values())) < 130
+    pairs = [frozenset((a, b)) for m in met.values() for s, a in m for t, b in m if a < b and (s != t or not any(side for side, _ in m))]
+    assert len(set(pairs)) == n * (n - 1) // 2
+
+
 def test_low_estimate_of_skewed_weights(spark):
     """A line that is repeated very often must not keep two alike texts apart, whether its hash is low or not."""
     words = [f"v{k}" for k in range(900)]
