@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photolake.llm import bpe, components, decontaminate, embeddings, features, licenses, minhash, pii, quality, queries, secrets, toxicity, url_filter
+from photolake.llm import bpe, components, decontaminate, embeddings, features, licenses, minhash, pii, quality, queries, secrets, shared, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key_ string, text_ string"
@@ -139,10 +139,10 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("shard", [4000, 20])
-def test_near_duplicates_bridge_two_families(spark, monkeypatch, shard):
+@pytest.mark.parametrize("block", [2000, 20])
+def test_near_duplicates_bridge_two_families(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
-    monkeypatch.setattr(minhash, "SHARD", shard)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = []
     for s in range(6):
         stream = [f"w{s}x{k}" for k in range(600)]
@@ -159,7 +159,7 @@ def test_near_duplicates_bridge_two_families(spark, monkeypatch, shard):
 
 
 def test_cells_hold_two_blocks_and_meet_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SHARD", 30)
+    monkeypatch.setattr(minhash, "BLOCK", 30)
     n = 200
     rows = minhash._cells(spark.createDataFrame([(1, i, n) for i in range(n)], "bucket long, rep long, n long")).collect()
     met = {}
@@ -175,19 +175,103 @@ def test_low_estimate_of_skewed_weights(spark):
     words = [f"v{k}" for k in range(900)]
     texts = [" ".join(["again"] * 1500 + words[o : o + 600]) for o in (0, 150)]
     idf = (np.zeros(0, np.int64), np.zeros(0))
-    rows = minhash.signatures(docs(spark, texts), "doc_id", "text", idf, minhash.BANDS, minhash.ROWS).collect()
+    rows = minhash.lowest(docs(spark, texts), "doc_id", "text", idf).orderBy("key_").collect()
     shingle, weight, to = minhash.Weights(idf).of(minhash.pa.array(texts))
     x, y = ((shingle[to[i] : to[i + 1]], weight[to[i] : to[i + 1]]) for i in (0, 1))
     assert minhash.weighted_jaccard(x, y) >= 0.8
     assert minhash.low_passes(*(np.frombuffer(r.lowest, minhash._LOW) for r in rows), 0.8)
 
 
-def test_samples_estimate_weighted_jaccard():
+@pytest.mark.parametrize("n", [400, 20_000])
+def test_samples_estimate_weighted_jaccard(n):
     rng = np.random.default_rng(1)
-    shingle = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
-    a, b = rng.random(400) + 0.1, rng.random(400) + 0.1
-    signed = minhash.Sampler(2000).sign(np.concatenate([shingle, shingle]), np.concatenate([a, b]), np.array([0, 400, 800]))
-    assert abs((signed[0] == signed[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+    shingle = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+    for a, b in ((rng.random(n) + 0.1, rng.random(n) + 0.1), (np.where(rng.random(n) < 0.2, 0.3, 1.0), np.ones(n))):
+        signed = minhash.Sampler(2000).sign(np.concatenate([shingle, shingle]), np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        assert abs((signed[0] == signed[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def brute_force_classes(texts):
+    """Components of all pairs of texts with a weighted Jaccard similarity of at least 0.8, weights all counts."""
+    shingle, weight, to = minhash.Weights((np.zeros(0, np.int64), np.zeros(0))).of(minhash.pa.array(texts))
+    sets = [(shingle[to[i] : to[i + 1]], weight[to[i] : to[i + 1]]) for i in range(len(texts))]
+    least = list(range(len(texts)))
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                links += texts[i] != texts[j]
+                x, y = top(i), top(j)
+                least[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))], links
+
+
+@pytest.mark.parametrize("block", [2000, 25])
+def test_near_duplicates_of_a_hot_bucket_equal_brute_force(spark, monkeypatch, block):
+    """One template that most texts share, with contents that differ more or less: many classes meet in the same buckets, of over 16 and over a block's members."""
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, template, texts = np.random.default_rng(5), [f"t{k}" for k in range(160)], []
+    for group in range(40):
+        own = [f"g{group}x{k}" for k in range(60)]
+        for copy in range(6):
+            changed = list(own)
+            for at in rng.choice(60, copy % 3, replace=False):
+                changed[at] = f"c{group}y{copy}z{at}"
+            texts.append(" ".join(template + changed))
+    rows = minhash.near_duplicates(docs(spark, texts)).collect()
+    expected, links = brute_force_classes(texts)
+    got = {r.doc_id: r.class_id for r in rows}
+    assert links > 400 and len(set(expected)) < len(texts) / 3
+    assert np.mean([got[i] == expected[i] for i in range(len(texts))]) >= 0.99
+
+
+def test_near_duplicates_of_the_table_equal_brute_force(spark):
+    """Every pair of different texts that share a shingle, by brute force, against the classes of the whole table."""
+    table = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    rows = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").collect()
+    idf = minhash.idf_table(table.select(F.coalesce("text", F.lit("")).alias("text")), "text")
+    shingle, weight, to = minhash.Weights(idf).of(minhash.pa.array([r.text for r in rows]))
+    row = np.repeat(np.arange(len(rows)), np.diff(to))
+    total = np.bincount(row, weights=weight, minlength=len(rows))
+    shared, order = {}, np.argsort(shingle, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(shingle[order]) != 0, [True]]))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a > 1:
+            at = order[a:b]
+            for x in range(1, len(at)):
+                for y in range(x):
+                    pair = (row[at[y]], row[at[x]])
+                    shared[pair] = shared.get(pair, 0.0) + min(weight[at[x]], weight[at[y]])
+    links = [(rows[a].doc_id, rows[b].doc_id) for (a, b), both in shared.items() if both / (total[a] + total[b] - both) >= 0.8]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table).collect()}
+    assert len(links) > 50 and np.mean([got[a] == got[b] for a, b in links]) >= 0.99
+
+
+def test_deduplicated_keeps_other_texts_of_a_key_and_clashing_columns(spark):
+    names = "key text row row_ bitmap_ at_ hit_ key_ text_ text_key class_id kept".split()
+    schema = "doc_id long, body string, " + ", ".join(f"{n} string" for n in names)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    given = [(1, a), (1, a), (1, b), (2, a), (3, None), (4, None), (None, a), (None, a)]
+    table = spark.createDataFrame([(*g, *[f"{n}{i}" for n in names]) for i, g in enumerate(given)], schema)
+    out = minhash.deduplicated(table, "doc_id", "body").collect()
+    assert sorted(((r.doc_id, r.body) for r in out), key=repr) == sorted([(1, a), (1, b), (3, None), (None, a), (None, a)], key=repr)
+    assert all(r[n][: len(n)] == n and len({r[m][len(m) :] for m in names}) == 1 for r in out for n in names)
+    assert minhash.deduplicated(table.limit(0), "doc_id", "body").count() == 0
+
+
+def test_key_bitmap_marks_all_keys_and_few_others(spark):
+    keys = spark.range(0, 3_000_000, 1000).withColumnRenamed("id", "key")
+    bits = shared.key_bitmap(keys)
+    hit = shared.marked(spark.range(3_000_000).withColumnRenamed("id", "k"), "k", bits).where("hit_")
+    assert hit.where("k % 1000 = 0").count() == 3000 and hit.count() < 300_000
+    assert shared.marked(spark.createDataFrame([(None,), (0,)], "k long"), "k", bits).orderBy("k").collect() == [(None, False), (0, True)]
 
 
 # 5 and 7
