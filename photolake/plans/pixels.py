@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from photolake.fixtures import view
 from photolake.functions import color as K
+from photolake.functions.kernels import mean_of_three
 from photolake.operators import pixels as P
 
 from .registry import query
@@ -259,14 +260,6 @@ def tile_unpack(spark, d):
     return P.unpack_tiles(P.pack_tiles(view(spark, d, "fx_px"), 3), 3)
 
 
-def mean_of_three(tile: np.ndarray) -> np.ndarray:
-    """Mean of the 3×3 window's values in the image."""
-    wide = np.pad(tile, 1, constant_values=np.nan)
-    views = np.stack([wide[a : a + tile.shape[0], b : b + tile.shape[1]] for a in range(3) for b in range(3)])
-    seen = ~np.isnan(views)
-    return np.where(seen, views, 0).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
-
-
 @query("SELECT a.image_id, a.y, a.x, round(1.23e-8 + avg(b.v), 6) AS v FROM fx_px40 a JOIN fx_px40 b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3")
 def tile_map(spark, d):
     """A numpy kernel (3×3 mean) on tiles of 16 with a halo of 1."""

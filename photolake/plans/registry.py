@@ -1,4 +1,4 @@
-"""All queries of the engine by name, and their DuckDB SQL."""
+"""All queries of the engine by name, and their DuckDB SQL. The modules beside this one register theirs when they are imported."""
 
 from __future__ import annotations
 
@@ -24,5 +24,3 @@ def query(sql: str | None = None, name: str | None = None):
 
     return add
 
-
-from photolake.plans import catalogue, develop, pixels, profiles, streams  # noqa: E402, F401  they register their queries
