@@ -32,6 +32,8 @@ FROM (SELECT vec_id, embedding, {i} AS i FROM {embeddings}) e"""
 _PX = "SELECT image_id, y, x, r AS v FROM fx_rgb"
 _PX40 = """
 SELECT CAST(floor(image_id/25) AS BIGINT) AS image_id, CAST(y+8*floor((image_id%25)/5) AS INT) AS y, CAST(x+8*(image_id%5) AS INT) AS x, v FROM fx_px"""
+_RGB64 = """
+SELECT CAST(floor(image_id/64) AS BIGINT) AS image_id, CAST(y+8*floor((image_id%64)/8) AS INT) AS y, CAST(x+8*(image_id%8) AS INT) AS x, r, g, b FROM fx_rgb"""
 _META = """
 SELECT vec_id AS image_id, 8 AS width, 8 AS height, CAST(vec_id%3 AS INT) AS crop_x, CAST(vec_id%4 AS INT) AS crop_y, CAST(4+vec_id%4 AS INT) AS crop_w, CAST(4+vec_id%3 AS INT) AS crop_h,
   CASE WHEN vec_id%5=0 THEN 16 ELSE 8 END AS roi_w, CASE WHEN vec_id%5=0 THEN 16 ELSE 8 END AS roi_h, CAST(vec_id%4 AS INT) AS camera_id,
@@ -59,19 +61,26 @@ SELECT lut_id, 5 AS n, i, j, k, CASE WHEN lut_id = 0 THEN r ELSE 1 - r END AS r,
   SELECT CAST(floor(q/125) AS INT) AS lut_id, CAST(q%5 AS INT) AS i, CAST(floor(q/5)%5 AS INT) AS j, CAST(floor(q/25)%5 AS INT) AS k FROM (SELECT {lattice} AS q) e) f) h"""
 _MATRIX = """
 SELECT camera_id, cct, {nine} AS m FROM (VALUES (0, 2856e0), (0, 6504e0), (1, 2856e0), (1, 6504e0), (2, 5003e0)) AS t(camera_id, cct)"""
-# The 6×6 colour filter pattern.
-_XTRANS = """
-SELECT CAST(floor(q/6) AS INT) AS ry, CAST(q%6 AS INT) AS rx, CAST(substring('110112112110201021112110110112021201', CAST(q+1 AS INT), 1) AS INT) AS plane, CAST(substring('110112112110201021112110110112021201', CAST(q+1 AS INT), 1) AS INT) AS colour FROM (SELECT {pattern} AS q) e"""
+# The 6×6 colour filter pattern, row by row.
+_PATTERN = (
+    "1 1 0 1 1 2",
+    "1 1 2 1 1 0",
+    "2 0 1 0 2 1",
+    "1 1 2 1 1 0",
+    "1 1 0 1 1 2",
+    "0 2 1 2 0 1",
+)
+_XTRANS = "SELECT ry, rx, colour AS plane, colour FROM (VALUES " + ", ".join(f"({y}, {x}, {c})" for y, row in enumerate(_PATTERN) for x, c in enumerate(row.split())) + ") AS t(ry, rx, colour)"
 
 SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "embeddings", "events")
-_VIEWS = {"fx_node": _NODE, "fx_edge": _EDGE, "fx_rgb": _RGB, "fx_px": _PX, "fx_px40": _PX40, "fx_meta": _META, "fx_event": _EVENT, "fx_kelvin": _KELVIN, "fx_tags": _TAGS, "fx_patch": _PATCH, "fx_cfa": _CFA, "fx_lut": _LUT, "fx_matrix": _MATRIX, "fx_xtrans": _XTRANS}
-_NEEDS = {"fx_px": ["fx_rgb"], "fx_px40": ["fx_rgb", "fx_px"]}
+_VIEWS = {"fx_node": _NODE, "fx_edge": _EDGE, "fx_rgb": _RGB, "fx_px": _PX, "fx_px40": _PX40, "fx_rgb64": _RGB64, "fx_meta": _META, "fx_event": _EVENT, "fx_kelvin": _KELVIN, "fx_tags": _TAGS, "fx_patch": _PATCH, "fx_cfa": _CFA, "fx_lut": _LUT, "fx_matrix": _MATRIX, "fx_xtrans": _XTRANS}
+_NEEDS = {"fx_px": ["fx_rgb"], "fx_rgb64": ["fx_rgb"], "fx_px40": ["fx_rgb", "fx_px"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Spark form of a view over the Parquet tables of ``sf_dir``."""
     tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in SOURCES}
-    text = _VIEWS[name].format(s="STRING", o="", i="explode(sequence(0, 63))", cast="transform(embedding, x -> CAST(x AS DOUBLE))", lattice="explode(sequence(0, 249))", pattern="explode(sequence(0, 35))", nine="transform(sequence(0, 8), k -> CASE WHEN k % 4 = 0 THEN 0.8e0 ELSE 0.1e0 END + k * (camera_id + 1) * cct / 1e6)", **tables)
+    text = _VIEWS[name].format(s="STRING", o="", i="explode(sequence(0, 63))", cast="transform(embedding, x -> CAST(x AS DOUBLE))", lattice="explode(sequence(0, 249))", nine="transform(sequence(0, 8), k -> CASE WHEN k % 4 = 0 THEN 0.8e0 ELSE 0.1e0 END + k * (camera_id + 1) * cct / 1e6)", **tables)
     needs = _NEEDS.get(name, [])
     if needs:
         parts = [f"{n} AS ({_VIEWS[n].format(o='', i='explode(sequence(0, 63))', **tables)})" for n in needs]
@@ -84,7 +93,7 @@ def oracle(sql: str) -> str:
     tables = {t: t for t in SOURCES}
     named = [n for n in _VIEWS if any(n in x for x in [sql])]
     every = [n for n in _VIEWS if n in named or any(n in _NEEDS.get(m, []) for m in named)]
-    parts = [f"{n} AS ({_VIEWS[n].format(s='VARCHAR', o='+1', i='unnest(range(64))', cast='CAST(embedding AS DOUBLE[])', lattice='unnest(range(250))', pattern='unnest(range(36))', nine='list_transform(range(9), lambda k: CASE WHEN k % 4 = 0 THEN 0.8e0 ELSE 0.1e0 END + k * (camera_id + 1) * cct / 1e6)', **tables)})" for n in every]
+    parts = [f"{n} AS ({_VIEWS[n].format(s='VARCHAR', o='+1', i='unnest(range(64))', cast='CAST(embedding AS DOUBLE[])', lattice='unnest(range(250))', nine='list_transform(range(9), lambda k: CASE WHEN k % 4 = 0 THEN 0.8e0 ELSE 0.1e0 END + k * (camera_id + 1) * cct / 1e6)', **tables)})" for n in every]
     sql = sql.strip()
     recursive = sql[:14].upper() == "WITH RECURSIVE"
     rest = sql[14:] if recursive else sql[4:] if sql[:4].upper() == "WITH" else None

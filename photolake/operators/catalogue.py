@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photolake.sources.scratch import written
+
 ROOT, FOLDER = "application/folder-root", "application/folder"
 
 
@@ -126,11 +128,12 @@ def import_merge(nodes: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def with_row_numbers(rows: DataFrame, by: str) -> DataFrame:
-    """``rows`` with row_number 1.. in the order of ``by`` without a global window: ranks inside range partitions plus offsets.
+    """``rows`` with row_number 1.. in the order of ``by`` without a global window: ranks inside ranges plus offsets.
 
-    The offsets table has one row for each partition. ``by`` must be unique.
+    The rows are dealt to ranges once and written with their range, so that both branches see the same deal. The offsets
+    table has one row for each range. ``by`` must be unique.
     """
-    dealt = rows.repartitionByRange(by).withColumn("part", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()), "dealt")
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("low"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(by))

@@ -146,11 +146,9 @@ def tile_map(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: in
 
     The kernel gets a 2-D array, NaN outside the image, and returns one of the same shape. A task holds one tile at a time.
     """
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    own = px.select("image_id", "y", "x", "v", F.floor(F.col("y") / size).cast("int").alias("cy"), F.floor(F.col("x") / size).cast("int").alias("cx"), F.explode(near).alias("o"))
-    dealt = own.select("image_id", "y", "x", "v", (F.col("cy") + F.col("o.a")).alias("ty"), (F.col("cx") + F.col("o.b")).alias("tx"))
-    inside = lambda c, t: F.col(c).between(F.col(t) * size - halo, F.col(t) * size + size - 1 + halo)
-    dealt = dealt.where(inside("y", "ty") & inside("x", "tx"))
+    # a pixel goes to the tiles that its halo reaches and to no others: most go to one
+    reached = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size).cast("int"), F.floor((F.col(c) + halo) / size).cast("int")))
+    dealt = px.select("image_id", "y", "x", "v", reached("y").alias("ty")).select("*", reached("x").alias("tx"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(rows.ty.iat[0]) * size - halo, int(rows.tx.iat[0]) * size - halo
@@ -164,3 +162,15 @@ def tile_map(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: in
     return dealt.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id long, y int, x int, v double")
 
 
+
+
+def offset_table(pattern: DataFrame, period: int, radius: int) -> DataFrame:
+    """(ry, rx, dy, dx): for each place of a square filter pattern (ry, rx, colour) the steps to pixels of its own colour, itself left out.
+
+    The pattern repeats, so the table holds for every pixel of that place; it has at most period² · (2·radius+1)² rows.
+    """
+    step = lambda: F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    own = pattern.select("ry", "rx", "colour", step().alias("dy")).select("*", step().alias("dx")).where("dy <> 0 OR dx <> 0")
+    there = own.withColumns({"ty": F.pmod(F.col("ry") + F.col("dy"), F.lit(period)), "tx": F.pmod(F.col("rx") + F.col("dx"), F.lit(period))})
+    other = pattern.select(F.col("ry").alias("ty"), F.col("rx").alias("tx"), "colour")
+    return there.join(other, ["ty", "tx", "colour"]).select("ry", "rx", "dy", "dx")

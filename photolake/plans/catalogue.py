@@ -68,9 +68,10 @@ def collections_by_name(spark, d):
     return C.collections_by_name(nodes(spark, d)).select("fs_node_id", "name_display")
 
 
-@query("SELECT fs_node_id FROM fx_node WHERE type_mime <> 'application/folder-root' AND fs_node_id % 3 = 0")
+@query("SELECT fs_node_id FROM fx_node WHERE type_mime <> 'application/folder-root'")
 def deletable_ids(spark, d):
-    return C.deletable_ids(nodes(spark, d), ids(spark, d, "fs_node_id % 3 = 0"))
+    """Of all nodes those that may be deleted."""
+    return C.deletable_ids(nodes(spark, d), nodes(spark, d).select("fs_node_id"))
 
 
 @query(f"SELECT {NODE} FROM fx_node WHERE time_deleted = 9003 ORDER BY name_display, fs_node_id")
@@ -103,9 +104,9 @@ def parents_of(spark, d):
     return C.parents_of(nodes(spark, d), edges(spark, d)).select("child", "fs_node_id", "name_display")
 
 
-@query("SELECT * FROM fx_edge WHERE fs_node_id_parent = 101 AND fs_node_id_child % 7 = 1 AND time_deleted IS NULL")
+@query("SELECT * FROM fx_edge WHERE fs_node_id_parent = 101 AND fs_node_id_child = 1000001 AND time_deleted IS NULL")
 def get_relation(spark, d):
-    return C.live(edges(spark, d)).where("fs_node_id_parent = 101 AND fs_node_id_child % 7 = 1")
+    return C.live(edges(spark, d)).where("fs_node_id_parent = 101 AND fs_node_id_child = 1000001")
 
 
 @query("SELECT e.* FROM fx_edge e JOIN fx_node p ON p.fs_node_id = e.fs_node_id_parent AND p.time_deleted = e.time_deleted")
@@ -166,11 +167,12 @@ def lookup_any_status(spark, d):
     return nodes(spark, d).where("uri_storage IS NOT NULL").groupBy("uri_storage").agg(F.min_by("fs_node_id", rank).alias("fs_node_id"))
 
 
-@query(f"SELECT n.fs_node_id, n.name_display FROM {LIVE_CHILD} WHERE e.fs_node_id_parent BETWEEN 1000001 AND 1000050 ORDER BY n.time_created DESC, n.name_display, n.fs_node_id LIMIT 20 OFFSET 20")
+@query(f"SELECT parent, fs_node_id, name_display, place FROM (SELECT e.fs_node_id_parent AS parent, n.fs_node_id, n.name_display, row_number() OVER (PARTITION BY e.fs_node_id_parent ORDER BY n.time_created DESC, n.name_display, n.fs_node_id) AS place FROM {LIVE_CHILD}) t WHERE place BETWEEN 21 AND 40")
 def listing_page(spark, d):
-    """Second page of 20 of a listing."""
-    rows = C.children_of(nodes(spark, d), edges(spark, d), ids(spark, d, "fs_node_id BETWEEN 1000001 AND 1000050"))
-    return rows.orderBy(F.desc("time_created"), "name_display", "fs_node_id").offset(20).limit(20).select("fs_node_id", "name_display")
+    """The second page of 20 of every folder's listing."""
+    w = C.Window.partitionBy("parent").orderBy(F.desc("time_created"), "name_display", "fs_node_id")
+    rows = C.children_of(nodes(spark, d), edges(spark, d)).withColumn("place", F.row_number().over(w))
+    return rows.where("place BETWEEN 21 AND 40").select("parent", "fs_node_id", "name_display", "place")
 
 
 @query("SELECT user_id, item, place FROM (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) AS place FROM (SELECT user_id, item, max(ts) AS ts FROM fx_event GROUP BY 1, 2) a) b WHERE place <= 3")
@@ -240,12 +242,13 @@ def import_merge(spark, d):
     return C.import_merge(nodes(spark, d), picks(spark, d)).drop("time_modified")
 
 
-@query("""WITH pairs AS (SELECT DISTINCT fs_node_id_child AS c, fs_node_id_parent AS p FROM fx_edge WHERE id % 3 = 0 UNION SELECT fs_node_id, 0 FROM fx_node WHERE fs_node_id BETWEEN 1000001 AND 1000099)
+@query("""WITH pairs AS (SELECT DISTINCT fs_node_id_child AS c, fs_node_id_parent AS p FROM fx_edge WHERE time_deleted IS NOT NULL UNION SELECT fs_node_id, 0 FROM fx_node WHERE type_mime = 'application/folder')
 SELECT coalesce(e.id, p.c * 10000000 + p.p) AS id, coalesce(fs_node_id_child, c) AS fs_node_id_child, coalesce(fs_node_id_parent, p) AS fs_node_id_parent, CASE WHEN p.c IS NULL THEN time_deleted END AS time_deleted
 FROM fx_edge e FULL JOIN pairs p ON p.c = e.fs_node_id_child AND p.p = e.fs_node_id_parent""")
 def link_merge(spark, d):
-    pairs = edges(spark, d).where("id % 3 = 0").select(F.col("fs_node_id_child").alias("child"), F.col("fs_node_id_parent").alias("parent"))
-    new = ids(spark, d, "fs_node_id BETWEEN 1000001 AND 1000099").select(F.col("fs_node_id").alias("child"), F.lit(0).cast("long").alias("parent"))
+    """All dead edges are linked again, and every folder is linked to the root."""
+    pairs = edges(spark, d).where("time_deleted IS NOT NULL").select(F.col("fs_node_id_child").alias("child"), F.col("fs_node_id_parent").alias("parent"))
+    new = ids(spark, d, "type_mime = 'application/folder'").select(F.col("fs_node_id").alias("child"), F.lit(0).cast("long").alias("parent"))
     return C.link_merge(edges(spark, d), pairs.unionByName(new))
 
 
@@ -285,46 +288,54 @@ def recycle_layout_migration(spark, d):
     return old.unionByName(nodes(spark, d).limit(0), allowMissingColumns=True).select("fs_node_id", "time_deleted")
 
 
-@query("SELECT 20000000 + fs_node_id AS fs_node_id, concat('Album ', name_display) AS name_display, (20000000 + fs_node_id) * 10000000 AS edge_id FROM fx_node WHERE fs_node_id BETWEEN 100 AND 150")
+@query("SELECT 20000000 + fs_node_id AS fs_node_id, concat('Album ', name_display) AS name_display, (20000000 + fs_node_id) * 10000000 AS edge_id FROM fx_node WHERE type_mime = 'application/folder'")
 def create_collection(spark, d):
-    """A new folder with an edge to the root for each nation."""
-    n = nodes(spark, d).where("fs_node_id BETWEEN 100 AND 150")
+    """A new folder with an edge to the root for each folder."""
+    n = nodes(spark, d).where("type_mime = 'application/folder'")
     new = n.select((F.lit(20000000) + F.col("fs_node_id")).alias("fs_node_id"), F.concat(F.lit("Album "), "name_display").alias("name_display"))
     return new.withColumn("edge_id", F.col("fs_node_id") * 10000000)
 
 
-@query("""WITH RECURSIVE up(start, node) AS (SELECT fs_node_id, fs_node_id FROM fx_node WHERE fs_node_id % 11 = 3
+@query("""WITH RECURSIVE up(start, node) AS (SELECT fs_node_id, fs_node_id FROM fx_node
   UNION SELECT u.start, e.fs_node_id_parent FROM up u JOIN fx_edge e ON e.fs_node_id_child = u.node AND e.time_deleted IS NULL)
 SELECT start, node AS fs_node_id FROM up""")
 def ancestors(spark, d):
-    return G.closure(edges(spark, d), ids(spark, d, "fs_node_id % 11 = 3"), up=True).select("start", "fs_node_id")
+    return G.closure(edges(spark, d), nodes(spark, d).select("fs_node_id"), up=True).select("start", "fs_node_id")
 
 
-@query("""WITH RECURSIVE down(start, node) AS (SELECT fs_node_id, fs_node_id FROM fx_node WHERE fs_node_id BETWEEN 1 AND 120
+@query("""WITH RECURSIVE down(start, node) AS (SELECT fs_node_id, fs_node_id FROM fx_node
   UNION SELECT u.start, e.fs_node_id_child FROM down u JOIN fx_edge e ON e.fs_node_id_parent = u.node AND e.time_deleted IS NULL)
 SELECT start, node AS fs_node_id FROM down""")
 def subtree(spark, d):
-    return G.closure(edges(spark, d), ids(spark, d, "fs_node_id BETWEEN 1 AND 120"), up=False).select("start", "fs_node_id")
+    return G.closure(edges(spark, d), nodes(spark, d).select("fs_node_id"), up=False).select("start", "fs_node_id")
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT fs_node_id_parent AS child, fs_node_id_child AS parent FROM fx_edge WHERE id % 7 = 1 UNION SELECT fs_node_id, fs_node_id FROM fx_node WHERE fs_node_id < 200),
+@query("""WITH RECURSIVE pairs AS (SELECT fs_node_id_parent AS child, fs_node_id_child AS parent FROM fx_edge UNION SELECT fs_node_id, fs_node_id FROM fx_node),
 up(start, node) AS (SELECT DISTINCT parent, parent FROM pairs UNION SELECT u.start, e.fs_node_id_parent FROM up u JOIN fx_edge e ON e.fs_node_id_child = u.node AND e.time_deleted IS NULL)
 SELECT p.child, p.parent, u.node IS NOT NULL AS cycle FROM pairs p LEFT JOIN up u ON u.start = p.parent AND u.node = p.child""")
 def would_create_cycle(spark, d):
-    back = edges(spark, d).where("id % 7 = 1").select(F.col("fs_node_id_parent").alias("child"), F.col("fs_node_id_child").alias("parent"))
-    own = ids(spark, d, "fs_node_id < 200").select(F.col("fs_node_id").alias("child"), F.col("fs_node_id").alias("parent"))
+    back = edges(spark, d).select(F.col("fs_node_id_parent").alias("child"), F.col("fs_node_id_child").alias("parent"))
+    own = nodes(spark, d).select(F.col("fs_node_id").alias("child"), F.col("fs_node_id").alias("parent"))
     return G.would_create_cycle(edges(spark, d), back.unionByName(own))
 
 
-def _fallen(targets: str) -> str:
-    """The cascade level by level: the tree of the view has five levels and every edge joins neighbouring ones."""
-    live = "SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL AND type_mime <> 'application/folder-root'"
-    levels = [f"f0 AS (SELECT fs_node_id FROM ({live}) a WHERE {targets})"]
+def _fallen(targets: str | None = None) -> str:
+    """The cascade level by level, from the nodes that meet the condition or else from the table target: the tree of the view has five levels and every edge joins neighbouring ones."""
+    levels = [
+        "alive AS MATERIALIZED (SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL AND type_mime <> 'application/folder-root')",
+        "hung AS MATERIALIZED (SELECT e.fs_node_id_child AS c, e.fs_node_id_parent AS p FROM fx_edge e JOIN alive a ON a.fs_node_id = e.fs_node_id_child WHERE e.time_deleted IS NULL)",
+        f"f0 AS MATERIALIZED (SELECT fs_node_id FROM alive {f'WHERE {targets}' if targets else 'JOIN target USING (fs_node_id)'})",
+    ]
     for k in range(1, 5):
-        levels.append(f"f{k} AS (SELECT fs_node_id FROM f{k-1} UNION SELECT c.fs_node_id FROM ({live}) c WHERE EXISTS (SELECT 1 FROM fx_edge e WHERE e.fs_node_id_child = c.fs_node_id AND e.time_deleted IS NULL) AND NOT EXISTS (SELECT 1 FROM fx_edge e WHERE e.fs_node_id_child = c.fs_node_id AND e.time_deleted IS NULL AND e.fs_node_id_parent NOT IN (SELECT fs_node_id FROM f{k-1})))")
+        levels.append(f"f{k} AS MATERIALIZED (SELECT fs_node_id FROM f{k-1} UNION SELECT c FROM hung LEFT JOIN f{k-1} f ON f.fs_node_id = p GROUP BY c HAVING count(*) = count(f.fs_node_id))")
     return ", ".join(levels)
 
 
+def _stamped(at: int) -> str:
+    """The edges with ``at`` on the live ones of a fallen child or parent."""
+    return f"SELECT e.*, CASE WHEN e.time_deleted IS NULL AND (c.fs_node_id IS NOT NULL OR p.fs_node_id IS NOT NULL) THEN {at} ELSE e.time_deleted END AS t FROM fx_edge e LEFT JOIN f4 c ON c.fs_node_id = e.fs_node_id_child LEFT JOIN f4 p ON p.fs_node_id = e.fs_node_id_parent"
+
+
 TARGETS = "fs_node_id IN (2, 103, 2000005) OR fs_node_id % 50 = 7"
 
 
@@ -333,7 +344,7 @@ def soft_delete_cascade(spark, d):
     return G.soft_delete(nodes(spark, d), edges(spark, d), ids(spark, d, TARGETS), 9300)[0].select("fs_node_id", "time_deleted")
 
 
-@query(f"WITH {_fallen(TARGETS)} SELECT e.id, CASE WHEN e.time_deleted IS NULL AND (e.fs_node_id_child IN (SELECT fs_node_id FROM f4) OR e.fs_node_id_parent IN (SELECT fs_node_id FROM f4)) THEN 9300 ELSE e.time_deleted END AS time_deleted FROM fx_edge e")
+@query(f"WITH {_fallen(TARGETS)} SELECT id, t AS time_deleted FROM ({_stamped(9300)}) s")
 def soft_delete_cascade_edges(spark, d):
     return G.soft_delete(nodes(spark, d), edges(spark, d), ids(spark, d, TARGETS), 9300)[1].select("id", "time_deleted")
 
@@ -345,12 +356,13 @@ def delete_forever(spark, d):
     return G.delete_forever(nodes(spark, d), edges(spark, d), ids(spark, d, "fs_node_id < 1001000"))[1].select("id")
 
 
-RECONCILED = f"(fs_node_id IN (SELECT fs_node_id FROM fx_node WHERE {FILES} AND uri_storage NOT IN (SELECT uri FROM fx_event)) OR fs_node_id IN ({ORPHAN}))"
+TARGET = f"""target AS MATERIALIZED (SELECT fs_node_id FROM fx_node WHERE {FILES} AND uri_storage NOT IN (SELECT uri FROM fx_event)
+ UNION SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL AND type_mime <> 'application/folder-root' AND fs_node_id NOT IN (SELECT e.fs_node_id_child FROM fx_edge e JOIN fx_node p ON p.fs_node_id = e.fs_node_id_parent WHERE e.time_deleted IS NULL AND p.time_deleted IS NULL))"""
 
 
-@query(f"""WITH {_fallen(RECONCILED)}, dead AS (SELECT n.fs_node_id FROM fx_node n WHERE n.time_deleted IS NULL AND n.fs_node_id NOT IN (SELECT fs_node_id FROM f4)),
-e1 AS (SELECT e.*, CASE WHEN e.time_deleted IS NULL AND (e.fs_node_id_child IN (SELECT fs_node_id FROM f4) OR e.fs_node_id_parent IN (SELECT fs_node_id FROM f4)) THEN 9400 ELSE e.time_deleted END AS t FROM fx_edge e)
-SELECT id, CASE WHEN t IS NULL AND fs_node_id_parent NOT IN (SELECT fs_node_id FROM dead) THEN 9401 ELSE t END AS time_deleted FROM e1""")
+@query(f"""WITH {TARGET}, {_fallen()}, state AS MATERIALIZED (SELECT n.fs_node_id, f.fs_node_id IS NOT NULL AS fell, n.time_deleted IS NULL AND f.fs_node_id IS NULL AS stands FROM fx_node n LEFT JOIN f4 f ON f.fs_node_id = n.fs_node_id)
+SELECT e.id, CASE WHEN e.time_deleted IS NOT NULL THEN e.time_deleted WHEN coalesce(c.fell, false) OR coalesce(p.fell, false) THEN 9400 WHEN NOT coalesce(p.stands, false) THEN 9401 END AS time_deleted
+FROM fx_edge e LEFT JOIN state c ON c.fs_node_id = e.fs_node_id_child LEFT JOIN state p ON p.fs_node_id = e.fs_node_id_parent""")
 def reconcile(spark, d):
     n = nodes(spark, d)
     missing = C.missing_files(n, view(spark, d, "fx_event"))

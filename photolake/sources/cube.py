@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, i, j, k, r, g, b) of every .cube file under ``path``: n³ rows a file, i for red, which runs fastest.
+    """The points of every .cube file under ``path``; a file is one row until its lines are exploded."""
+    return parse_cube(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "file", "value")
 
-    A file is one row until its lines are exploded: n is at most 256 by the format. Comments and keywords other than
-    LUT_3D_SIZE are passed over. A file without that keyword, or with another number of rows than n³, gives no rows.
+
+def parse_cube(texts: DataFrame, file: str, text: str) -> DataFrame:
+    """(file, n, i, j, k, r, g, b) of the .cube texts in the column ``text``: n³ rows each, i for red, which runs fastest.
+
+    n is at most 256 by the format. Comments and keywords other than LUT_3D_SIZE are passed over. A text without that
+    keyword, or with another number of rows than n³, gives no rows.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    files = texts.select(F.col(file).alias("file"), F.split(text, r"\r?\n").alias("lines"))
     n = F.regexp_extract(F.array_join("lines", "\n"), r"(?m)^\s*LUT_3D_SIZE\s+(\d+)", 1)
     points = F.filter(F.transform("lines", lambda s: F.trim(s)), lambda s: s.rlike(r"^[-+.\d]"))
     files = files.select("file", n.try_cast("int").alias("n"), points.alias("points"))

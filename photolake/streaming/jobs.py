@@ -34,26 +34,38 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def import_stream(events: DataFrame) -> DataFrame:
-    """Each picked URI once, however often it is picked."""
-    return events.select(F.concat(F.lit("content://media/"), F.col("event_id") % 500).alias("uri")).dropDuplicates(["uri"])
+def import_stream(events: DataFrame, horizon: str = "30 days") -> DataFrame:
+    """Each picked URI once within ``horizon``: the state forgets a URI that long after its first pick, so it stays bounded.
 
+    A pick that comes later than ``horizon`` behind the newest one is dropped.
+    """
+    picks = events.select("ts", F.concat(F.lit("content://media/"), F.col("event_id") % 500).alias("uri"))
+    return picks.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["uri"])
 
-def recent_stream(events: DataFrame, cap: int) -> DataFrame:
-    """The user's most recent items, newest first, each once, at most ``cap``, as a comma-joined list after each batch."""
+
+def recent_stream(events: DataFrame, cap: int, horizon: str = "30 days") -> DataFrame:
+    """The user's most recent items, newest first, each once, at most ``cap``, as a comma-joined list after each batch.
+
+    The state of a user holds ``cap`` items: one that has left the list returns only by a newer use. A user who is idle for
+    longer than ``horizon`` behind the newest event is forgotten.
+    """
 
     def push(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = dict(zip(*state.get, strict=True)) if state.exists else {}
         for rows in batches:
             for item, ts in rows.groupby("item").ts.max().items():
-                last[item] = max(last.get(item, 0), int(ts))
-        # an item's newest use decides, so all items of a user are kept; the cap bounds what is shown
-        state.update((list(last), list(last.values())))
+                last[item] = max(last.get(item, 0), int(ts.value // 1000))
         top = sorted(last, key=lambda i: (-last[i], i))[:cap]
+        state.update((top, [last[i] for i in top]))
+        newest = max(last.values()) // 1000
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "items": [",".join(top)]})
 
-    keyed = events.select("user_id", F.col("event_type").alias("item"), F.unix_micros("ts").alias("ts"))
-    return keyed.groupBy("user_id").applyInPandasWithState(push, "user_id long, items string", "items array<string>, times array<long>", "update", GroupStateTimeout.NoTimeout)
+    keyed = events.select("user_id", F.col("event_type").alias("item"), "ts").withWatermark("ts", horizon)
+    return keyed.groupBy("user_id").applyInPandasWithState(push, "user_id long, items string", "items array<string>, times array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts_stream(events: DataFrame) -> DataFrame:
