@@ -40,8 +40,8 @@ BANDS, ROWS = 16, 5
 #: occurs; above that its weight falls with the logarithm of its share, to LEAST for one that is everywhere.
 BINS, COMMON, LEAST = 1 << 20, 1 / 256, 0.1
 _BLOCK = 1 << 14
-#: Members of a bucket that make a block; a task compares two blocks at most.
-BLOCK = 2000
+#: Members of a bucket that make a block of a cell, of which a task compares two at most; members that are led in one go.
+BLOCK, LEAD_BLOCK = 2000, 250
 #: How far under the similarity a pair's estimate may lie for it to be verified (2.7 standard deviations), and from which
 #: estimate on a member needs no place among the leaders.
 MARGIN, COVERED = 0.12, 0.85
@@ -294,7 +294,7 @@ def _led(members: DataFrame, width: int, similarity: float) -> DataFrame:
                     out.append((bucket, one, None, None, total, sketches[i].tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "one", "other", "like", "total", "sketch"]).astype({"bucket": "int64", "one": "int64", "other": "Int64"})
 
-    dealt_from = BLOCK
+    dealt_from = LEAD_BLOCK
     # each bucket has an order of its own, so that members meet other leaders in each band
     dealt = members.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", F.xxhash64("rep", "bucket"))
     return dealt.mapInPandas(meet, "bucket long, one long, other long, like double, total double, sketch binary")
@@ -382,7 +382,7 @@ def band_members(reps: DataFrame) -> DataFrame:
 
 def first_candidates(members: DataFrame, reps: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, to verify: each member of a bucket with the leader that is most like it."""
-    shard = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("long").alias("shard")
+    shard = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / LEAD_BLOCK)).cast("long").alias("shard")
     about = members.select("bucket", "rep", "n", shard).join(reps.select("rep", "sketch", "total"), "rep")
     led = written(_led(about, bands * rows, similarity), "led")
     first = led.where("other is not null").select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))

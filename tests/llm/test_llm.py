@@ -143,6 +143,7 @@ def test_near_duplicates(spark):
 def test_near_duplicates_bridge_two_families(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LEAD_BLOCK", block)
     texts = []
     for s in range(6):
         stream = [f"w{s}x{k}" for k in range(600)]
@@ -217,6 +218,7 @@ def test_near_duplicates_of_a_hot_bucket_equal_brute_force(spark, monkeypatch, b
     """One template that most texts share, with contents that differ more or less: many classes meet in the same buckets, of over 16 and over a block's members."""
     monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LEAD_BLOCK", block)
     rng, template, texts = np.random.default_rng(5), [f"t{k}" for k in range(160)], []
     for group in range(40):
         own = [f"g{group}x{k}" for k in range(60)]
