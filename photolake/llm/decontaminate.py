@@ -4,9 +4,11 @@ Passages are overlapping windows of words, long enough that every item lies whol
 divided by the score that the item itself would get, so 1 means that all its words are there. Block-max WAND prunes: the
 frequent terms of an item whose weights together stay under the threshold cannot bring it in alone, so only the other
 (essential) terms are looked for; items are grouped to blocks, and a passage opens a block only if the block's largest
-weights of the passage's essential terms, with the most that the frequent ones could add, reach the threshold. Opened
-blocks are scored in full. The bounds of all passages of a batch are computed at once. What is retrieved is verified by
-the overlap of word shingles with the item's question part and with its answer part.
+weights of the passage's essential terms, with the most that the frequent ones could add, reach the threshold. The items
+of opened blocks are scored from the posting lists of the passage's terms in these blocks. The bounds of all passages of a
+batch are computed at once. What is retrieved is verified by the overlap of word shingles with the item's question part
+and with its answer part; of an answer under SHORT_ANSWER words, in which one edit would spoil most shingles, the words
+count. Document frequencies, mean and largest length are those of all items, however many indexes hold them.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import key_bitmap, marked, written
 from .words import bounds, hashes, lowered, pieces, shingles, words
 
 THRESHOLD, OVERLAP, SHINGLE, LEAST_WINDOW = 0.6, 0.5, 5, 128
-#: Items of one index; a longer list is cut to several indexes, each asked by all passages.
-MAX_ITEMS = 20_000
+#: Items, and bytes of their texts, of one index; a longer list is cut to several indexes, each asked by all passages.
+MAX_ITEMS, MAX_BYTES = 20_000, 32 << 20
+#: Answers of fewer words are compared word by word.
+SHORT_ANSWER = 10
 K1, B = 1.2, 0.75
 #: Share of the threshold that the frequent terms of an item may bring in unseen. More makes fewer terms essential, less
 #: makes tighter bounds; any share under 1 gives the same results.
@@ -41,6 +46,26 @@ class Item:
     weights: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    by_words: bool
+
+
+@dataclass
+class Counts:
+    """Of all items: their number, mean and largest number of words, and the document frequencies of some terms (sorted hashes)."""
+
+    items: int
+    mean: float
+    largest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Counts:
+        hashed, to = words(pa.array(texts, pa.large_string()))
+        sizes = np.diff(to)
+        own = [np.unique(hashed[to[i] : to[i + 1]]) for i in range(len(texts))]
+        terms, df = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.uint64), return_counts=True)
+        return cls(len(texts), float(sizes.mean()) if len(sizes) else 0.0, int(sizes.max(initial=0)), terms, df)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -62,8 +87,9 @@ def _shingle_set(text: str) -> np.ndarray:
 class Index:
     """Inverted index of a bounded list of (key, text); picklable, built anew by each worker from the texts."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counts: Counts | None = None):
         self.threshold = threshold
+        counts = counts or Counts.of([t for _, t in items])
         data, at = lowered(pa.array([t for _, t in items], pa.large_string()))
         starts, ends = bounds(data, at)
         hashed, to = hashes(data, starts, ends), np.searchsorted(starts, at)
@@ -71,11 +97,11 @@ class Index:
         length = np.zeros(len(self.vocabulary))
         np.maximum.at(length, term, ends - starts)
         sizes = np.diff(to)
-        self.window = max(LEAST_WINDOW, 2 * int(sizes.max(initial=0)))
+        self.window = max(LEAST_WINDOW, 2 * counts.largest)
         own = [np.unique(term[to[i] : to[i + 1]], return_counts=True) for i in range(len(items))]
-        df = np.bincount(np.concatenate([t for t, _ in own] + [np.zeros(0, np.int64)]).astype(np.int64), minlength=len(self.vocabulary))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        mean = max(sizes.mean(), 1) if len(sizes) else 1
+        df = counts.df[np.searchsorted(counts.terms, self.vocabulary)] if len(self.vocabulary) else np.zeros(0)
+        idf = np.log(1 + (counts.items - df + 0.5) / (df + 0.5))
+        mean = max(counts.mean, 1)
         blocks = min(MOST_BLOCKS, max(1, len(items) // 8))
         self.block_of = np.arange(len(items)) * blocks // max(len(items), 1)
         self.block_max = np.zeros((len(self.vocabulary), blocks), dtype=np.float32)
@@ -95,8 +121,17 @@ class Index:
             np.maximum.at(self.block_max[:, b], t[needed], w[needed].astype(np.float32))
             self.rest_max[b] = max(self.rest_max[b], w[free].sum())
             question, answer = question_and_answer(text)
-            self.items.append(Item(key, t, w, _shingle_set(question), _shingle_set(answer)))
+            by_words = 0 < len(answer_words := words(pa.array([answer]))[0]) < SHORT_ANSWER
+            self.items.append(Item(key, t, w, _shingle_set(question), np.unique(answer_words) if by_words else _shingle_set(answer), by_words))
         self.essential = essential
+        # posting lists: for each block and term the items and weights
+        block = np.repeat(self.block_of, [len(i.terms) for i in self.items]) if items else np.zeros(0, np.int64)
+        place = block * max(len(self.vocabulary), 1) + np.concatenate([*[i.terms for i in self.items], np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        self.lists, starts = np.unique(place[order], return_index=True)
+        self.list_at = np.append(starts, len(order))
+        self.list_item = np.repeat(np.arange(len(items)), [len(i.terms) for i in self.items])[order] if items else np.zeros(0, np.int64)
+        self.list_weight = np.concatenate([*[i.weights for i in self.items], np.zeros(0)])[order]
         self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.maybe[self._low(self.vocabulary[essential])] = True
 
@@ -141,27 +176,35 @@ class Index:
             rows.append(r), wins.append(n - first_window[r]), blocks.append(b)
         return np.concatenate(rows), np.concatenate(wins), np.concatenate(blocks)
 
+    def scores(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of ``blocks`` that share a term with the passage, and their scores, from the posting lists."""
+        asked = (blocks[:, None] * len(self.vocabulary) + terms[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.lists, asked), len(self.lists) - 1)
+        at = at[self.lists[at] == asked]
+        first, sizes = self.list_at[at], self.list_at[at + 1] - self.list_at[at]
+        one = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(at) else at
+        items, which = np.unique(self.list_item[one], return_inverse=True)
+        return items, np.bincount(which, self.list_weight[one], len(items))
+
     def query(self, column: pa.Array, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item number, score, question overlap, answer overlap) of the best verified passage of each row and item."""
         hashed, to = words(column)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        order = [x.tolist() for x in self.opened(hashed, to)]
-        passage, score_of, own = None, None, None
-        for row, window, block in zip(*order, strict=True):
-            if (row, window) != passage:
-                passage, own = (row, window), None
-                a = to[row] + window * (self.window // 2)
-                part = hashed[a : min(a + self.window, to[row + 1])]
-                score_of = np.zeros(len(self.vocabulary), dtype=bool)
-                score_of[self._terms(part)[1]] = True
-            for k in np.flatnonzero(self.block_of == block):
-                item = self.items[k]
-                score = float(item.weights[score_of[item.terms]].sum())
-                if score < self.threshold or best.get((row, k), (0.0,))[0] >= score:
+        rows, windows, blocks = self.opened(hashed, to)
+        if not len(rows):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1])]))
+        for first, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            row = int(rows[first])
+            a = to[row] + int(windows[first]) * (self.window // 2)
+            part, own = hashed[a : min(a + self.window, to[row + 1])], None
+            items, scores = self.scores(np.unique(self._terms(part)[1]), blocks[first:end])
+            for k, score in zip(items[scores >= self.threshold].tolist(), scores[scores >= self.threshold].tolist(), strict=True):
+                if best.get((row, k), (0.0,))[0] >= score:
                     continue
-                if own is None:
-                    own = part_shingles(part)
-                q, ans = (np.isin(x, own).mean() if len(x) else 0.0 for x in (item.question, item.answer))
+                item, own = self.items[k], part_shingles(part) if own is None else own
+                q = np.isin(item.question, own).mean() if len(item.question) else 0.0
+                ans = np.isin(item.answer, part if item.by_words else own).mean() if len(item.answer) else 0.0
                 if q >= overlap and ans >= overlap:
                     best[row, k] = (score, float(q), float(ans))
         for (row, k), found in best.items():
@@ -181,34 +224,55 @@ def part_shingles(hashed: np.ndarray) -> np.ndarray:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    threshold: float = THRESHOLD, overlap: float = OVERLAP, max_items: int = MAX_ITEMS,
+    threshold: float = THRESHOLD, overlap: float = OVERLAP, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap): one row for each text and item that a passage of it holds.
 
     ``score`` is the passage's BM25 score as a share of the item's own; it and both overlaps (share of five-word
-    shingles; a part of fewer words is one shingle) are of the best passage that has at least ``threshold`` and twice
+    shingles; a part of fewer words is one shingle; of a short answer the share of its words) are of the best passage that has at least ``threshold`` and twice
     ``overlap``. Null and empty texts and items match nothing. Repeated rows of ``docs`` are judged each, repeated
     items once. Other columns are not read. Empty tables give an empty result. The item list is broadcast in parts of
-    at most ``max_items``; texts are not shuffled.
+    about ``max_items`` items and ``max_bytes`` bytes at most, which changes no figure; texts are not shuffled.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    parts = max(1, -(-items.count() // max_items))
+    count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // max_items), -(-size // max_bytes))
     # hashing deals evenly enough that the bound is taken with room
     numbered = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    tokens = written(numbered.mapInArrow(_tokens, "part long, term long, words long"), "item-terms")
+    df = tokens.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    mean, largest = tokens.where("term is null").agg(F.coalesce(F.avg("words"), F.lit(0.0)), F.coalesce(F.max("words"), F.lit(0))).first()
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
     out = None
     for k in range(parts):
         listed = [tuple(r) for r in numbered.where(F.col("part") == k).select("item", "text").orderBy("item", "text").collect()]
-        found = _ask(rows, listed, threshold, overlap)
+        # the terms of a part's items, of bounded number like these
+        own = tokens.where((F.col("part") == k) & F.col("term").isNotNull()).select("term").distinct().join(df, "term").toPandas()
+        terms = own["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        found = _ask(rows, listed, Counts(count, mean, largest, terms[order], own["df"].to_numpy(np.int64)[order]), threshold, overlap)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("key_").alias(key), F.col("item").alias(item), "score", "question_overlap", "answer_overlap")
 
 
-def _ask(rows: DataFrame, items: list[tuple[int, str]], threshold: float, overlap: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, null) for each distinct term of an item and (part, null, words) for each item."""
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            hashed, to = words(piece.column(1))
+            own = [np.unique(hashed[to[i] : to[i + 1]]).view(np.int64) for i in range(piece.num_rows)]
+            part = piece.column(2).to_numpy(zero_copy_only=False)
+            term = np.concatenate([*own, np.zeros(piece.num_rows, np.int64)])
+            none = np.arange(len(term)) >= len(term) - piece.num_rows
+            sizes = np.concatenate([np.zeros(len(term) - piece.num_rows, np.int64), np.diff(to)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(part, [len(o) for o in own]), part]), pa.int64()), pa.array(term, pa.int64(), mask=none), pa.array(sizes, pa.int64(), mask=~none)], ["part", "term", "words"])
+
+
+def _ask(rows: DataFrame, items: list[tuple[int, str]], counts: Counts, threshold: float, overlap: float) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((items, counts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, threshold)
+        index = Index(shared.value[0], threshold, shared.value[1])
         for batch in batches:
             for part in pieces(batch, "text_"):
                 found = list(index.query(part.column(1), overlap))
@@ -222,7 +286,16 @@ def _ask(rows: DataFrame, items: list[tuple[int, str]], threshold: float, overla
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; a row without a key is judged by its text like any other."""
-    texts = docs.withColumn("text_key_", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    leaks = find_leaks(texts, benchmark, "text_key_", text, **options).select("text_key_").distinct()
-    return texts.join(leaks, "text_key_", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds an item; a row without a key is judged by its text like any other.
+
+    Columns stay as they are, whatever their names; repeated rows stay or go together. Null and empty texts stay. An empty
+    table gives an empty result. Only rows that a bitmap of bounded size does not clear are moved, to be told by their
+    texts' MD5; all others pass.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    found = find_leaks(texts.select(F.struct("text_key", "key").alias("k"), "text"), benchmark, "k", "text", **options)
+    leaks = written(found.select("k.*").distinct(), "leaks")
+    rows = marked(rows, "key", key_bitmap(leaks.select("key").distinct()))
+    clear = rows.where("not hit_").select("row")
+    return clear.unionByName(rows.where("hit_").join(leaks.select("text_key"), "text_key", "left_anti").select("row")).select("row.*")

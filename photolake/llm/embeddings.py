@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import discard, written
 
-COSINE, TABLES, BITS, SEED = 0.9, 32, 12, 7
+COSINE, RECALL, SEED = 0.9, 0.995, 7
+#: Mean number of vectors of a code, were they spread evenly.
+CROWD = 4
 #: Members of a bucket that one task compares at once. A larger bucket is cut into blocks, and each pair of blocks is a
 #: piece of work of its own.
 BLOCK = 1024
@@ -60,6 +63,18 @@ def coded(rows: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     return rows.mapInArrow(code, "id_ long, v binary, width int, codes binary")
 
 
+def tables_and_bits(n: int, cosine: float, recall: float) -> tuple[int, int]:
+    """Bits of a code, so that ``n`` evenly spread vectors are about CROWD to a code, and the tables that then keep ``recall`` at the threshold.
+
+    Two vectors at the threshold agree in a bit with the probability 1 - angle / pi. So the chance meetings of a table grow
+    with n, not with its square, and the tables with about the fifth root of n.
+    """
+    bits = max(4, math.ceil(math.log2(max(n, 1) / CROWD))) if n > CROWD else 4
+    bits = min(bits, 30)
+    meet = (1 - math.acos(cosine) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))), bits
+
+
 def _linked(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, table: int, cosine: float, same: bool) -> np.ndarray:
     """Index pairs with the least cosine that meet in ``table`` and in no table before it."""
     i, j = np.nonzero(x @ y.T >= cosine)
@@ -142,19 +157,21 @@ def _rows(ids: list, counts: list, edges: list) -> pd.DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, seed: int = SEED,
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, recall: float = RECALL, seed: int = SEED,
 ) -> DataFrame:
     """One row for each row of ``vectors``: key, n_links, component_id, kept.
 
     ``n_links``: other vectors with a cosine of at least ``cosine`` (in double precision) that share a code in some
     table; ``component_id``: the smallest key reachable by links, itself included. A pair at the threshold is met with
-    a probability of 0.995, one of cosine 0.95 practically always. Vectors that are null, empty, zero or hold null or
+    the probability ``recall``, one of cosine 0.95 practically always. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different lengths never link. Equal vectors are compared as
     one and count as links of each other. Rows that repeat a key are one vector each for the counts and share a
     component; a row without a key has null for all but n_links, which is 0. Other columns are not read.
     An empty table gives an empty result.
     """
+    tables, bits = tables_and_bits(vectors.count(), cosine, recall)
     rows = written(coded(usable(vectors, key, vector), tables, bits, seed), "coded")
+    rows_table = rows
     rows = rows.where("id_ is not null").withColumn("same", F.md5(F.concat("v", F.lit("").cast("binary"))))
     reps = written(rows.groupBy("same").agg(F.min("id_").alias("id_"), F.min("v").alias("v"), F.min("width").alias("width"), F.min("codes").alias("codes"), F.count(F.lit(1)).alias("copies")), "vectors")
     code = lambda t: F.conv(F.hex(F.substring("codes", 4 * t + 1, 4)), 16, 10).cast("long")
@@ -176,6 +193,8 @@ def near_vectors(
     named = named.select("same", links.alias("n_links"), F.coalesce("component", "id_").alias("component_id"))
     # per row again: a key's rows may be usable and unusable ones
     linked = rows.select("id_", "same").join(named, "same").groupBy("id_").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    linked = written(linked, "linked")
+    discard(rows_table, reps, found, classes)
     out = vectors.select(F.col(key).cast("long").alias("id_")).join(linked, "id_", "left")
     out = out.select(F.col("id_").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id_").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))

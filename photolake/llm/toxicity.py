@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import STEMS, Lexicon, Texts, labelled_sample
 from .shared import crc_mod, written
@@ -76,8 +77,8 @@ def with_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in rest], lists], [*rest, "x"])
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.mapInArrow(run, f"{kinds}, x array<double>")
+    kind = T.StructType([*[rows.schema[c] for c in rest], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, kind)
 
 
 class Model:
@@ -138,7 +139,10 @@ def score_toxicity(
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> DataFrame:
-    """``docs`` without the rows that the model rejects; columns stay, and rows without a text are judged as empty ones."""
+    """``docs`` without the rows that the model rejects; rows without a text are judged as empty ones, each by its text alone.
+
+    Columns stay as they are, whatever their names; repeated rows stay or go together. An empty table gives an empty result.
+    """
     model = learn(docs, labels, key, text, label, **options)
-    scored = model.score(docs.withColumn("text_", F.coalesce(F.col(text), F.lit(""))))
-    return scored.where(F.col("score") < REJECT_FROM).select(*docs.columns)
+    scored = model.score(docs.select(F.struct("*").alias("row_"), F.coalesce(F.col(text), F.lit("")).alias("text_")))
+    return scored.where(F.col("score") < REJECT_FROM).select("row_.*")

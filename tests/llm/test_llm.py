@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -360,13 +361,101 @@ def test_leaks_equal_brute_force(spark):
     item = items.first().text
     texts += [*ODD, "before " + item + " after", item.upper() + " x " * 500, " ".join(item.split()[: len(item.split()) // 3])]
     want = {(i, r.item_id) for i, t in enumerate(texts) for r in items.collect() if f" {plain(r.text)} " in f" {plain(t or '')} "}
-    for most in (20_000, 7):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, texts), items, max_items=most).collect()}
-        assert got == want
+    figures = []
+    for options in ({}, {"max_items": 7}, {"max_bytes": 4000}):
+        rows = decontaminate.find_leaks(docs(spark, texts), items, **options).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want
+        figures.append({(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in rows})
+    assert figures[0] == figures[1] == figures[2]
     assert decontaminate.find_leaks(docs(spark, texts), items.limit(0)).count() == 0 and decontaminate.find_leaks(empty(spark), items).count() == 0
     assert decontaminate.without_leaks(docs(spark, texts), items).count() == len(texts) - len({i for i, _ in want})
 
 
+def test_leak_with_an_edited_short_answer(spark):
+    item = "Which river runs through the old town of the northern capital city. The wide blue river Vask runs there."
+    items = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "")], "item_id long, text string")
+    texts = [item.replace("blue", "green"), item.split(". ")[0], "nothing of the kind stands here", *ODD]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, texts), items).collect()}
+    assert got == {(0, 1), (0, 2)}
+
+
+CLASHING = "key text row row_ text_ key_ text_key text_key_ spans spans_ hit_ bitmap_ at_ x features prediction probability rawPrediction score chance stretches chars reach heads k item".split()
+
+
+@pytest.mark.parametrize("stage", ["toxic", "leaks", "mask", "copies"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Extra columns with names that the stages use inside come back unchanged, and none of them is given the text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    known = "".join(f"user id reach {k}@example.com. " for k in range(5))
+    texts = [None, "", "a plain text of a few words about the weather", f"mail me at someone@example.org, {known}", f"{known} and then", f"before {item} after", "a plain text of a few words about the weather"]
+    names = [c for c in CLASHING if c != "text"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    table = spark.createDataFrame([(i, t, *[f"{n}:{i}" for n in names]) for i, t in enumerate(texts)], schema)
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    run = {"toxic": lambda t: toxicity.without_toxic(t, labels), "leaks": lambda t: decontaminate.without_leaks(t, items), "mask": pii.mask_pii, "copies": minhash.deduplicated}[stage]
+    out = run(table)
+    assert out.columns == table.columns
+    rows = out.collect()
+    assert all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+    got = {r.doc_id: r.text for r in rows}
+    if stage == "mask":
+        assert set(got) == set(range(len(texts))) and "@" not in got[3] and got[0] is None and got[5] == texts[5]
+    else:
+        assert all(t == texts[i] for i, t in got.items()) and (5 in got) == (stage != "leaks")
+        assert stage != "copies" or (6 not in got and 2 in got and len({0, 1} & set(got)) == 1)
+    assert run(table.limit(0)).count() == 0
+
+
+def test_toxicity_does_not_depend_on_the_partitions(spark):
+    d = SF.replace("0.001", "0.01")
+    table, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(table, labels)
+    rows = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text_"))
+    one, many = ({r.doc_id: r.score for r in model.score(rows.repartition(n)).collect()} for n in (1, 50))
+    assert one == many
+
+
+def test_pii_of_groups_and_of_long_texts(spark):
+    """A number in groups is one candidate; the time grows with the text's length."""
+    seeds = [f"my contact line {name}@example.com is open" for name in ("ann", "bob", "cid", "dan", "eve")]
+    grouped = "contact line 555 123 4567 now"
+    rows = pii.find_pii(docs(spark, [*seeds, grouped, "contact line 77 now"])).collect()
+    assert [[(s.start, s.end) for s in r.added] for r in sorted(rows, key=lambda r: r.doc_id)][5:] == [[(13, 25)], []]
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs(spark, [*seeds, grouped])).collect()}
+    assert masked[5] == "contact line <EMAIL> now"
+    long = "".join(f"number {k * 7919} at x{k}@example.com, 10.0.0.{k % 300} " for k in range(20_000))
+    start = time.time()
+    r = pii.find_pii(docs(spark, [long])).collect()[0]
+    assert secrets_listed(r.base) == brute_pii(long) and time.time() - start < 90
+    masked = pii.mask_pii(docs(spark, [long])).collect()[0].text
+    assert "@" not in masked and masked.count("<EMAIL>") == 20_000
+
+
+def secrets_listed(spans):
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(spans, key=lambda s: (s.start, order[s.kind])))
+
+
+def test_vectors_of_a_table_equal_brute_force(spark):
+    """The table's vectors and one copy of each with more or less noise: links on both sides of the threshold."""
+    rows = spark.read.parquet(SF.replace("0.001", "0.01") + "/embeddings.parquet").orderBy("vec_id").collect()
+    v, rng = np.array([r.embedding for r in rows], dtype=np.float64), np.random.default_rng(4)
+    v = np.concatenate([v, v + rng.standard_normal(v.shape) * np.abs(v).mean() * rng.uniform(0.1, 0.9, (len(v), 1))])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(table).collect()}
+    found = np.array([got[i] for i in range(len(v))])
+    assert links.sum() > 200 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert embeddings.near_vectors(table.limit(0)).count() == 0
+
+
+def test_chance_meetings_grow_with_the_number_of_vectors():
+    """Pairs that meet by chance in all tables, a vector: from 10^4 to 10^8 vectors they grow no more than tenfold, as the tables do."""
+    per_vector = [t * n / 2**b for n in (10_000, 1_000_000, 100_000_000) for t, b in [embeddings.tables_and_bits(n, 0.9, 0.995)]]
+    assert max(per_vector) < 10 * min(per_vector) and max(per_vector) < 1500
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
