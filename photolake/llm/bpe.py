@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import freeing
+
 #: Encoded chunks kept by a worker between batches; the table is emptied when it is full.
 MAX_KEPT_CHUNKS = 100_000
 _NONE = np.iinfo(np.int64).max
@@ -131,7 +133,7 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids])
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def loaded(description: str) -> WordBpe:
     """One tokenizer for all tasks of a Python worker."""
     return WordBpe(description)
@@ -205,4 +207,4 @@ def _run(docs: DataFrame, description: str, key: str, text: str, columns: str, s
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    return out.mapInPandas(run, f"key_ {kind}, {columns}").withColumnRenamed("key_", key)
+    return out.mapInPandas(freeing(run), f"key_ {kind}, {columns}").withColumnRenamed("key_", key)

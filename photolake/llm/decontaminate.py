@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import key_bitmap, marked, written
+from .shared import freeing, key_bitmap, marked, written
 from .words import bounds, hashes, lowered, pieces, shingles, words
 
 THRESHOLD, OVERLAP, SHINGLE, LEAST_WINDOW = 0.6, 0.5, 5, 128
@@ -239,7 +239,7 @@ def find_leaks(
     parts = max(1, -(-count // max_items), -(-size // max_bytes))
     # hashing deals evenly enough that the bound is taken with room
     numbered = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    tokens = written(numbered.mapInArrow(_tokens, "part long, term long, words long"), "item-terms")
+    tokens = written(numbered.mapInArrow(freeing(_tokens), "part long, term long, words long"), "item-terms")
     df = tokens.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     mean, largest = tokens.where("term is null").agg(F.coalesce(F.avg("words"), F.lit(0.0)), F.coalesce(F.max("words"), F.lit(0))).first()
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
@@ -282,7 +282,7 @@ def _ask(rows: DataFrame, items: list[tuple[int, str]], counts: Counts, threshol
                     yield pa.RecordBatch.from_arrays([keys, pa.array([index.items[i].key for i in item], pa.int64()), *[pa.array(f, pa.float64()) for f in figures]], ["key_", "item", "score", "question_overlap", "answer_overlap"])
 
     kind = T.StructType([rows.schema["key_"], *[T.StructField(n, t) for n, t in (("item", T.LongType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()))]])
-    return rows.mapInArrow(ask, kind)
+    return rows.mapInArrow(freeing(ask), kind)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

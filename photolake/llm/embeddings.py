@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, written
+from .shared import discard, freeing, written
 
 COSINE, RECALL, SEED = 0.9, 0.995, 7
 #: Mean number of vectors of a code, were they spread evenly.
@@ -60,7 +60,7 @@ def coded(rows: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
                 ["id_", "v", "width", "codes"],
             )
 
-    return rows.mapInArrow(code, "id_ long, v binary, width int, codes binary")
+    return rows.mapInArrow(freeing(code), "id_ long, v binary, width int, codes binary")
 
 
 def tables_and_bits(n: int, cosine: float, recall: float) -> tuple[int, int]:
@@ -133,7 +133,7 @@ def compared(members: DataFrame, tables: int, cosine: float) -> DataFrame:
         if ids:
             yield _rows(ids, counts, edges)
 
-    return members.mapInPandas(compare, "a long, b long, n long")
+    return members.mapInPandas(freeing(compare), "a long, b long, n long")
 
 
 def _stars(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import discard, key_bitmap, marked, written
+from .shared import discard, freeing, key_bitmap, marked, written
 from .words import mix, pieces, raw, shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -100,8 +100,8 @@ def idf_table(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"bin": pa.array(block * _BLOCK + some, pa.int64()), "df": pa.array(total[some], pa.int64())})
 
-    counted = docs.select(F.col(text).alias("text_")).mapInArrow(count, "block long, counts binary")
-    table = written(counted.repartition(16, "block").mapInArrow(add, "bin long, df long"), "idf")
+    counted = docs.select(F.col(text).alias("text_")).mapInArrow(freeing(count), "block long, counts binary")
+    table = written(counted.repartition(16, "block").mapInArrow(freeing(add), "bin long, df long"), "idf")
     total, load = table.agg(F.sum(F.when(F.col("bin") < 0, F.col("df"))), F.sum(F.when(F.col("bin") >= 0, F.col("df")) / BINS)).first()
     total, load = total or 0, load or 0.0
     rows = table.where((F.col("bin") >= 0) & (F.col("df") - load > max(2.0, COMMON * total))).toPandas()
@@ -205,7 +205,7 @@ def signatures(docs: DataFrame, key: str, text: str, idf: tuple[np.ndarray, np.n
                 sums = np.concatenate([[0.0], np.cumsum(weight)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sums[to[1:]] - sums[to[:-1]], pa.float64()), pa.array(sketch, pa.binary()), buckets], ["key_", "text_key", "total", "sketch", "buckets"])
 
-    return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(sign, "key_ long, text_key binary, total double, sketch binary, buckets array<bigint>")
+    return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(freeing(sign), "key_ long, text_key binary, total double, sketch binary, buckets array<bigint>")
 
 
 def _alike(sketches: np.ndarray, totals: np.ndarray, one: np.ndarray, total: float, similarity: float) -> np.ndarray:
@@ -235,7 +235,7 @@ def lowest(docs: DataFrame, key: str, text: str, idf: tuple[np.ndarray, np.ndarr
                 skewed = (n >= LOWEST) & (n * square > SKEW * total**2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b"" if skewed[i] else low[to[i] : min(to[i + 1], to[i] + LOWEST)].tobytes() for i in range(len(n))], pa.binary())], ["key_", "lowest"])
 
-    return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(cut, "key_ long, lowest binary")
+    return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(freeing(cut), "key_ long, lowest binary")
 
 
 def low_estimate(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
@@ -297,7 +297,7 @@ def _led(members: DataFrame, width: int, similarity: float) -> DataFrame:
     dealt_from = LEAD_BLOCK
     # each bucket has an order of its own, so that members meet other leaders in each band
     dealt = members.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", F.xxhash64("rep", "bucket"))
-    return dealt.mapInPandas(meet, "bucket long, one long, other long, like double, total double, sketch binary")
+    return dealt.mapInPandas(freeing(meet), "bucket long, one long, other long, like double, total double, sketch binary")
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def _met(members: DataFrame, bands: int, rows: int, similarity: float, best: boo
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     by = ["bucket", "cell"]
-    return members.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "a long, b long")
+    return members.repartition(*by).sortWithinPartitions(*by).mapInPandas(freeing(compare), "a long, b long")
 
 
 def band_members(reps: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, idf: tuple[np
                     out = pa.RecordBatch.from_arrays([part_b.column(names.index("a")), part_b.column(names.index("b"))], ["a", "b"])
                     yield out.filter(pa.array([x >= similarity for x in like], pa.bool_()))
 
-    return written(joined.mapInArrow(check, "a long, b long"), "links")
+    return written(joined.mapInArrow(freeing(check), "a long, b long"), "links")
 
 
 def row_classes(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .secrets import listed
-from .shared import written
+from .shared import key_bitmap, marked, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -236,7 +236,11 @@ def mask_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     stretch = F.transform("heads", lambda i, k: F.struct(F.element_at("spans", i)["start"].alias("start"), end(k).alias("end"), F.element_at("spans", i)["kind"].alias("kind")))
     found = written(found.select("text_key", stretch.alias("stretches")), "stretches")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.md5("text")).join(found, "text_key", "left")
+    # texts without a find, told by a bitmap of bounded size, are not moved
+    rows = rows.withColumn("text_key", F.md5("text")).withColumn("key", F.xxhash64("text_key"))
+    rows = marked(rows, "key", key_bitmap(found.select(F.xxhash64("text_key").alias("key")).distinct()))
+    clear = rows.where("not hit_").select("row.*")
+    rows = rows.where("hit_").join(found, "text_key", "left")
     rows = rows.withColumn("chars", F.when(F.col("stretches").isNotNull(), F.regexp_extract_all("text", F.lit(r"(?s)."), F.lit(0))))
     cut = lambda a, b: F.array_join(F.slice("chars", (a + 1).cast("int"), (b - a).cast("int")), "")
     before = lambda k: F.coalesce(F.get("stretches", k - 1)["end"], F.lit(0).cast("bigint"))
@@ -244,4 +248,4 @@ def mask_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     rest = cut(F.element_at("stretches", -1)["end"], F.size("chars").cast("bigint"))
     # an array of characters is made once a row, in a column of its own
     masked = F.when(F.col("chars").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("row")[text])
-    return rows.select(*[(masked.alias(c) if c == text else F.col("row")[c].alias(c)) for c in docs.columns])
+    return clear.unionByName(rows.select(*[(masked.alias(c) if c == text else F.col("row")[c].alias(c)) for c in docs.columns]))

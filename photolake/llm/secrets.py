@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import freeing
+
 KINDS = ("assign", "access", "hex")
 
 # Fixed patterns of the three kinds, and the least lengths that count.
@@ -315,7 +317,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", max_u
     kind = docs.schema[key].dataType.simpleString()
     spans = "array<struct<start:bigint,kind:string,end:bigint>>"
     out = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
-    out = out.mapInPandas(run, f"key_ {kind}, base {spans}, added {spans}, layers bigint, oversized bigint")
+    out = out.mapInPandas(freeing(run), f"key_ {kind}, base {spans}, added {spans}, layers bigint, oversized bigint")
     return out.withColumnRenamed("key_", key)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,21 @@ def marked(df: DataFrame, key: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
     return named.join(F.broadcast(table), "row_", "left").withColumn("hit_", F.coalesce(bit, F.lit(False))).select(*df.columns, "hit_")
 
 
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives its freed memory back to the system at its end: Python workers are used again, and
+    what one operator's arrays took would otherwise stay with the process beside the next one's."""
+
+    @functools.wraps(run)
+    def freed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need none
+        if trim:
+            trim(0)
+
+    return freed
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

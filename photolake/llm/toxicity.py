@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import STEMS, Lexicon, Texts, labelled_sample
-from .shared import crc_mod, written
+from .shared import crc_mod, freeing, written
 from .words import pieces
 
 #: Most labelled texts that are learned from, and most learned entries of the lexicon.
@@ -56,7 +56,7 @@ def learn_lexicon(sample: DataFrame, most: int = MAX_LEXICON, least_docs: int =
     total, toxic = sizes[0], sizes[1] or 0
     if not toxic or toxic == total:
         return {}
-    counts = sample.mapInArrow(count, "token long, bad long, n long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = sample.mapInArrow(freeing(count), "token long, bad long, n long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     bad, good = F.col("bad"), F.col("n") - F.col("bad")
     odds = F.log((bad + 0.5) / (toxic + 1.0)) - F.log((good + 0.5) / (total - toxic + 1.0))
     best = counts.where(bad >= min(least_docs, max(2, toxic // 8))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
@@ -78,7 +78,7 @@ def with_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in rest], lists], [*rest, "x"])
 
     kind = T.StructType([*[rows.schema[c] for c in rest], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(freeing(run), kind)
 
 
 class Model:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import freeing
+
 #: A rule list up to this size is broadcast as a trie; a longer one is joined on host suffixes.
 MAX_BROADCAST_RULES = 200_000
 
@@ -102,7 +104,7 @@ def _by_trie(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
             yield rows.assign(rule=[x[0] for x in found], verdict=[x[1] for x in found])
 
     kind = parts.schema["key_"].dataType.simpleString()
-    return parts.mapInPandas(look_up, f"key_ {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInPandas(freeing(look_up), f"key_ {kind}, host string, path string, rule string, verdict string")
 
 
 def _by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def shingles(hashed: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray
     return mix(out, 7), to
 
 
-def pieces(batch: pa.RecordBatch, name: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, name: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes of text each (one row at least), so that numpy's copies stay small."""
     column = batch.column(batch.schema.get_field_index(name))
     length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
