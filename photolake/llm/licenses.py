@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,17 @@ SENTENCES = {
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl3_later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21_later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl_see": "see the gnu lesser general public license for more details",
+    "agpl3_later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl_see": "see the gnu affero general public license for more details",
+    "gpl2_only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib_notice": "this notice may not be removed or altered from any source distribution",
     "bync4_ref": "licensed under cc by nc 4 0",
     "by4_ref": "licensed under cc by 4 0",
     "bysa4_ref": "licensed under cc by sa 4 0",
@@ -56,35 +68,70 @@ RULES = [
     ("CC-BY-4.0", ("by4_ref",)),
     ("MPL-2.0", ("mpl2_ref",)),
 ]
-#: Sentences end at one of . ! ? ; : and white space ("2.0" stays together), and at line ends, or for wrapped lines at
-#: empty lines. Of the two ways to cut a text the one that shows more licence sentences counts, on a tie the first.
-SENTENCE_ENDS = (r"[\n\r]+|[.!?;:]+[ \t]+", r"\n[ \t\r]*\n|[.!?;:]+[ \t\r\n]+")
+# Names of licences as notices write them, normalised.
+NAMES = {
+    "MIT": ("mit license", "mit license mit", "expat license"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "ISC": ("isc license",),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3 license"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2 license"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license v3 0"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license v3 0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v 2 0"),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "Zlib": ("zlib license",),
+    "Unlicense": ("unlicense", "unlicense license"),
+    "CC0-1.0": ("cc0 1 0 universal license", "creative commons zero v1 0 universal license"),
+    "CC-BY-4.0": ("creative commons attribution 4 0 international license",),
+    "CC-BY-SA-4.0": ("creative commons attribution sharealike 4 0 international license",),
+    "CC-BY-NC-4.0": ("creative commons attribution noncommercial 4 0 international license",),
+}
+#: How a notice names a licence; a subject before it ("this project is") is taken off first.
+NOTICES = ("{}", "the {}", "licensed under the {}", "released under the {}", "distributed under the {}", "licensed under the terms of the {}", "available under the {}")
+SUBJECT = "^(?:this|the|all) (?:[a-z0-9]+ ){1,4}?(?:is|are) "
+#: A tag of one line that names a licence by its published short identifier.
+TAG, TAGGED = "[Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier:[ \\t]*([A-Za-z0-9.+-]+)", "spdx license identifier"
+_SHORT = [*NAMES, "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later"]
+_plain = lambda name: re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+#: Sentence to identifier: the sentences above, then the notices and tags by rule. A listed sentence keeps its identifier.
+KNOWN = {f"{TAGGED} {_plain(n)}": f"tag_{n}" for n in _SHORT} | {notice.format(form): f"notice_{n}" for n, forms in NAMES.items() for form in forms for notice in NOTICES} | {s: i for i, s in SENTENCES.items()}
+RULES += [
+    ("LGPL-3.0-or-later", ("lgpl3_later",)), ("LGPL-2.1-or-later", ("lgpl21_later",)), ("AGPL-3.0-or-later", ("agpl3_later",)), ("GPL-2.0-only", ("gpl2_only",)),
+    ("Unlicense", ("unlicense_free",)), ("Zlib", ("zlib_grant", "zlib_notice")), ("Zlib", ("zlib_grant",)),
+    *[(n, (f"tag_{n}",)) for n in _SHORT], *[(n, (f"notice_{n}",)) for n in NAMES],
+]
+#: Sentences end at one of . ! ? ; : and white space ("2.0" stays together) and at empty lines. One that is not known so
+#: is cut at its line ends as well: the identifiers of wrapped and of one-line sentences come in the order of the text.
+SENTENCE_END, LINE_END = r"\n[ \t\r]*\n|[.!?;:]+[ \t\r\n]+", r"[\n\r]+"
 
 
-def _stems(sentences: dict[str, str]) -> list[str]:
+def _stems(known: dict[str, str]) -> list[str]:
     """A few stems so that each sentence holds one: texts without any are passed over."""
     stems = ["licen", "permission", "redistribut", "warrant", "copyright", "free software"]
-    return stems + [s for s in sentences.values() if not any(x in s for x in stems)]
+    return stems + [s for s in known if not any(x in s for x in stems)]
 
 
-def recognise(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def recognise(text: Column, known: dict[str, str] = KNOWN) -> Column:
     """The identifiers of a text's licence sentences in order."""
-    known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     none = F.array().cast("array<string>")
-    stems = _stems(sentences)
+    stems = _stems(known)
     holds = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(s)) for s in stems])
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    named = lambda s: F.coalesce(F.try_element_at(table, normal(s)), F.try_element_at(table, F.regexp_replace(normal(s), SUBJECT, "")))
     # a stem of two words may be parted by any white space in the raw text, so the raw text is asked for first words
     first = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(s.split(" ")[0])) for s in stems])
-    by_line, by_flow = (
-        F.filter(F.transform(F.filter(F.transform(F.split(text, end), normal), holds), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-        for end in SENTENCE_ENDS
-    )
-    return F.when(first, F.when(F.size(by_flow) > F.size(by_line), by_flow).otherwise(by_line)).otherwise(none)
+    pieces = F.filter(F.split(F.regexp_replace(text, TAG, f"\n\n{TAGGED} $1\n\n"), SENTENCE_END), lambda p: holds(normal(p)))
+    ids = F.flatten(F.transform(pieces, lambda p: F.when(named(p).isNotNull(), F.array(named(p))).otherwise(F.transform(F.split(p, LINE_END), named))))
+    return F.when(first, F.filter(ids, lambda i: i.isNotNull())).otherwise(none)
 
 
 def scan_licenses(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = KNOWN, rules: list[tuple[str, tuple[str, ...]]] = RULES,
 ) -> DataFrame:
     """One row for each row of ``docs``: key, sentence_ids, matches and licenses.
 
@@ -94,24 +141,27 @@ def scan_licenses(
     text gives empty arrays. Repeated rows are scanned each; other columns are not read. One projection, no shuffle.
     """
     taken = lambda ids: "".join(f"<{i}>" for i in ids)
-    pattern = "(" + "|".join(taken(ids) for _, ids in rules) + ")"
+    pattern = "(" + "|".join(taken(ids) for _, ids in rules).replace(".", "\\.").replace("+", "\\+") + ")"
     by_ids = F.create_map(*[F.lit(x) for ids, name in {taken(ids): name for name, ids in reversed(rules)}.items() for x in (ids, name)])
-    rows = docs.select(F.col(key), recognise(F.coalesce(F.col(text), F.lit("")), sentences).alias("sentence_ids"))
+    rows = docs.select(F.col(key), recognise(F.coalesce(F.col(text), F.lit("")), known).alias("sentence_ids"))
     line = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     rows = rows.withColumn("matches", F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda m: by_ids[m]))
     return rows.withColumn("licenses", F.array_distinct("matches"))
 
 
-def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
+def oracle_sql(known: dict[str, str] = KNOWN, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
     """DuckDB SQL for the rows of ``op3_license_scan``."""
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in sentences.items()) + "}"
+    table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in known.items()) + "}"
     taken = lambda ids: "".join(f"<{i}>" for i in ids)
     names = "MAP {" + ", ".join(f"'{ids}': '{name}'" for ids, name in {taken(ids): name for name, ids in reversed(rules)}.items()) + "}"
-    pattern = "|".join(taken(ids) for _, ids in rules)
-    ids = lambda end: f"list_filter(list_transform(string_split_regex(coalesce(text, ''), '{end}'), lambda x: {known}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"
+    pattern = "|".join(taken(ids) for _, ids in rules).replace(".", "\\.")
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    named = lambda x: f"coalesce({table}[{normal(x)}], {table}[regexp_replace({normal(x)}, '{SUBJECT}', '')])"
+    marked = f"regexp_replace(coalesce(text, ''), '{TAG}', chr(10) || chr(10) || '{TAGGED} \\1' || chr(10) || chr(10), 'g')"
     return f"""
-WITH s AS (
-  SELECT doc_id, CASE WHEN len(flow) > len(line) THEN flow ELSE line END AS ids FROM (SELECT doc_id, {ids(SENTENCE_ENDS[0])} AS line, {ids(SENTENCE_ENDS[1])} AS flow FROM documents)),
+WITH p AS (SELECT doc_id, string_split_regex({marked}, '{SENTENCE_END}') AS pieces FROM documents),
+s AS (
+  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN {named('p')} IS NOT NULL THEN [{named('p')}] ELSE list_transform(string_split_regex(p, '{LINE_END}'), lambda x: {named('x')}) END)), lambda i: i IS NOT NULL) AS ids FROM p),
 m AS (
   SELECT doc_id, ids, list_transform(regexp_extract_all(list_reduce(list_prepend('', list_transform(ids, lambda i: '<' || i || '>')), lambda a, b: a || b), '{pattern}'), lambda x: {names}[x]) AS matches
   FROM s)

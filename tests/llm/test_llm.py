@@ -277,6 +277,21 @@ def test_key_bitmap_marks_all_keys_and_few_others(spark):
     assert shared.marked(spark.createDataFrame([(None,), (0,)], "k long"), "k", bits).orderBy("k").collect() == [(None, False), (0, True)]
 
 
+# 3, continued
+def test_notices_tags_and_mixed_texts(spark):
+    grant, notice = (licenses.SENTENCES[i] for i in ("mit_grant", "mit_notice"))
+    wrapped = lambda t: "\n".join(re.findall(r".{1,60}(?: |$)", t))
+    cases = {
+        "This project is licensed under the MIT License.": ["MIT"], "// SPDX-License-Identifier: Apache-2.0\ncode": ["Apache-2.0"], "Licensed under the Apache License, Version 2.0": ["Apache-2.0"], "MIT License": ["MIT"],
+        "SPDX-License-Identifier: GPL-2.0-or-later\nSPDX-License-Identifier: MIT": ["GPL-2.0-or-later", "MIT"],
+        f"licensed under CC BY 4.0\n\n{wrapped(grant)}.\n\n{wrapped(notice)}.\n\nReleased under the ISC license\nother words": ["CC-BY-4.0", "MIT", "ISC"],
+        "we have permission to be here": [], "submit your license": [],
+    }
+    rows = licenses.scan_licenses(docs(spark, [*cases, *ODD])).orderBy("doc_id").collect()
+    assert [list(r.licenses) for r in rows] == [*cases.values(), *[[]] * len(ODD)]
+    assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
 # 5 and 7
 @pytest.mark.parametrize("run, label, accuracy", [(quality.score_quality, "quality", 0.95), (toxicity.score_toxicity, "toxic", 0.93)])
 def test_classifiers(spark, run, label, accuracy):
