@@ -41,7 +41,7 @@ BANDS, ROWS = 16, 5
 BINS, COMMON, LEAST = 1 << 20, 1 / 256, 0.1
 _BLOCK = 1 << 14
 #: Members of a bucket that make a block of a cell, of which a task compares two at most; members that are led in one go.
-BLOCK, LEAD_BLOCK = 2000, 250
+BLOCK, LEAD_BLOCK = 500, 250
 #: How far under the similarity a pair's estimate may lie for it to be verified (2.7 standard deviations), and from which
 #: estimate on a member needs no place among the leaders.
 MARGIN, COVERED = 0.12, 0.85

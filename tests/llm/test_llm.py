@@ -140,7 +140,7 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2000, 20])
+@pytest.mark.parametrize("block", [500, 20])
 def test_near_duplicates_bridge_two_families(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -214,7 +214,7 @@ def brute_force_classes(texts):
     return [top(i) for i in range(len(texts))], links
 
 
-@pytest.mark.parametrize("block", [2000, 25])
+@pytest.mark.parametrize("block", [500, 25])
 def test_near_duplicates_of_a_hot_bucket_equal_brute_force(spark, monkeypatch, block):
     """One template that most texts share, with contents that differ more or less: many classes meet in the same buckets, of over 16 and over a block's members."""
     monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
