@@ -11,3 +11,51 @@ def mean_of_three(tile: np.ndarray) -> np.ndarray:
     views = np.stack([wide[a : a + tile.shape[0], b : b + tile.shape[1]] for a in range(3) for b in range(3)])
     seen = ~np.isnan(views)
     return np.where(seen, views, 0).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+
+
+def around(plane: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """The plane as seen at each offset (dy, dx), stacked; NaN beyond its edges."""
+    r = max(abs(o) for pair in offsets for o in pair)
+    wide = np.pad(plane, r, constant_values=np.nan)
+    h, w = plane.shape
+    return np.stack([wide[r + dy : r + dy + h, r + dx : r + dx + w] for dy, dx in offsets])
+
+
+def spread(near: np.ndarray) -> dict[str, np.ndarray]:
+    """Minimum, maximum, median and number of the values that are not NaN along the first axis; NaN where there is none."""
+    ranked = np.sort(near, axis=0)  # NaN last
+    count = (~np.isnan(near)).sum(axis=0)
+    at = lambda k: np.take_along_axis(ranked, np.maximum(k, 0)[None], axis=0)[0]
+    return {"lo": ranked[0], "hi": at(count - 1), "median": (at((count - 1) // 2) + at(count // 2)) / 2, "count": count.astype(float)}
+
+
+EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+
+
+def fill_colours(v: np.ndarray, colour: np.ndarray, diagonal: float = 1.0, alone: bool = False) -> dict[str, np.ndarray]:
+    """r, g, b: the own colour kept, the others the mean of the eight neighbours of that colour, those at corners counted by ``diagonal``.
+
+    A colour that no neighbour has is NaN, or with ``alone`` the own value.
+    """
+    weights = np.array([1.0 if dy == 0 or dx == 0 else diagonal for dy, dx in EIGHT])[:, None, None]
+    out = {}
+    for k, name in enumerate(("r", "g", "b")):
+        own = np.where(colour == k, v, np.nan)
+        near = around(own, EIGHT)
+        seen = np.where(np.isnan(near), 0.0, weights)
+        total = seen.sum(axis=0)
+        mean = np.divide((np.nan_to_num(near) * seen).sum(axis=0), total, out=np.full_like(v, np.nan), where=total > 0)
+        filled = np.where(np.isnan(own), mean, own)
+        out[name] = np.where(np.isnan(filled), v, filled) if alone else filled
+    return out
+
+
+def bright_edge(v: np.ndarray, colour: np.ndarray) -> dict[str, np.ndarray]:
+    """What the repair of a fringe asks of a site: means of red and blue beside it, and its four diagonals."""
+    corners = dict(zip(("mm", "mp", "pm", "pp"), around(v, [(-1, -1), (-1, 1), (1, -1), (1, 1)]), strict=True))
+    out = {"v": v, "colour": colour} | corners
+    for k, name in ((0, "red"), (2, "blue")):
+        near = around(np.where(colour == k, v, np.nan), [(-1, 0), (0, -1), (0, 1), (1, 0)])
+        count = (~np.isnan(near)).sum(axis=0)
+        out[name] = np.divide(np.nansum(near, axis=0), count, out=np.full_like(v, np.nan), where=count > 0)
+    return out

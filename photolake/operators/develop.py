@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions import color as K
+from photolake.functions import kernels
 
-from .pixels import box_min, demosaic_bilinear, guided_filter, tent_blur, with_cfa
+from .pixels import box_min, demosaic_bilinear, guided_filter, tent_blur, tiled, with_cfa
 
 RGB = ("r", "g", "b")
 PIXEL = ("image_id", "y", "x")
@@ -177,22 +178,7 @@ def demosaic_weighted(px: DataFrame, cfa: DataFrame, period: int) -> DataFrame:
 
     A colour that no neighbour has is the pixel's own value.
     """
-    own = with_cfa(px, cfa, period).select(*PIXEL, "v", "colour")
-    shifts = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(0.5 if a == 0 or b == 0 else 0.25).alias("w")) for a, b in shifts])).alias("o")
-    none = lambda kind: F.lit(None).cast(kind)
-    sent = own.select(*PIXEL, F.col("v").alias("nv"), F.col("colour").alias("nc"), step)
-    sent = sent.select("image_id", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "nv", "nc", "o.w", none("double").alias("v"), none("int").alias("colour"))
-    kept = own.select(*PIXEL, none("double").alias("nv"), none("int").alias("nc"), none("double").alias("w"), "v", "colour")
-    known = F.max("v")
-
-    def channel(k: int) -> Column:
-        near = F.col("nc") == k
-        mean = F.sum(F.when(near, F.col("nv") * F.col("w"))) / F.sum(F.when(near, F.col("w")))
-        return F.when(F.max("colour") == k, known).otherwise(F.coalesce(mean, known))
-
-    grouped = sent.unionByName(kept).groupBy(*PIXEL)
-    return grouped.agg(known.alias("own"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b")).where("own IS NOT NULL").drop("own")
+    return tiled(with_cfa(px, cfa, period), ["v", "colour"], 1, lambda t: kernels.fill_colours(t["v"], t["colour"], diagonal=0.5, alone=True), ["r", "g", "b"])
 
 
 def plane_grids(px: DataFrame, cfa: DataFrame, period: int = 2) -> DataFrame:
@@ -277,23 +263,11 @@ def loca(px: DataFrame, cfa: DataFrame, purple: float | None = None, green: floa
     """(image_id, y, x, v) of Bayer mosaics with the green sites of bright edges raised against purple or lowered against green fringes.
 
     ``purple`` and ``green`` are strengths from 0 to 1; None switches a side off. Red and blue sites, sites at an
-    image's border and those without all four diagonal neighbours stay. One shuffle by pixel.
+    image's border and those without all four diagonal neighbours stay. One shuffle by tile.
     """
     if not purple and not green:
         return px.select(*PIXEL, "v")
-    own = with_cfa(px, cfa).select(*PIXEL, "v", "colour")
-    none = lambda kind: F.lit(None).cast(kind)
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("o")
-    sent = own.select(*PIXEL, F.col("v").alias("n"), F.col("colour").alias("nc"), steps)
-    sent = sent.select("image_id", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "n", "nc", "o.dy", "o.dx", none("double").alias("v"), none("int").alias("colour"))
-    kept = own.select(*PIXEL, none("double").alias("n"), none("int").alias("nc"), none("int").alias("dy"), none("int").alias("dx"), "v", "colour")
-    beside = (F.col("dy") == 0) | (F.col("dx") == 0)
-    mean = lambda k: F.avg(F.when(beside & (F.col("nc") == k), F.col("n")))
-    corner = lambda dy, dx: F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("n")))
-    near = sent.unionByName(kept).groupBy(*PIXEL).agg(
-        F.max("v").alias("v"), F.max("colour").alias("colour"), mean(0).alias("red"), mean(2).alias("blue"),
-        corner(1, 1).alias("pp"), corner(-1, -1).alias("mm"), corner(1, -1).alias("pm"), corner(-1, 1).alias("mp"),
-    ).where("colour IS NOT NULL")
+    near = tiled(with_cfa(px, cfa), ["v", "colour"], 1, lambda t: kernels.bright_edge(t["v"], t["colour"]), ["v", "colour", "red", "blue", "mm", "mp", "pm", "pp"])
     near = near.withColumn("red", F.when(F.col("pp").isNotNull() & F.col("mm").isNotNull() & F.col("pm").isNotNull() & F.col("mp").isNotNull(), F.col("red")))
     for step in K.loca_steps(purple or 0.0, green or 0.0, least):
         near = near.withColumns({n: F.expr(e) for n, e in step.items()})

@@ -1,25 +1,87 @@
 """Images as tables of pixels (image_id, y, x, values): stencils, windows, aggregations over many images at once.
 
-Neighbours are met by shifted keys (equi-joins or groupings), wider windows by two separable window passes. Work is dealt
-by (image, row) and (image, column), never by image alone.
+Stencils run on square tiles with a halo: one shuffle that sends a pixel once, and again only near a tile's edge. Wider
+windows are two separable window passes, dealt by (image, row) and (image, column). No step is dealt by image alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photolake.functions import kernels
+
+#: Side of a tile; a task holds about two tiles of this many pixels squared, and their halos, at a time.
+TILE = 256
+
+
+def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str], size: int = TILE) -> DataFrame:
+    """(image_id, y, x, *out), a row for each pixel: what a numpy kernel makes of the pixels up to ``halo`` steps around.
+
+    The kernel gets a 2-D array of doubles for each value and returns one of the same shape for each name of ``out``, or
+    one with an axis more in front, which becomes an array column. NaN stands for a place outside the image and for a
+    null, both ways. With a halo of at least the kernel's reach the result does not depend on ``size``. Places count from
+    0 and frames may have gaps; a pixel must not come twice; one without an image or place is left out. An empty table gives none; other columns are left out.
+    """
+    # a pixel goes to the tiles that its halo reaches and to no others: most go to one
+    tile = lambda c: F.floor(c / size).cast("int")
+    reached = lambda c: F.explode(F.sequence(tile(F.greatest(F.col(c) - halo, F.lit(0))), tile(F.col(c) + halo)))
+    sent = px.where("image_id IS NOT NULL").select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast("double").alias(f"in_{k}") for k, v in enumerate(values)])
+    dealt = sent.select("*", reached("y").alias("tile_y")).select("*", reached("x").alias("tile_x"))
+    key = ["image_id", "tile_y", "tile_x"]
+    names, kinds = [n.split(" ")[0] for n in out], [n.split(" ")[1] if " " in n else "double" for n in out]
+
+    def made(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole tiles, small ones stacked with a halo between them so that the kernel runs once for many."""
+        new = (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1]).any(axis=1)
+        first, tile_of = np.flatnonzero(np.r_[True, new]), np.r_[0, np.cumsum(new)]
+        y, x, tile_y, tile_x = (rows[c].to_numpy() for c in ("y", "x", "tile_y", "tile_x"))
+        core = (y // size == tile_y) & (x // size == tile_x)
+        y, x = (c - np.minimum.reduceat(c, first)[tile_of] for c in (y, x))
+        tall = np.maximum.reduceat(y, first) + 1 + halo
+        top = np.cumsum(tall) - tall
+        ends = [*first[1:][np.diff(top // (size + 2 * halo)) > 0], len(rows)]  # about a tile's height in a stack, or a tile
+        for a, b in zip([0, *ends], ends, strict=False):
+            if not core[a:b].any():  # nothing but halo
+                continue
+            at = y[a:b] + (top[tile_of[a:b]] - top[tile_of[a]]) + halo, x[a:b] + halo
+            planes = {v: np.full((at[0].max() + halo + 1, at[1].max() + halo + 1), np.nan) for v in values}
+            for k, v in enumerate(values):
+                planes[v][at] = rows[f"in_{k}"].to_numpy()[a:b]
+            done, kept = kernel(planes), core[a:b]
+            taken = {n: done[n][..., at[0][kept], at[1][kept]] for n in names}
+            yield pd.DataFrame({c: rows[c].to_numpy()[a:b][kept] for c in ("image_id", "y", "x")} | {n: v if v.ndim == 1 else list(v.T) for n, v in taken.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []  # of the tile that may go on in the next batch
+        for rows in batches:
+            if rows.empty:
+                continue
+            last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy()
+            begins = len(rows) - int(last.sum())
+            if held and (begins or (held[-1][key].iloc[-1] != rows[key].iloc[-1]).any()):
+                yield from made(pd.concat([*held, rows[:begins]], ignore_index=True))
+                held = []
+            elif begins:
+                yield from made(rows[:begins].reset_index(drop=True))
+            held.append(rows[begins:])
+        if held:
+            yield from made(pd.concat(held, ignore_index=True))
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
+    done = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, f"image_id long, y int, x int, {schema}")
+    empty = lambda v: F.when(~F.isnan(v), v)
+    return done.select("image_id", "y", "x", *[empty(F.col(n)).alias(n) if k == "double" else F.transform(n, empty).alias(n) for n, k in zip(names, kinds, strict=True)])
+
 
 def gather(px: DataFrame, offsets: list[tuple[int, int]], value: str = "v") -> DataFrame:
-    """(image_id, y, x, dy, dx, n): for each pixel the value n at each offset that lies in the image."""
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    sent = px.select("image_id", "y", "x", F.col(value).alias("n"), F.explode(shifts).alias("o"))
-    sent = sent.select("image_id", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "o.dy", "o.dx", "n")
-    return sent.join(px.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
+    """(image_id, y, x, near): for each pixel the values at the offsets (dy, dx), in their order; null outside the image."""
+    reach = max(abs(o) for pair in offsets for o in pair)
+    return tiled(px, [value], reach, lambda t: {"near": kernels.around(t[value], offsets)}, ["near array<double>"])
 
 
 def _two_passes(px: DataFrame, values: list[str], r: int, agg: Callable[[str, Column], Column]) -> DataFrame:
@@ -83,9 +145,21 @@ def histogram_percentile(counts: DataFrame, by: list[str], tail: float) -> DataF
 
 
 def neighbour_stats(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Minimum, maximum, median and count of the gathered neighbours, where there are at least four."""
-    near = gather(px, offsets)
-    return near.groupBy("image_id", "y", "x").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.percentile("n", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("count")).where("count >= 4")
+    """(image_id, y, x, v, lo, hi, median, count): the pixel's value beside minimum, maximum, median and number of its neighbours that have one."""
+    reach = max(abs(o) for pair in offsets for o in pair)
+    out = tiled(px, ["v"], reach, lambda t: {"v": t["v"]} | kernels.spread(kernels.around(t["v"], offsets)), ["v", "lo", "hi", "median", "count"])
+    return out.withColumn("count", F.col("count").cast("long"))
+
+
+def impulse_replace(px: DataFrame, offsets: list[tuple[int, int]], tolerance: float, inside: Column) -> DataFrame:
+    """(image_id, y, x, v): values beyond those of their neighbours by more than the tolerance are drawn to the median with a soft knee.
+
+    Pixels that are not ``inside`` or have under four neighbours stay.
+    """
+    near = neighbour_stats(px, offsets)
+    odd = inside & (F.col("count") >= 4) & ((F.col("v") > F.col("hi") + tolerance) | (F.col("v") < F.col("lo") - tolerance))
+    away = F.col("v") - F.col("median")
+    return near.select("image_id", "y", "x", F.when(odd, F.col("median") + away * tolerance / (tolerance + F.abs(away))).otherwise(F.col("v")).alias("v"))
 
 
 SAME_COLOUR = {"rb": [(dy, dx) for dy in (-2, 0, 2) for dx in (-2, 0, 2) if dy or dx], "g": [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy or dx) and (dy + dx) % 2 == 0]}
@@ -101,15 +175,7 @@ def superpixels(px: DataFrame, cfa: DataFrame) -> DataFrame:
 
 def demosaic_bilinear(px: DataFrame, cfa: DataFrame) -> DataFrame:
     """Full colour at each pixel: its own kept, the others the mean of the same colour among the 3×3 neighbours in the image."""
-    planes = with_cfa(px, cfa)
-    own = planes.select("image_id", "y", "x", "v", "colour")
-    offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    sent = own.withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in offsets])))
-    sent = sent.select("image_id", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), F.col("v").alias("n"), F.col("colour").alias("nc"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("colour"))
-    kept = own.select("image_id", "y", "x", F.lit(None).cast("double").alias("n"), F.lit(None).cast("int").alias("nc"), "v", "colour")
-    grouped = sent.unionByName(kept).groupBy("image_id", "y", "x")
-    channel = lambda k: F.coalesce(F.max(F.when(F.col("colour") == k, F.col("v"))), F.avg(F.when(F.col("nc") == k, F.col("n"))))
-    return grouped.agg(F.max("colour").alias("own"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b")).where("own IS NOT NULL").drop("own")
+    return tiled(with_cfa(px, cfa), ["v", "colour"], 1, lambda t: kernels.fill_colours(t["v"], t["colour"]), ["r", "g", "b"])
 
 
 def similar_patches(patches: DataFrame, sigma: float, k: int = 16) -> DataFrame:
@@ -142,26 +208,8 @@ def unpack_tiles(tiles: DataFrame, size: int) -> DataFrame:
 
 
 def tile_map(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: int, halo: int) -> DataFrame:
-    """Runs a numpy kernel on tiles with a halo and keeps their cores. With a halo of at least the kernel's reach the result does not depend on ``size``.
-
-    The kernel gets a 2-D array, NaN outside the image, and returns one of the same shape. A task holds one tile at a time.
-    """
-    # a pixel goes to the tiles that its halo reaches and to no others: most go to one
-    reached = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size).cast("int"), F.floor((F.col(c) + halo) / size).cast("int")))
-    dealt = px.select("image_id", "y", "x", "v", reached("y").alias("ty")).select("*", reached("x").alias("tx"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(rows.ty.iat[0]) * size - halo, int(rows.tx.iat[0]) * size - halo
-        tile = np.full((size + 2 * halo, size + 2 * halo), np.nan)
-        tile[rows.y.to_numpy() - y0, rows.x.to_numpy() - x0] = rows.v.to_numpy()
-        done = kernel(tile)
-        y, x = rows.y.to_numpy() - y0, rows.x.to_numpy() - x0
-        core = (y >= halo) & (y < halo + size) & (x >= halo) & (x < halo + size)
-        return pd.DataFrame({"image_id": rows.image_id[core], "y": rows.y[core], "x": rows.x[core], "v": done[y[core], x[core]]})
-
-    return dealt.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id long, y int, x int, v double")
-
-
+    """(image_id, y, x, v): a caller's numpy kernel on tiles, see ``tiled``."""
+    return tiled(px, ["v"], halo, lambda t: {"v": kernel(t["v"])}, ["v"], size)
 
 
 def offset_table(pattern: DataFrame, period: int, radius: int) -> DataFrame:

@@ -83,7 +83,9 @@ OFFSETS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 @query("SELECT a.image_id, a.y, a.x, round(1.23e-8 + sum(b.v), 6) AS total, count(*) AS n FROM fx_px a JOIN fx_px b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3")
 def neighbour_gather(spark, d):
     near = P.gather(view(spark, d, "fx_px"), OFFSETS)
-    return near.groupBy("image_id", "y", "x").agg(shown(F.sum("n"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
+    seen = F.filter("near", lambda v: v.isNotNull())
+    total = F.aggregate(seen, F.lit(0.0), lambda a, v: a + v)
+    return near.select("image_id", "y", "x", shown(total, 6).alias("total"), F.size(seen).cast("long").alias("n")).where("n > 0")
 
 
 _NEAR8 = "(SELECT a.image_id, a.y, a.x, a.v, min(b.v) AS lo, max(b.v) AS hi, quantile_cont(b.v, 0.5) AS median, count(*) AS n FROM fx_px a JOIN fx_px b ON a.image_id = b.image_id AND abs(a.y - b.y) IN (0, 2) AND abs(a.x - b.x) IN (0, 2) AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2, 3, 4)"
@@ -91,19 +93,15 @@ _NEAR8 = "(SELECT a.image_id, a.y, a.x, a.v, min(b.v) AS lo, max(b.v) AS hi, qua
 
 @query(f"SELECT image_id, y, x, round(1.23e-8 + lo, 6) AS lo, round(1.23e-8 + hi, 6) AS hi, round(1.23e-8 + median, 6) AS median FROM {_NEAR8} t WHERE n >= 4")
 def neighbour_min_max_median(spark, d):
-    stats = P.neighbour_stats(view(spark, d, "fx_px"), P.SAME_COLOUR["rb"])
+    stats = P.neighbour_stats(view(spark, d, "fx_px"), P.SAME_COLOUR["rb"]).where("count >= 4")
     return stats.select("image_id", "y", "x", *[shown(c, 6).alias(c) for c in ("lo", "hi", "median")])
 
 
 @query(f"SELECT image_id, y, x, round(1.23e-8 + CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AND n >= 4 AND (v > hi + 0.05 OR v < lo - 0.05) THEN median + (v - median) * 0.05 / (0.05 + abs(v - median)) ELSE v END, 6) AS v FROM {_NEAR8} t")
 def impulse_replace(spark, d):
     """Values beyond their same-colour neighbours by more than 0.05 are pulled to the median with a soft knee; a border of two stays."""
-    px = view(spark, d, "fx_px")
-    stats = P.neighbour_stats(px, P.SAME_COLOUR["rb"])
-    odd = F.col("y").between(2, 5) & F.col("x").between(2, 5) & ((F.col("v") > F.col("hi") + 0.05) | (F.col("v") < F.col("lo") - 0.05))
-    away = F.col("v") - F.col("median")
-    pulled = F.when(odd, F.col("median") + away * 0.05 / (F.lit(0.05) + F.abs(away))).otherwise(F.col("v"))
-    return px.join(stats, ["image_id", "y", "x"], "left").select("image_id", "y", "x", shown(F.coalesce(pulled, "v"), 6).alias("v"))
+    inside = F.col("y").between(2, 5) & F.col("x").between(2, 5)
+    return P.impulse_replace(view(spark, d, "fx_px"), P.SAME_COLOUR["rb"], 0.05, inside).withColumn("v", shown("v", 6))
 
 
 _BIN = "CAST(floor(least(greatest(v, 0), 1) * 255 + 0.5) AS INT)"

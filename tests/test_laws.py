@@ -120,3 +120,23 @@ def test_matrices_of_whites(spark):
     asked = spark.createDataFrame([(1, "D65")], "camera_id int, target string")
     row = D.chromatic_adapt(asked, none).first()
     assert row.status == "identity" and row.m == [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
+
+
+def test_stencils_equal_a_plain_loop_at_every_tile_size(spark):
+    v, px = frame(spark)
+    px = px.where("NOT (y = 5 AND x = 4)")  # a gap
+    v[5, 4] = np.nan
+    offsets = pixels.SAME_COLOUR["rb"]
+    at = lambda y, x: v[y, x] if 0 <= y < 12 and 0 <= x < 10 else np.nan
+    want = {(y, x): [at(y + a, x + b) for a, b in offsets] for y in range(12) for x in range(10) if (y, x) != (5, 4)}
+    near = {(r.y, r.x): [np.nan if e is None else e for e in r.near] for r in pixels.gather(px, offsets).collect()}
+    assert near.keys() == want.keys() and all(np.array_equal(near[k], want[k], equal_nan=True) for k in want)
+    for r in pixels.neighbour_stats(px, offsets).collect():
+        seen = [e for e in want[r.y, r.x] if not np.isnan(e)]
+        assert (r.lo, r.hi, r["count"]) == (min(seen), max(seen), len(seen)) and abs(r.median - np.median(seen)) < 1e-12
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows_a_batch, "7")  # tiles go on over batches
+    found = [{(r.y, r.x): (r.lo, r.hi) for r in pixels.tiled(px, ["v"], 2, lambda t: pixels.kernels.spread(pixels.kernels.around(t["v"], offsets)), ["lo", "hi"], size).collect()} for size in (3, 5, 64)]
+    spark.conf.unset(rows_a_batch)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 119
+    assert pixels.gather(px.limit(0), offsets).collect() == []
