@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from photolake.functions import color as K
 from photolake.functions import kernels
 
-from .pixels import box_min, demosaic_bilinear, guided_filter, tent_blur, tiled, with_cfa
+from .pixels import SAME_COLOUR, box_min, demosaic_bilinear, guided_filter, impulse_replace, tent_blur, tiled, with_cfa
 
 RGB = ("r", "g", "b")
 PIXEL = ("image_id", "y", "x")
@@ -215,14 +215,35 @@ def dehaze(px: DataFrame, cfa: DataFrame, strength: float | None, cap: float = 0
 
 
 
-def develop_mosaic(px: DataFrame, cfa: DataFrame, ev: float | None = None, dehaze_strength: float | None = None, gains: tuple[float, float, float] | None = None) -> DataFrame:
-    """(image_id, y, x, r, g, b) of Bayer mosaics: exposure, dehazing, full colour, white balance.
+def develop_mosaic(
+    px: DataFrame, cfa: DataFrame, ev: float | None = None, impulse: float | None = None, inside: Column | None = None, dehaze_strength: float | None = None,
+    purple: float | None = None, green: float | None = None, gains: tuple[float, float, float] | None = None, **haze,
+) -> DataFrame:
+    """(image_id, y, x, r, g, b) of Bayer mosaics: exposure, impulses, haze, fringes at edges, full colour, white balance.
 
-    A stage whose parameter is None is not part of the plan.
+    A stage whose parameter is None is not part of the plan. ``impulse`` is the tolerance; ``inside`` leaves out border pixels.
     """
     out = px.select(*PIXEL, F.expr(K.exposure("v", ev)).alias("v"))
-    out = demosaic_bilinear(dehaze(out, cfa, dehaze_strength), cfa)
-    return out.select(*PIXEL, *[(F.col(c) * w).alias(c) for c, w in zip(RGB, gains or (1.0, 1.0, 1.0), strict=True)])
+    if impulse is not None:
+        out = impulse_replace(out, SAME_COLOUR["rb"], impulse, F.lit(True) if inside is None else inside)
+    out = loca(dehaze(out, cfa, dehaze_strength, **haze), cfa, purple, green)
+    return demosaic_bilinear(out, cfa).select(*PIXEL, *[(F.col(c) * w).alias(c) for c, w in zip(RGB, gains or (1.0, 1.0, 1.0), strict=True)])
+
+
+def render(px: DataFrame, matrix: tuple[tuple[float, ...], ...], graded: Column, curve: str = "V-Log", fringes: bool = True) -> DataFrame:
+    """(image_id, y, x, r, g, b) in 0..255 of camera colours: projected, clipped, fringes taken out, then graded or shown.
+
+    Rows where ``graded`` holds are boosted and encoded by the log curve, the others get the display curve.
+    """
+    out = px.select(*PIXEL, graded.alias("graded"), *[F.expr(K.clamp(K.dot(w, RGB))).alias(c) for c, w in zip(RGB, matrix, strict=True)])
+    if fringes:
+        for base, side in (("g", "r"), ("r", "g")):
+            out = defringe_blue(out, base, side).select(*PIXEL, "graded", *RGB)
+        out = defringe_green(out).select(*PIXEL, "graded", *RGB)
+    out = out.withColumns({f"boosted_{c}": F.expr(e) for c, e in zip(RGB, K.boost(RGB), strict=True)})
+    final = lambda c: F.when(F.col("graded"), F.expr(K.log_encode(f"boosted_{c}", curve))).otherwise(F.expr(K.srgb(c)))
+    byte = lambda v: F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255 + 1e-9).cast("int")
+    return out.select(*PIXEL, *[byte(final(c)).alias(c) for c in RGB])
 
 
 #: Illuminants of colour matrices, the preferred one first; fixed values.

@@ -61,17 +61,17 @@ def distortion_resample(spark, d):
     return D.resample(view(spark, d, "fx_px"), F.expr(_SY), F.expr(_SX), F.lit(8), F.lit(8)).withColumn("v", shown("v", 6))
 
 
-def _masked(channel: str) -> str:
-    """Common tables up to m: fx_rgb with the blurred mask of a channel."""
-    parts, now = [f"t AS (SELECT image_id, y, x, greatest(({channel} - 0.2) / 0.8, 0) AS v FROM fx_rgb)"], "t"
+def _masked(channel: str, source: str = "fx_rgb") -> str:
+    """Common tables up to m: the source with the blurred mask of a channel."""
+    parts, now = [f"t AS (SELECT image_id, y, x, greatest(({channel} - 0.2) / 0.8, 0) AS v FROM {source})"], "t"
     for k, (line, along) in enumerate((("y", "x"), ("y", "x"), ("x", "y"), ("x", "y"))):
         parts.append(f"t{k} AS (SELECT a.image_id, a.{line}, a.{along}, sum(b.v) / 3 AS v FROM {now} a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o) s JOIN {now} b ON b.image_id = a.image_id AND b.{line} = a.{line} AND b.{along} = least(greatest(a.{along} + s.o, 0), 7) GROUP BY 1, 2, 3)")
         now = f"t{k}"
-    return "WITH " + ", ".join(parts) + ", m AS (SELECT p.*, least(greatest(t3.v, 0), 1) AS mask FROM fx_rgb p JOIN t3 USING (image_id, y, x))"
+    return "WITH " + ", ".join(parts) + f", m AS (SELECT p.*, least(greatest(t3.v, 0), 1) AS mask FROM {source} p JOIN t3 USING (image_id, y, x))"
 
 
-def _blue_fringe(base: str, side: str) -> str:
-    return f"{_masked('b')}, e AS (SELECT *, greatest(b - {base}, 0) AS over, least(mask, greatest(b - {base}, 0) * 1.16) AS mb FROM m), f AS (SELECT *, least(greatest({side} - {base}, 0), mb * 0.33) AS ms FROM e)"
+def _blue_fringe(base: str, side: str, source: str = "fx_rgb") -> str:
+    return f"{_masked('b', source)}, e AS (SELECT *, greatest(b - {base}, 0) AS over, least(mask, greatest(b - {base}, 0) * 1.16) AS mb FROM m), f AS (SELECT *, least(greatest({side} - {base}, 0), mb * 0.33) AS ms FROM e)"
 
 
 def _fringe_query(name: str, base: str, side: str):

@@ -152,31 +152,6 @@ def stage_cache_key(spark, d):
     return renders.join(keys, list(_PRESET)).select("event_id", "developed_as")
 
 
-_DEVELOPED = {c: f"round(1.23e-8 + ({{}}) * CAST({w} AS DOUBLE), 6)" for c, w in zip(RGB, (1.9, 1.0, 1.5), strict=True)}
-
-
-def _colour(k: int) -> str:
-    return f"CASE WHEN a.colour = {k} THEN a.v ELSE avg(CASE WHEN b.colour = {k} THEN b.v END) END"
-
-
-@query(f"""WITH m AS (SELECT image_id, y, x, {K.exposure('v', 0.5)} AS v, colour FROM fx_px JOIN fx_cfa ON y % 2 = ry AND x % 2 = rx)
-SELECT a.image_id, a.y, a.x, {', '.join(f'{t.format(_colour(k))} AS {c}' for k, (c, t) in enumerate(_DEVELOPED.items()))}
-FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY a.image_id, a.y, a.x, a.v, a.colour""")
-def develop_mosaic(spark, d):
-    """Mosaics to full colour in one plan: exposure, bilinear colours, white balance; no dehazing, so it is not in the plan."""
-    out = D.develop_mosaic(view(spark, d, "fx_px"), view(spark, d, "fx_cfa"), ev=0.5, gains=(1.9, 1.0, 1.5))
-    return out.select(*D.PIXEL, *[shown(c, 6).alias(c) for c in RGB])
-
-
-_TO_WORKING = ((0.7977, 0.1352, 0.0313), (0.2880, 0.7119, 0.0001), (0.0, 0.0, 0.8249))
-_RENDER = [
-    {f"w{c}": K.clamp(K.dot(w, RGB)) for c, w in zip(RGB, _TO_WORKING, strict=True)},
-    {f"b{c}": e for c, e in zip(RGB, K.boost(tuple(f"w{c}" for c in RGB)), strict=True)},
-    # images of even id are graded, the others get the display curve
-    {f"e{c}": f"CASE WHEN image_id % 2 = 0 THEN {K.log_encode(f'b{c}', 'V-Log')} ELSE {K.srgb(f'w{c}')} END" for c in RGB},
-]
-staged("render", "fx_rgb", ["image_id", "y", "x"], _RENDER, {c: f"CAST(floor({K.clamp(f'e{c}')} * 255 + 1e-9) AS INT)" for c in RGB})
-
 _BESIDE = "avg(CASE WHEN (a.y = b.y OR a.x = b.x) AND b.colour = {} THEN b.v END)"
 _CORNER = "max(CASE WHEN b.y = a.y + {} AND b.x = a.x + {} THEN b.v END)"
 _CORNERS = {"pp": (1, 1), "mm": (-1, -1), "pm": (1, -1), "mp": (-1, 1)}

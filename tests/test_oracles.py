@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from photolake.plans import aberration, catalogue, develop, pixels, profiles, registry, sources, streams  # noqa: F401  they register their queries
+from photolake.plans import aberration, catalogue, chains, develop, pixels, profiles, registry, sources, streams  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 
