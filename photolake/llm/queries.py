@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, licenses, minhash, pii, quality, secrets, toxicity, url_filter
+from . import bpe, decontaminate, embeddings, fill_middle, licenses, minhash, pii, quality, resample, secrets, toxicity, url_filter
 from .shared import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -91,6 +91,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: features, weight, perturbed score, and its rank if it is drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, form, lengths of prefix and middle, digests of the output and of the text restored from it."""
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
 OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -105,6 +115,6 @@ b AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.page_id = b.page_id AND k = 1"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op5_quality, op6_bpe, op7_toxicity, op8_embedding_dedup, op9_url_filter, op10_decontamination)
+    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op5_quality, op6_bpe, op7_toxicity, op8_embedding_dedup, op9_url_filter, op10_decontamination, op11_importance_resampling, op12_fill_in_middle)
 }
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL, "op11_importance_resampling": resample.SQL, "op12_fill_in_middle": fill_middle.SQL}
