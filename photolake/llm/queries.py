@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, fill_middle, licenses, minhash, pii, quality, resample, secrets, toxicity, url_filter
+from . import bpe, decontaminate, embeddings, fill_middle, licenses, main_text, minhash, pii, quality, resample, secrets, toxicity, url_filter
 from .shared import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -101,6 +101,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: url, main text and its length."""
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -115,6 +120,6 @@ b AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.page_id = b.page_id AND k = 1"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op5_quality, op6_bpe, op7_toxicity, op8_embedding_dedup, op9_url_filter, op10_decontamination, op11_importance_resampling, op12_fill_in_middle)
+    f.__name__: f for f in (op1_secret_scan, op2_pii, op3_license_scan, op4_minhash_dedup, op5_quality, op6_bpe, op7_toxicity, op8_embedding_dedup, op9_url_filter, op10_decontamination, op11_importance_resampling, op12_fill_in_middle, op13_main_text)
 }
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL, "op11_importance_resampling": resample.SQL, "op12_fill_in_middle": fill_middle.SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op9_url_filter": OP9_SQL, "op11_importance_resampling": resample.SQL, "op12_fill_in_middle": fill_middle.SQL, "op13_main_text": main_text.SQL}
