@@ -179,13 +179,19 @@ def training_rows(html: str) -> list[tuple[list[float], bool]]:
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights around PRIOR (maximum a posteriori, Newton steps); the prior itself where there are no rows."""
+    """Logistic weights around PRIOR (maximum a posteriori, Newton steps, halved while they overshoot); the prior itself where there are no rows."""
     weights, scale = PRIOR.copy(), min(1.0, EVIDENCE / max(len(y), 1))
-    for _ in range(30 if len(y) else 0):
+
+    def loss(w: np.ndarray) -> float:
+        return scale * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + PRECISION / 2 * ((w - PRIOR) ** 2).sum()
+
+    for _ in range(50 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = scale * x.T @ (p - y) + PRECISION * (weights - PRIOR)
         curve = scale * (x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(weights))
         step = np.linalg.solve(curve, slope)
+        while np.abs(step).max() >= 1e-10 and loss(weights - step) > loss(weights):
+            step = step / 2
         weights -= step
         if np.abs(step).max() < 1e-10:
             break
