@@ -320,20 +320,26 @@ def would_create_cycle(spark, d):
 
 
 def _fallen(targets: str | None = None) -> str:
-    """The cascade level by level, from the nodes that meet the condition or else from the table target: the tree of the view has five levels and every edge joins neighbouring ones."""
-    levels = [
+    """The cascade from the nodes that meet the condition or else from the table target, as the table f4.
+
+    Every edge of the view joins neighbouring levels, which the ranges of the ids tell, so one statement a level does, each
+    of which reads the level above it once.
+    """
+    met = "SELECT fs_node_id FROM alive " + (f"WHERE ({targets})" if targets else "WHERE fs_node_id IN (SELECT fs_node_id FROM target)")
+    parts = [
         "alive AS MATERIALIZED (SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL AND type_mime <> 'application/folder-root')",
         "hung AS MATERIALIZED (SELECT e.fs_node_id_child AS c, e.fs_node_id_parent AS p FROM fx_edge e JOIN alive a ON a.fs_node_id = e.fs_node_id_child WHERE e.time_deleted IS NULL)",
-        f"f0 AS MATERIALIZED (SELECT fs_node_id FROM alive {f'WHERE {targets}' if targets else 'JOIN target USING (fs_node_id)'})",
+        f"l1 AS MATERIALIZED ({met} AND fs_node_id < 100)",
     ]
-    for k in range(1, 5):
-        levels.append(f"f{k} AS MATERIALIZED (SELECT fs_node_id FROM f{k-1} UNION SELECT c FROM hung LEFT JOIN f{k-1} f ON f.fs_node_id = p GROUP BY c HAVING count(*) = count(f.fs_node_id))")
-    return ", ".join(levels)
+    for k, (low, high) in enumerate(((100, 1000000), (1000000, 10000000), (10000000, 1000000000000)), 2):
+        inside = f"BETWEEN {low} AND {high - 1}"
+        parts.append(f"l{k} AS MATERIALIZED ({met} AND fs_node_id {inside} UNION SELECT c FROM hung LEFT JOIN l{k-1} f ON f.fs_node_id = p WHERE c {inside} GROUP BY c HAVING count(*) = count(f.fs_node_id))")
+    return ", ".join([*parts, "f4 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT fs_node_id FROM l{k}" for k in range(1, 5)) + ")"])
 
 
 def _stamped(at: int) -> str:
     """The edges with ``at`` on the live ones of a fallen child or parent."""
-    return f"SELECT e.*, CASE WHEN e.time_deleted IS NULL AND (c.fs_node_id IS NOT NULL OR p.fs_node_id IS NOT NULL) THEN {at} ELSE e.time_deleted END AS t FROM fx_edge e LEFT JOIN f4 c ON c.fs_node_id = e.fs_node_id_child LEFT JOIN f4 p ON p.fs_node_id = e.fs_node_id_parent"
+    return f"SELECT e.id, CASE WHEN e.time_deleted IS NULL AND (e.fs_node_id_child IN (SELECT fs_node_id FROM f4) OR e.fs_node_id_parent IN (SELECT fs_node_id FROM f4)) THEN {at} ELSE e.time_deleted END AS t FROM fx_edge e"
 
 
 TARGETS = "fs_node_id IN (2, 103, 2000005) OR fs_node_id % 50 = 7"
@@ -360,9 +366,9 @@ TARGET = f"""target AS MATERIALIZED (SELECT fs_node_id FROM fx_node WHERE {FILES
  UNION SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL AND type_mime <> 'application/folder-root' AND fs_node_id NOT IN (SELECT e.fs_node_id_child FROM fx_edge e JOIN fx_node p ON p.fs_node_id = e.fs_node_id_parent WHERE e.time_deleted IS NULL AND p.time_deleted IS NULL))"""
 
 
-@query(f"""WITH {TARGET}, {_fallen()}, state AS MATERIALIZED (SELECT n.fs_node_id, f.fs_node_id IS NOT NULL AS fell, n.time_deleted IS NULL AND f.fs_node_id IS NULL AS stands FROM fx_node n LEFT JOIN f4 f ON f.fs_node_id = n.fs_node_id)
-SELECT e.id, CASE WHEN e.time_deleted IS NOT NULL THEN e.time_deleted WHEN coalesce(c.fell, false) OR coalesce(p.fell, false) THEN 9400 WHEN NOT coalesce(p.stands, false) THEN 9401 END AS time_deleted
-FROM fx_edge e LEFT JOIN state c ON c.fs_node_id = e.fs_node_id_child LEFT JOIN state p ON p.fs_node_id = e.fs_node_id_parent""")
+@query(f"""WITH {TARGET}, {_fallen()}, standing AS MATERIALIZED (SELECT fs_node_id FROM fx_node WHERE time_deleted IS NULL)
+SELECT id, CASE WHEN was IS NOT NULL THEN was WHEN t IS NOT NULL THEN t WHEN parent NOT IN (SELECT fs_node_id FROM standing) THEN 9401 END AS time_deleted
+FROM (SELECT e.id, e.time_deleted AS was, e.fs_node_id_parent AS parent, CASE WHEN e.fs_node_id_child IN (SELECT fs_node_id FROM f4) OR e.fs_node_id_parent IN (SELECT fs_node_id FROM f4) THEN 9400 END AS t FROM fx_edge e) s""")
 def reconcile(spark, d):
     n = nodes(spark, d)
     missing = C.missing_files(n, view(spark, d, "fx_event"))
