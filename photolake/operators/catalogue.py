@@ -103,41 +103,62 @@ def toggled(selection: DataFrame, ids: DataFrame) -> DataFrame:
     return selection.subtract(ids).unionByName(ids.subtract(selection))
 
 
+def _first_picks(picks: DataFrame) -> DataFrame:
+    """(uri_storage, new_name, new_mime, picked): of a URI's repeated picks the first by ``picked``."""
+    row = F.struct("picked", F.col("name_display").alias("new_name"), F.col("type_mime").alias("new_mime"))
+    first = picks.where(F.col("uri_storage").isNotNull()).groupBy("uri_storage").agg(F.min(row).alias("first"))
+    return first.select("uri_storage", "first.new_name", "first.new_mime", "first.picked")
+
+
+def _added(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """The first picks that no node has as new nodes, numbered by URI on top of the largest id."""
+    fresh = new.join(nodes.where(F.col("uri_storage").isNotNull()), "uri_storage", "left_anti")
+    numbered = with_row_numbers(fresh, "uri_storage").crossJoin(F.broadcast(nodes.agg(F.coalesce(F.max("fs_node_id"), F.lit(0)).alias("top"))))
+    return numbered.select(
+        (F.col("top") + F.col("row_number")).alias("fs_node_id"), F.col("new_name").alias("name_display"), F.col("new_mime").alias("type_mime"), "uri_storage",
+        F.lit(None).cast("long").alias("time_modified"), F.col("picked").alias("time_created"), F.lit(None).cast("long").alias("time_deleted"),
+    )
+
+
 def import_merge(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     """The node table after an import of picks (uri_storage, name_display, type_mime, picked).
 
     A new URI is inserted with the next ids, a dead one revived under its new name and MIME, a live one untouched. Of a
     URI's repeated picks the first by ``picked`` counts. New ids are numbered by URI on top of the largest id.
     """
-    first = Window.partitionBy("uri_storage").orderBy("picked", "name_display", "type_mime")
-    picks = picks.where(F.col("uri_storage").isNotNull()).withColumn("k", F.row_number().over(first)).where("k = 1")
-    new = picks.select("uri_storage", F.col("name_display").alias("new_name"), F.col("type_mime").alias("new_mime"), "picked")
-    known = nodes.join(new, "uri_storage", "left").withColumn("revive", F.col("time_deleted").isNotNull() & F.col("new_name").isNotNull())
+    new = _first_picks(picks)
+    known = nodes.join(new, "uri_storage", "left").withColumn("revive", F.col("time_deleted").isNotNull() & F.col("picked").isNotNull())
     kept = known.select(
         "fs_node_id", F.when(F.col("revive"), F.col("new_name")).otherwise(F.col("name_display")).alias("name_display"),
         F.when(F.col("revive"), F.col("new_mime")).otherwise(F.col("type_mime")).alias("type_mime"), "uri_storage", "time_modified", "time_created",
         F.when(~F.col("revive"), F.col("time_deleted")).alias("time_deleted"),
     )
-    fresh = new.join(nodes.where(F.col("uri_storage").isNotNull()), "uri_storage", "left_anti")
-    numbered = with_row_numbers(fresh, "uri_storage").crossJoin(F.broadcast(nodes.agg(F.coalesce(F.max("fs_node_id"), F.lit(0)).alias("top"))))
-    added = numbered.select(
-        (F.col("top") + F.col("row_number")).alias("fs_node_id"), F.col("new_name").alias("name_display"), F.col("new_mime").alias("type_mime"), "uri_storage",
-        F.lit(None).cast("long").alias("time_modified"), F.col("picked").alias("time_created"), F.lit(None).cast("long").alias("time_deleted"),
+    return kept.unionByName(_added(nodes, new))
+
+
+def import_changes(nodes: DataFrame, picks: DataFrame) -> DataFrame:
+    """Of ``import_merge`` the added and revived rows alone: what a table that keeps changes beside its rows has to write."""
+    new = _first_picks(picks)
+    revived = nodes.where(F.col("time_deleted").isNotNull()).join(new, "uri_storage").select(
+        "fs_node_id", F.col("new_name").alias("name_display"), F.col("new_mime").alias("type_mime"), "uri_storage", "time_modified", "time_created", F.lit(None).cast("long").alias("time_deleted")
     )
-    return kept.unionByName(added)
+    return revived.unionByName(_added(nodes, new))
 
 
 def with_row_numbers(rows: DataFrame, by: str) -> DataFrame:
     """``rows`` with row_number 1.. in the order of ``by`` without a global window: ranks inside ranges plus offsets.
 
     The rows are dealt to ranges once and written with their range, so that both branches see the same deal. The offsets
-    table has one row for each range. ``by`` must be unique.
+    table has one row for each range. ``by`` must be unique. Columns may have any name but row_number (``ValueError``).
     """
-    dealt = written(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("low"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(by))
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").withColumn("row_number", F.col("own") + F.col("before")).drop("part", "own", "before")
+    if "row_number" in rows.columns:
+        raise ValueError("there is a column row_number")
+    packed = rows.select(F.struct("*").alias("row_"), F.col(by).alias("by_"))
+    dealt = written(packed.repartitionByRange("by_").withColumn("part_", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"), F.min("by_").alias("low_"))
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("low_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("part_").orderBy("by_"))
+    return dealt.withColumn("own_", own).join(F.broadcast(before), "part_").select("row_.*", (F.col("own_") + F.col("before_")).alias("row_number"))
 
 
 def link_merge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -148,6 +169,14 @@ def link_merge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.coalesce("id", new_id).alias("id"), "fs_node_id_child", "fs_node_id_parent", F.when(F.col("asked").isNull(), F.col("time_deleted")).alias("time_deleted"))
 
 
+def link_changes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``link_merge`` the added and revived edges alone."""
+    pairs = pairs.select(F.col("child").alias("fs_node_id_child"), F.col("parent").alias("fs_node_id_parent")).distinct()
+    both = pairs.join(edges, ["fs_node_id_child", "fs_node_id_parent"], "left").where("id IS NULL OR time_deleted IS NOT NULL")
+    new_id = F.col("fs_node_id_child") * 10000000 + F.col("fs_node_id_parent")
+    return both.select(F.coalesce("id", new_id).alias("id"), "fs_node_id_child", "fs_node_id_parent", F.lit(None).cast("long").alias("time_deleted"))
+
+
 def restore_batches(rows: DataFrame, batches: DataFrame) -> DataFrame:
     """Nodes or edges with the stamps of the given batches (time_deleted) cleared."""
     hit = batches.select("time_deleted").distinct().withColumn("hit", F.lit(True))

@@ -13,6 +13,7 @@ from photolake.sources import sinks
 from photolake.sources.cube import parse_cube
 from photolake.sources.headers import HEADER, header
 from photolake.sources.scratch import shared_dir
+from photolake.sources.snapshots import Snapshots
 
 from .pixels import shown
 from .registry import query
@@ -26,23 +27,22 @@ def _folder(spark, name: str) -> str:
 SELECT fs_node_id, uri_storage, time_deleted FROM fx_node UNION ALL SELECT (SELECT max(fs_node_id) FROM fx_node) + row_number() OVER (ORDER BY uri_storage), uri_storage, NULL FROM fresh""")
 def catalogue_sink(spark, d):
     """The node table written, the picks of all events appended twice (the second time nothing is new), and read again."""
-    path, events = _folder(spark, "nodes"), view(spark, d, "fx_event")
-    view(spark, d, "fx_node").write.parquet(path)
+    events, store = view(spark, d, "fx_event"), Snapshots(spark, _folder(spark, "catalogue"))
+    store.create({"nodes": (view(spark, d, "fx_node"), ["fs_node_id"])})
     uri = events.select(F.col("uri").alias("uri_storage")).union(events.select(F.concat(F.lit("content://new/"), "user_id")))
     new = uri.select("uri_storage", F.col("uri_storage").alias("name_display"), F.lit("image/jpeg").alias("type_mime"), F.lit(None).cast("long").alias("time_modified"), F.lit(1).cast("long").alias("time_created"), F.lit(None).cast("long").alias("time_deleted"))
     for _ in range(2):
-        sinks.append_nodes(spark, path, new)
-    return sinks.read_table(spark, path).select("fs_node_id", "uri_storage", "time_deleted")
+        sinks.append_nodes(store, new)
+    return store.at().read("nodes").select("fs_node_id", "uri_storage", "time_deleted")
 
 
 @query("SELECT id, fs_node_id_child, fs_node_id_parent, time_deleted FROM fx_edge UNION ALL SELECT fs_node_id * 10000000, fs_node_id, 0, NULL FROM fx_node n WHERE fs_node_id > 0 AND NOT EXISTS (SELECT 1 FROM fx_edge e WHERE e.fs_node_id_child = n.fs_node_id AND e.fs_node_id_parent = 0)")
 def catalogue_sink_edges(spark, d):
     """The edge table written, an edge to the root appended for every node without one, and read again."""
-    path = _folder(spark, "edges")
-    view(spark, d, "fx_edge").write.parquet(path)
+    store = Snapshots(spark, _folder(spark, "catalogue"))
+    store.create({"edges": (view(spark, d, "fx_edge"), ["id"])})
     new = view(spark, d, "fx_node").where("fs_node_id > 0").select((F.col("fs_node_id") * 10000000).alias("id"), F.col("fs_node_id").alias("fs_node_id_child"), F.lit(0).cast("long").alias("fs_node_id_parent"), F.lit(None).cast("long").alias("time_deleted"))
-    sinks.append_edges(spark, path, new.unionByName(new))
-    return sinks.read_table(spark, path)
+    return sinks.append_edges(store, new.unionByName(new)).read("edges")
 
 
 @query("SELECT image_id % 3 AS preset, image_id, y, x, v FROM fx_px")

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.operators.catalogue import with_row_numbers
+from photolake.sources.snapshots import Snapshot, Snapshots
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def append_nodes(spark: SparkSession, path: str, new: DataFrame, by: str = "uri_storage") -> None:
-    """Append ``new`` (the columns of a node but its id) to the node table in ``path``, which must exist.
+def append_nodes(catalogue: Snapshots, new: DataFrame, by: str = "uri_storage", table: str = "nodes") -> Snapshot:
+    """Append ``new`` (the columns of a node but its id) to the catalogue's node table, and return the version that holds them.
 
     Of rows that repeat ``by`` one is added, of those that the table has none. Ids go on from the largest of the table, in
-    the order of ``by``. Rows without ``by`` are not added. Appends to one table must not run side by side.
+    the order of ``by``. Rows without ``by`` are not added. Writers may run side by side: one whose version is taken
+    numbers anew from what the other left. A failed append leaves the table as it was.
     """
-    table = read_table(spark, path)
-    columns = [c for c in table.columns if c != "fs_node_id"]
-    fresh = new.where(F.col(by).isNotNull()).dropDuplicates([by]).join(table.where(F.col(by).isNotNull()).select(by), by, "left_anti")
-    top = table.agg(F.coalesce(F.max("fs_node_id"), F.lit(0))).first()[0]
-    numbered = with_row_numbers(fresh, by)
-    numbered.select((F.lit(top) + F.col("row_number")).alias("fs_node_id"), *columns).select(*table.columns).write.mode("append").parquet(path)
-
-
-def append_edges(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Append the edges of ``new`` that the edge table in ``path`` lacks by (child, parent); repeated ones once."""
-    key, table = ["fs_node_id_child", "fs_node_id_parent"], read_table(spark, path)
-    new.dropDuplicates(key).join(table.select(*key), key, "left_anti").select(*table.columns).write.mode("append").parquet(path)
+
+    def change(now: Snapshot) -> dict[str, DataFrame]:
+        rows = now.read(table)
+        fresh = new.where(F.col(by).isNotNull()).dropDuplicates([by]).join(rows.where(F.col(by).isNotNull()).select(by), by, "left_anti")
+        top = rows.agg(F.coalesce(F.max("fs_node_id"), F.lit(0))).first()[0]
+        return {table: with_row_numbers(fresh, by).withColumn("fs_node_id", F.lit(top) + F.col("row_number")).select(*rows.columns)}
+
+    return catalogue.update(change)
+
+
+def append_edges(catalogue: Snapshots, new: DataFrame, table: str = "edges") -> Snapshot:
+    """Append the edges of ``new`` that the catalogue lacks by (child, parent); repeated ones once. As safe as ``append_nodes``."""
+    key = ["fs_node_id_child", "fs_node_id_parent"]
+
+    def change(now: Snapshot) -> dict[str, DataFrame]:
+        rows = now.read(table)
+        return {table: new.dropDuplicates(key).join(rows.select(*key), key, "left_anti").select(*rows.columns)}
+
+    return catalogue.update(change)
 
 
 def write_tiles(tiles: DataFrame, path: str, preset: str = "preset", by: str = "image_id") -> None:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: import of picks, the recent list of each user, a live listing."""
+"""Structured Streaming jobs: picks imported into a versioned catalogue, its live listing, the recent list of each user."""
 
 from __future__ import annotations
 
@@ -8,66 +8,128 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from photolake.sources.scratch import shared_dir
+from photolake.operators.catalogue import import_changes, link_changes, live
+from photolake.sources.scratch import shared_dir, written
+from photolake.sources.snapshots import Snapshot, Snapshots
+
+#: The state of a query lies in RocksDB on the executors' disks and goes to the checkpoint as changes.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/photolake/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all that is available now into a Parquet folder and reads it. One table for each micro-batch, with its number."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/photolake/stream-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, f"stream-{name}")
 
     def put(rows: DataFrame, number: int) -> None:
         rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/number={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+    run(stream, mode, put, f"{path}/state")
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out").drop("number")
+
+
+def run(stream: DataFrame, mode: str, put, checkpoint: str) -> None:
+    """One pass over all that is available now, its state in RocksDB."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
-    schema = stream.schema
-    return spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/out").drop("number")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream; its times without zone become timestamps, which a watermark needs."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def arrivals(events: DataFrame, name: str, by: str, parts: int = 4) -> DataFrame:
+    """The events as a file stream of about ``parts`` micro-batches in the order of ``by``, from files written one after the other."""
+    spark, path = events.sparkSession, folder(events.sparkSession, f"arrivals-{name}")
+    edges = events.stat.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = events if low is None else events.where(F.col(by) > low)
+        (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def import_batch(catalogue: Snapshots, picks: DataFrame, number: int, stream: str = "import") -> Snapshot:
+    """One batch of picks (uri_storage, name_display, type_mime, picked, parent) in the catalogue: nodes and edges in one version.
+
+    A new URI becomes a node, a dead one is revived, and each is linked under its parent; what is there stays. The batch's
+    number is committed with it, so a batch that is sent again after a failure changes nothing. A pick may come however
+    late: what is known of a URI is the table, not a state with a horizon. Only changed rows are written.
+    """
+    picks = written(picks, "picks")  # small beside the tables, and of a known size to the planner
+
+    def change(now: Snapshot) -> dict[str, DataFrame]:
+        nodes, edges = now.read("nodes"), now.read("edges")
+        changed = written(import_changes(nodes, picks), "changed")
+        asked = picks.where("uri_storage IS NOT NULL").select("uri_storage", "parent").distinct()
+        known = nodes.join(changed.select("fs_node_id"), "fs_node_id", "left_anti").select("fs_node_id", "uri_storage").unionByName(changed.select("fs_node_id", "uri_storage"))
+        pairs = known.join(asked, "uri_storage").select(F.col("fs_node_id").alias("child"), "parent")
+        return {"nodes": changed, "edges": link_changes(edges, pairs)}
+
+    return catalogue.update(change, (stream, number))
+
 
+def listing(catalogue: Snapshot, parents: DataFrame) -> DataFrame:
+    """(parent, fs_node_id, name_display, uri_storage, time_created): the live children of the given parents (parent)."""
+    links = live(catalogue.read("edges")).select(F.col("fs_node_id_parent").alias("parent"), F.col("fs_node_id_child").alias("fs_node_id"))
+    inside = links.join(parents.select("parent").distinct(), "parent", "left_semi")
+    return inside.join(live(catalogue.read("nodes")), "fs_node_id").select("parent", "fs_node_id", "name_display", "uri_storage", "time_created")
 
-def import_stream(events: DataFrame, horizon: str = "30 days") -> DataFrame:
-    """Each picked URI once within ``horizon``: the state forgets a URI that long after its first pick, so it stays bounded.
 
-    A pick that comes later than ``horizon`` behind the newest one is dropped.
+def import_stream(catalogue: Snapshots, picks: DataFrame, checkpoint: str, listings: str | None = None) -> None:
+    """Imports a stream of picks batch by batch, see ``import_batch``.
+
+    With ``listings`` the listing of each parent that a batch touched is sent again after it, to the folder batch=N under
+    that path; a batch that is sent again replaces its own.
     """
-    picks = events.select("ts", F.concat(F.lit("content://media/"), F.col("event_id") % 500).alias("uri"))
-    return picks.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["uri"])
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows = written(rows, "batch")
+        now = import_batch(catalogue, rows, number)
+        if listings:
+            listing(now, rows).withColumn("version", F.lit(now.version)).write.mode("overwrite").parquet(f"{listings}/batch={number}")
+
+    run(picks, "append", put, checkpoint)
 
 
-def recent_stream(events: DataFrame, cap: int, horizon: str = "30 days") -> DataFrame:
-    """The user's most recent items, newest first, each once, at most ``cap``, as a comma-joined list after each batch.
+class Recent(StatefulProcessor):
+    """The list of a user, newest first, each item once, at most ``cap``: a list in the state store, kept however long the user is idle.
 
-    The state of a user holds ``cap`` items: one that has left the list returns only by a newer use. A user who is idle for
-    longer than ``horizon`` behind the newest event is forgotten.
+    An item that has left the list returns only by a newer use, so nothing but the list need be kept.
     """
 
-    def push(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for rows in batches:
-            for item, ts in rows.groupby("item").ts.max().items():
-                last[item] = max(last.get(item, 0), int(ts.value // 1000))
-        top = sorted(last, key=lambda i: (-last[i], i))[:cap]
-        state.update((top, [last[i] for i in top]))
-        newest = max(last.values()) // 1000
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [",".join(top)]})
-
-    keyed = events.select("user_id", F.col("event_type").alias("item"), "ts").withWatermark("ts", horizon)
-    return keyed.groupBy("user_id").applyInPandasWithState(push, "user_id long, items string", "items array<string>, times array<long>", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def counts_stream(events: DataFrame) -> DataFrame:
-    """Uses of each item, as a listing that is sent again after each change."""
-    return events.groupBy(F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kept = StructType([StructField("item", StringType()), StructField("used", LongType())])
+        self.kept = handle.getListState("recent", kept)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        last = {item: used for item, used in self.kept.get()}
+        before = dict(last)
+        for part in rows:
+            for item, used in part.groupby("item", dropna=False).used.max().items():
+                last[item] = max(last.get(item, used), int(used))
+        top = sorted(last, key=lambda i: (-last[i], i is None, i or ""))[: self.cap]
+        if list(before.items()) != [(i, last[i]) for i in top]:
+            self.kept.put([(i, last[i]) for i in top])
+        yield pd.DataFrame({"user_id": [key[0]], "items": [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def recent_stream(events: DataFrame, cap: int) -> DataFrame:
+    """(user_id, items): the user's recent list after each batch that uses something, see ``Recent``. Events without a time count as oldest."""
+    used = events.select("user_id", "item", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62))).alias("used"))
+    kind = StructType([StructField("user_id", events.schema["user_id"].dataType), StructField("items", ArrayType(StringType()))])
+    return used.groupBy("user_id").transformWithStateInPandas(Recent(cap), kind, "Update", "None")
