@@ -10,8 +10,8 @@ from photolake.fixtures import view
 from photolake.functions import logspace, tags
 from photolake.operators import pixels as P
 from photolake.sources import sinks
-from photolake.sources.cube import parse_cube
-from photolake.sources.headers import HEADER, header
+from photolake.sources.cube import read_cube
+from photolake.sources.headers import HEADER, read_headers, write_files
 from photolake.sources.scratch import shared_dir
 from photolake.sources.snapshots import Snapshots
 
@@ -56,19 +56,26 @@ def tile_sink(spark, d):
 
 @query(f"SELECT page_id, least(octet_length(encode(html)), {HEADER}) AS bytes, lower(hex(encode(html)[1:8])) AS first_bytes FROM pages")
 def header_scan(spark, d):
-    """Bytes of each page's header, at most a mebibyte, and the first eight. Files are read by ``sources.headers.read_headers``."""
-    head = header(F.encode("html", "UTF-8"))
+    """Bytes of the header of a file for each page, at most a mebibyte, and the first eight: the files written, then read by ranges."""
+    path = _folder(spark, "files")
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    return pages.select("page_id", F.octet_length(head).cast("long").alias("bytes"), F.lower(F.hex(F.substring(head, 1, 8))).alias("first_bytes"))
+    name = F.format_string("%02x/page-%d.html", F.pmod(F.xxhash64("page_id"), F.lit(256)), "page_id")
+    write_files(pages.select(name.alias("name"), F.encode("html", "UTF-8").alias("content")), path)
+    read = read_headers(spark, path).where(F.col("path").endswith(".html"))
+    page = F.regexp_extract("path", r"page-(\d+)\.html$", 1).cast("long")
+    return read.select(page.alias("page_id"), F.octet_length("header").cast("long").alias("bytes"), F.lower(F.hex(F.substring("header", 1, 8))).alias("first_bytes"))
 
 
 @query("SELECT image_id AS file, 4 AS n, (y * 8 + x) % 4 AS i, (y * 8 + x) // 4 % 4 AS j, (y * 8 + x) // 16 AS k, r, g, b FROM fx_rgb")
 def cube_lut_scan(spark, d):
-    """Every frame of 64 pixels as the text of a 4 × 4 × 4 lattice, parsed. Files of such texts are read by ``sources.cube.read_cube``."""
+    """Every frame of 64 pixels written as a .cube file of a 4 × 4 × 4 lattice; the files read and parsed."""
+    path = _folder(spark, "cubes")
     line = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("r", "g", "b")])
     points = F.sort_array(F.collect_list(F.struct((F.col("y") * 8 + F.col("x")).alias("at"), line.alias("line"))))
-    texts = view(spark, d, "fx_rgb").groupBy("image_id").agg(F.concat(F.lit("# lattice\nTITLE \"frame\"\nLUT_3D_SIZE 4\n"), F.array_join(F.transform(points, lambda p: p["line"]), "\n")).alias("text"))
-    return parse_cube(texts, "image_id", "text")
+    text = F.concat(F.lit("# lattice\nTITLE \"frame\"\nLUT_3D_SIZE 4\n"), F.array_join(F.transform(points, lambda p: p["line"]), "\n"))
+    texts = view(spark, d, "fx_rgb").groupBy("image_id").agg(F.encode(text, "UTF-8").alias("content"))
+    write_files(texts.select(F.format_string("frame-%d.cube", "image_id").alias("name"), "content"), path)
+    return read_cube(spark, path).withColumn("file", F.regexp_extract("file", r"frame-(\d+)\.cube$", 1).cast("long"))
 
 
 _CHOSEN = "CASE event_id % 3 WHEN 0 THEN display WHEN 1 THEN canonical ELSE concat(canonical, '?') END"
