@@ -118,6 +118,7 @@ class Recent(StatefulProcessor):
         before = dict(last)
         for part in rows:
             for item, used in part.groupby("item", dropna=False).used.max().items():
+                item = item if isinstance(item, str) else None
                 last[item] = max(last.get(item, used), int(used))
         top = sorted(last, key=lambda i: (-last[i], i is None, i or ""))[: self.cap]
         if list(before.items()) != [(i, last[i]) for i in top]:

@@ -61,7 +61,7 @@ def test_headers_push_the_length_down(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x" * 5000)
     out = headers.read_headers(spark, str(tmp_path), 4, largest=100)
     assert [(r.length, bytes(r.header)) for r in out.collect()] == [(20, b"abab")]
-    assert "Filter" not in out._jdf.queryExecution().executedPlan().toString()
+    assert " Filter " not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(len(r.header) for r in headers.read_headers(spark, str(tmp_path), 100).collect()) == [20, 100]
 
 
@@ -136,7 +136,7 @@ def test_shift_of_a_displaced_red_plane(spark):
 def test_streams_keep_bounded_state(spark, tmp_path):
     ts = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)"
     for part in range(2):
-        spark.range(part * 50, part * 50 + 50).selectExpr("id AS event_id", f"{ts} AS ts", "id % 2 AS user_id", "concat('i', CAST(id % 7 AS STRING)) AS event_type").write.mode("append").parquet(str(tmp_path / "e"))
+        spark.range(part * 50, part * 50 + 50).selectExpr("id AS event_id", f"{ts} AS ts", "id % 2 AS user_id", "concat('i', CAST(id % 7 AS STRING)) AS item").write.mode("append").parquet(str(tmp_path / "e"))
     schema = "event_id long, ts timestamp, user_id long, item string"
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
     out = jobs.drained(jobs.recent_stream(source(), 2), "update", "t").groupBy("user_id").agg(F.max_by("items", "batch").alias("items")).collect()

@@ -121,13 +121,13 @@ def test_killed_stream_goes_on_where_it_was(spark, store, tmp_path, monkeypatch)
 
 def test_recent_list_of_idle_users_and_odd_rows(spark, tmp_path):
     """A user who comes back after two years finds the list as it was."""
-    batches = [[(1, "a", "2020-01-01"), (1, "b", "2020-01-02"), (2, "z", "2020-01-01")], [(2, "y", "2021-06-01"), (None, "q", "2021-06-01"), (2, None, None)], [(1, "c", "2022-01-01"), (1, "a", "2019-01-01"), (1, "d", None)]]
+    batches = [[(1, "a", "2020-01-01"), (1, "b", "2020-01-02"), (2, "z", "2020-01-01")], [(2, "y", "2021-06-01"), (None, "q", "2021-06-01"), (2, None, None)], [(1, "c", "2022-01-01"), (1, "a", "2019-01-01"), (1, "d", None), (2, None, "2021-07-01")]]
     for rows in batches:
         spark.createDataFrame(rows, "user_id long, item string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("user_id long, item string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.drained(jobs.recent_stream(events, 3), "update", "recent-test")
     last = {r.user_id: r["items"] for r in out.groupBy("user_id").agg(F.max_by("items", "batch").alias("items")).collect()}
-    assert last == {1: ["c", "b", "a"], 2: ["y", "z", None], None: ["q"]}
+    assert last == {1: ["c", "b", "a"], 2: [None, "y", "z"], None: ["q"]}
 
 
 def test_row_numbers_keep_columns_of_any_name(spark):
