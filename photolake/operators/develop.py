@@ -7,15 +7,18 @@ without a hint, so that Spark broadcasts them by their measured size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions import color as K
 from photolake.functions import kernels
 
-from .pixels import SAME_COLOUR, box_min, demosaic_bilinear, guided_filter, impulse_replace, tent_blur, tiled, with_cfa
+from .pixels import SAME_COLOUR, TILE, box_min, guided_filter, tent_blur, tiled, whole_groups, with_cfa
 
 RGB = ("r", "g", "b")
 PIXEL = ("image_id", "y", "x")
@@ -101,20 +104,80 @@ def lens_position(y: str, x: str, radial: tuple[float, float, float], tangential
     return tuple(f"(({d} * {common} + {t}e0 * {r2}) * {focal}e0 + {centre}e0)" for d, t in ((yd, ty), (xd, tx)))
 
 
-def resample(px: DataFrame, sy: Column, sx: Column, height: Column, width: Column) -> DataFrame:
-    """(image_id, y, x, v): each pixel's value taken at (sy, sx) of its image, bilinear, edges repeated.
-
-    Every pixel asks for at most four source pixels; they meet by an equi-join on image and position.
+@dataclass(frozen=True)
+class Lens:
+    """The published radial and tangential lens model about a centre, in parts of a focal length, both in pixels."""
+
+    radial: tuple[float, float, float]
+    tangential: tuple[float, float]
+    centre: tuple[float, float]
+    focal: float
+
+    def __call__(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source positions of the places (y, x)."""
+        yd, xd = (y - self.centre[0]) / self.focal, (x - self.centre[1]) / self.focal
+        r2 = xd * xd + yd * yd
+        a, b, c = self.radial
+        ty, tx = self.tangential
+        common = ((c * r2 + b) * r2 + a) * r2 + 1 + 2 * (ty * yd + tx * xd)
+        return (yd * common + ty * r2) * self.focal + self.centre[0], (xd * common + tx * r2) * self.focal + self.centre[1]
+
+
+def _source_windows(frames: DataFrame, position: Callable, size: int) -> DataFrame:
+    """(height, width, tile_y, tile_x, y0, y1, x0, x1, from_y, from_x): for each kind of frame and output tile the box of source pixels that
+    it asks for, a row for each source tile that the box meets."""
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for h, w, ty, tx in rows[["height", "width", "tile_y", "tile_x"]].itertuples(index=False):
+                y, x = np.meshgrid(np.arange(ty * size, min(h, (ty + 1) * size)), np.arange(tx * size, min(w, (tx + 1) * size)), indexing="ij")
+                sy, sx = position(y.astype(float), x.astype(float))
+                out = {"height": h, "width": w, "tile_y": ty, "tile_x": tx}
+                for n, s, most in (("y", np.clip(sy, 0, h - 1), h - 1), ("x", np.clip(sx, 0, w - 1), w - 1)):
+                    out |= {f"{n}0": int(np.floor(s.min())), f"{n}1": min(int(np.floor(s.max())) + 1, most)}
+                yield pd.DataFrame([out])
+
+    last = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
+    kinds = frames.select("height", "width").where("height > 0 AND width > 0").distinct()
+    tiles = kinds.select("*", F.explode(F.sequence(F.lit(0), last("height"))).alias("tile_y")).select("*", F.explode(F.sequence(F.lit(0), last("width"))).alias("tile_x"))
+    windows = tiles.mapInPandas(boxes, "height int, width int, tile_y int, tile_x int, y0 int, y1 int, x0 int, x1 int")
+    part = lambda c: F.floor(F.col(c) / size).cast("int")
+    met = windows.select("*", F.explode(F.sequence(part("y0"), part("y1"))).alias("from_y"))
+    return met.select("*", F.explode(F.sequence(part("x0"), part("x1"))).alias("from_x"))
+
+
+def resample(px: DataFrame, position: Callable, height: Column, width: Column, size: int = TILE) -> DataFrame:
+    """(image_id, y, x, v) of whole frames: each place's value taken at ``position(y, x)`` of its image, bilinear, edges repeated.
+
+    ``position`` maps numpy arrays of places to arrays of source places, the same for all frames. The box of source pixels that a
+    tile of the output needs is known from it before any pixel moves, so a pixel is sent to each tile that may read it and
+    to no other: hardly more than once for a lens. One shuffle. The table of boxes has a row for each tile of each size of
+    frame and meets the pixels by tile. A missing or null source pixel adds nothing; a tile without any source pixel is left
+    out, as are pixels without an image or outside the frame.
     """
-    bound = lambda c, size: F.least(F.greatest(c, F.lit(0.0)), size - F.lit(1.0))
-    out = px.select(*PIXEL, bound(sy, height).alias("sy"), bound(sx, width).alias("sx"))
-    out = out.withColumns({"y0": F.floor("sy").cast("int"), "x0": F.floor("sx").cast("int")})
-    fy, fx = F.col("sy") - F.col("y0"), F.col("sx") - F.col("x0")
-    tap = lambda a, b: F.struct((F.col("y0") + a).alias("ty"), (F.col("x0") + b).alias("tx"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w"))
-    taps = out.select(*PIXEL, F.explode(F.array(*[tap(a, b) for a in (0, 1) for b in (0, 1)])).alias("t")).where("t.w > 0")
-    taps = taps.select(*PIXEL, "t.ty", "t.tx", "t.w")
-    source = px.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), "v")
-    return taps.join(source, ["image_id", "ty", "tx"]).groupBy(*PIXEL).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    sent = px.where("image_id IS NOT NULL").select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"), height.cast("int").alias("height"), width.cast("int").alias("width"))
+    windows = _source_windows(sent, position, size)
+    part = lambda c: F.floor(F.col(c) / size).cast("int")
+    met = sent.withColumns({"from_y": part("y"), "from_x": part("x")}).join(windows, ["height", "width", "from_y", "from_x"]).where("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
+    key = ["image_id", "tile_y", "tile_x"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, key):
+            for (image, ty, tx), part in rows.groupby(key, sort=False):
+                h, w, y0, x0, y1, x1 = (int(part[c].iloc[0]) for c in ("height", "width", "y0", "x0", "y1", "x1"))
+                window = np.zeros((y1 - y0 + 1, x1 - x0 + 1))
+                window[part.y.to_numpy() - y0, part.x.to_numpy() - x0] = np.nan_to_num(part.v.to_numpy())
+                y, x = (a.ravel() for a in np.meshgrid(np.arange(ty * size, min(h, (ty + 1) * size)), np.arange(tx * size, min(w, (tx + 1) * size)), indexing="ij"))
+                sy, sx = position(y.astype(float), x.astype(float))
+                sy, sx = np.clip(sy, 0, h - 1) - y0, np.clip(sx, 0, w - 1) - x0
+                iy, ix = np.floor(sy).astype(int), np.floor(sx).astype(int)
+                fy, fx = sy - iy, sx - ix
+                jy, jx = np.minimum(iy + 1, y1 - y0), np.minimum(ix + 1, x1 - x0)
+                v = (window[iy, ix] * (1 - fx) + window[iy, jx] * fx) * (1 - fy) + (window[jy, ix] * (1 - fx) + window[jy, jx] * fx) * fy
+                yield pd.DataFrame({"image_id": image, "y": y, "x": x, "v": v})
+
+    moved = met.select(*key, "y", "x", "v", "height", "width", "y0", "y1", "x0", "x1")
+    return moved.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "image_id long, y int, x int, v double")
 
 
 #: Widening of a colour difference at the bound of what may be removed; a fixed value.
@@ -217,17 +280,37 @@ def dehaze(px: DataFrame, cfa: DataFrame, strength: float | None, cap: float = 0
 
 def develop_mosaic(
     px: DataFrame, cfa: DataFrame, ev: float | None = None, impulse: float | None = None, inside: Column | None = None, dehaze_strength: float | None = None,
-    purple: float | None = None, green: float | None = None, gains: tuple[float, float, float] | None = None, **haze,
+    purple: float | None = None, green: float | None = None, gains: tuple[float, float, float] | None = None,
+    cap: float = 0.01, mode: str = "min", radius: int = 8, eps: float = 0.01, light: float = 1.0, size: int | None = None,
 ) -> DataFrame:
     """(image_id, y, x, r, g, b) of Bayer mosaics: exposure, impulses, haze, fringes at edges, full colour, white balance.
 
-    A stage whose parameter is None is not part of the plan. ``impulse`` is the tolerance; ``inside`` leaves out border pixels.
+    A stage whose parameter is None is left out. ``impulse`` is the tolerance; ``inside`` leaves out border pixels. The steps
+    that the stages reach add up to one halo, with which the tiles are dealt once; all stages then run in the task that holds
+    the tile. A tile's side is at least eight halos, so that the halos are about half as many pixels as the tiles at most.
     """
-    out = px.select(*PIXEL, F.expr(K.exposure("v", ev)).alias("v"))
+    offsets = SAME_COLOUR["rb"]
+    fringes = bool(purple or green)
+    halo = (2 if impulse is not None else 0) + (6 * radius + 1 if dehaze_strength else 0) + (1 if fringes else 0) + 1
+
+    def chain(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v, colour = t["v"], t["colour"]
+        if impulse is not None:
+            v = kernels.calm(v, t["inside"], offsets, impulse)
+        if dehaze_strength:
+            v = kernels.clear(v, t["ry"], t["rx"], colour, dehaze_strength, cap, mode, radius, eps, light)
+        if fringes:
+            v = kernels.mend_fringes(v, colour, purple or 0.0, green or 0.0, 0.5, K.LOCA_EDGE, K.LOCA_FULL, K.LOCA_TINT, K.LOCA_MIX)
+        out = kernels.fill_colours(v, colour)
+        return {c: out[c] * w for c, w in zip(RGB, gains or (1.0, 1.0, 1.0), strict=True)}
+
+    sites = with_cfa(px, cfa)
+    read = {"v": F.expr(K.exposure("v", ev)), "colour": F.col("colour")}
     if impulse is not None:
-        out = impulse_replace(out, SAME_COLOUR["rb"], impulse, F.lit(True) if inside is None else inside)
-    out = loca(dehaze(out, cfa, dehaze_strength, **haze), cfa, purple, green)
-    return demosaic_bilinear(out, cfa).select(*PIXEL, *[(F.col(c) * w).alias(c) for c, w in zip(RGB, gains or (1.0, 1.0, 1.0), strict=True)])
+        read["inside"] = (F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))).cast("int")
+    if dehaze_strength:
+        read |= {"ry": F.col("y") % 2, "rx": F.col("x") % 2}
+    return tiled(sites.select(*PIXEL, *[c.alias(n) for n, c in read.items()]), list(read), halo, chain, list(RGB), size or max(TILE, 8 * halo))
 
 
 def render(px: DataFrame, matrix: tuple[tuple[float, ...], ...], graded: Column, curve: str = "V-Log", fringes: bool = True) -> DataFrame:

@@ -19,6 +19,24 @@ from photolake.functions import kernels
 TILE = 256
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches again, cut so that no group is in two parts. Holds a batch and a group."""
+    held = []  # of the group that may go on in the next batch
+    for rows in batches:
+        if rows.empty:
+            continue
+        last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy()
+        begins = len(rows) - int(last.sum())
+        if held and (begins or (held[-1][key].iloc[-1] != rows[key].iloc[-1]).any()):
+            yield pd.concat([*held, rows[:begins]], ignore_index=True)
+            held = []
+        elif begins:
+            yield rows[:begins].reset_index(drop=True)
+        held.append(rows[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str], size: int = TILE) -> DataFrame:
     """(image_id, y, x, *out), a row for each pixel: what a numpy kernel makes of the pixels up to ``halo`` steps around.
 
@@ -57,20 +75,8 @@ def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[st
             yield pd.DataFrame({c: rows[c].to_numpy()[a:b][kept] for c in ("image_id", "y", "x")} | {n: v if v.ndim == 1 else list(v.T) for n, v in taken.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []  # of the tile that may go on in the next batch
-        for rows in batches:
-            if rows.empty:
-                continue
-            last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy()
-            begins = len(rows) - int(last.sum())
-            if held and (begins or (held[-1][key].iloc[-1] != rows[key].iloc[-1]).any()):
-                yield from made(pd.concat([*held, rows[:begins]], ignore_index=True))
-                held = []
-            elif begins:
-                yield from made(rows[:begins].reset_index(drop=True))
-            held.append(rows[begins:])
-        if held:
-            yield from made(pd.concat(held, ignore_index=True))
+        for rows in whole_groups(batches, key):
+            yield from made(rows)
 
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
     done = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, f"image_id long, y int, x int, {schema}")

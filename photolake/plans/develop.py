@@ -58,7 +58,8 @@ t AS (SELECT s.*, a, b, abs(1 - a - (sy - floor(sy))) * abs(1 - b - (sx - floor(
 SELECT t.image_id, t.y, t.x, {_shift('sum(w * p.v)')} AS v FROM t JOIN fx_px p ON p.image_id = t.image_id AND p.y = least(floor(sy) + a, 7) AND p.x = least(floor(sx) + b, 7) GROUP BY 1, 2, 3""")
 def distortion_resample(spark, d):
     """Each frame through a lens model with three radial and two tangential terms."""
-    return D.resample(view(spark, d, "fx_px"), F.expr(_SY), F.expr(_SX), F.lit(8), F.lit(8)).withColumn("v", shown("v", 6))
+    lens = D.Lens((-0.12, 0.03, 0.01), (0.004, -0.006), (4.0, 4.0), 8.0)
+    return D.resample(view(spark, d, "fx_px"), lens, F.lit(8), F.lit(8)).withColumn("v", shown("v", 6))
 
 
 def _masked(channel: str, source: str = "fx_rgb") -> str:

@@ -90,7 +90,7 @@ def test_develop_steps_keep_flat_fields_and_unset_stages(spark):
     _, px = frame(spark, value=0.25)
     cfa = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 1), (1, 0, 2, 1), (1, 1, 3, 2)], "ry int, rx int, plane int, colour int")
     assert all(abs(r.blurred_v - 0.25) < 1e-12 for r in develop.gaussian_blur(px, "v", 1.0).collect())
-    assert all(abs(r.v - 0.25) < 1e-12 for r in develop.resample(px, F.col("y") * 1.3 - 2, F.col("x") * 0.7, F.lit(12), F.lit(10)).collect())
+    assert all(abs(r.v - 0.25) < 1e-12 for r in develop.resample(px, lambda y, x: (y * 1.3 - 2, x * 0.7), F.lit(12), F.lit(10)).collect())
     assert all(abs(v - 0.25) < 1e-12 for r in develop.demosaic_weighted(px, cfa, 2).collect() for v in (r.r, r.g, r.b))
     assert {r.v for r in develop.dehaze(px, cfa, None).collect()} == {0.25}
 
