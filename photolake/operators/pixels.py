@@ -6,14 +6,17 @@ windows are two separable window passes, dealt by (image, row) and (image, colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from photolake.functions import kernels
+from photolake.sources.scratch import written
 
 #: Side of a tile; a task holds about two tiles of this many pixels squared, and their halos, at a time.
 TILE = 256
@@ -184,20 +187,88 @@ def demosaic_bilinear(px: DataFrame, cfa: DataFrame) -> DataFrame:
     return tiled(with_cfa(px, cfa), ["v", "colour"], 1, lambda t: kernels.fill_colours(t["v"], t["colour"]), ["r", "g", "b"])
 
 
+#: Side of a patch, coefficients of its sketch, coefficients of the grid, and different patches of a grid cell that meet in one piece.
+PATCH, SKETCH, GRID, PIECE = 8, 16, 3, 512
+
+
+def _cosines() -> np.ndarray:
+    """The 64 × SKETCH first vectors of the orthonormal cosine transform of a patch, low frequencies first."""
+    k = np.arange(PATCH)
+    line = np.sqrt(2 / PATCH) * np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / (2 * PATCH))
+    line[0] /= np.sqrt(2)
+    order = sorted(np.ndindex(PATCH, PATCH), key=lambda f: (f[0] + f[1], f))[:SKETCH]
+    return np.stack([np.outer(line[u], line[v]).ravel() for u, v in order], axis=1)
+
+
+def sketched(patches: DataFrame) -> DataFrame:
+    """``patches`` with sketch: SKETCH coefficients of ``data``. Of two patches they differ by no more than the patches do."""
+    basis = _cosines()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            data = np.stack(rows.data.to_numpy()) if len(rows) else np.zeros((0, PATCH * PATCH))
+            yield rows.assign(sketch=list(data @ basis))
+
+    return patches.mapInPandas(run, StructType([*patches.schema.fields, StructField("sketch", ArrayType(DoubleType()))]))
+
+
+def patch_candidates(different: DataFrame, limit: float) -> DataFrame:
+    """(cell, p, q): pairs p < q of different patches (cell, p, sketch) whose sketches are within the sum of squares ``limit``: all that may be near.
+
+    They meet on a grid over the GRID coefficients that vary most over the table, wide enough that partners are in equal or
+    neighbouring cells; half of the neighbours are asked, so a pair meets once. A cell of many patches is cut into pieces
+    that meet two by two, so no task gets more than two pieces of a cell. Neither the means nor any single direction decides.
+    """
+    spread = different.agg(*[F.coalesce(F.var_pop(F.col("sketch")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(SKETCH)]).first()
+    axes = sorted(range(SKETCH), key=lambda k: (-spread[k], k))[:GRID]
+    # a little wider than the limit, so that rounding parts no pair
+    width, most = math.sqrt(limit) * (1 + 1e-9) + 1e-12, limit * (1 + 1e-9) + 1e-12
+    rows = different.withColumns({f"g{j}": F.floor(F.col("sketch")[k] / width).cast("long") for j, k in enumerate(axes)})
+    grid = ["cell", *[f"g{j}" for j in range(GRID)]]
+    sizes = rows.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    ahead = [d for d in np.ndindex(*[3] * GRID) if d >= (1,) * GRID]  # of each two opposite neighbours one, and the cell itself
+    steps = F.explode(F.array(*[F.struct(*[F.lit(int(x) - 1).alias(f"d{j}") for j, x in enumerate(d)]) for d in ahead])).alias("d")
+    asking = rows.select("cell", "p", "sketch", *grid[1:], steps)
+    asking = asking.select("cell", "p", "sketch", *[(F.col(f"g{j}") + F.col(f"d.d{j}")).alias(f"g{j}") for j in range(GRID)], sum((F.col(f"d.d{j}") != 0).cast("int") for j in range(GRID)).alias("away"))
+    # each piece of the asked cell takes a copy of the asking patch, and the asking patches are dealt to as many tasks by a hash
+    deals = F.least("pieces", F.lit(64))
+    asking = asking.join(sizes, grid).withColumn("deal", F.pmod(F.xxhash64("p"), deals).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).drop("pieces")
+    asked = rows.join(sizes, grid).withColumn("piece", F.pmod(F.xxhash64("p", F.lit(1)), F.col("pieces")).cast("int"))
+    asked = asked.select(*grid, "piece", F.col("p").alias("q"), F.col("sketch").alias("other"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    met = asking.join(asked, [*grid, "piece", "deal"]).where("away > 0 OR p < q")
+    apart = sum((F.col("sketch")[k] - F.col("other")[k]) * (F.col("sketch")[k] - F.col("other")[k]) for k in range(SKETCH))
+    return met.where(apart <= most).select("cell", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+
+
 def similar_patches(patches: DataFrame, sigma: float, k: int = 16) -> DataFrame:
     """(cell, ref, other, ssd, place): for every patch the ``k`` most alike of its cell within a sum of squares of (2.5 sigma)² · 64.
 
-    Patches meet by a grid over their means: two that are near enough differ in their mean by at most 2.5 sigma, so equal
-    or neighbouring grid cells hold all partners.
+    ``patches``: cell, vec_id (unique in its cell), data of 64 numbers. Equal patches are one, with their ``k`` + 1 smallest
+    ids, which is all of them that a list can name; different ones meet by ``patch_candidates``, and only for those pairs
+    are the 64 numbers fetched. Ties go to smaller ids. Rows with a null among cell, id or data are left out.
     """
-    limit = (2.5 * sigma) ** 2 * 64
-    mean = F.aggregate("data", F.lit(0.0), lambda a, v: a + v) / 64
-    rows = patches.withColumn("grid", F.floor(mean / (2.5 * sigma)).cast("long"))
-    left = rows.select("cell", F.col("vec_id").alias("ref"), F.col("data").alias("a"), F.explode(F.array(F.col("grid") - 1, F.col("grid"), F.col("grid") + 1)).alias("grid"))
-    met = left.join(rows.select("cell", "grid", F.col("vec_id").alias("other"), F.col("data").alias("b")), ["cell", "grid"]).where("ref <> other")
-    ssd = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    near = met.withColumn("ssd", ssd).where(F.col("ssd") <= limit)
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("ref").orderBy("ssd", "other"))).where(F.col("place") <= k).select("cell", "ref", "other", "ssd", "place")
+    limit = (2.5 * sigma) ** 2 * PATCH * PATCH
+    rows = patches.select("cell", "vec_id", "data").where("cell IS NOT NULL AND vec_id IS NOT NULL AND data IS NOT NULL")
+    rows = rows.withColumn("hash", F.xxhash64("data"))
+    # of equal patches the smallest ids, found in two steps so that no group is sorted in one task
+    low = rows
+    for part in (F.pmod(F.xxhash64("vec_id"), F.lit(64)), F.lit(0)):
+        low = low.withColumn("part", part)
+        low = low.withColumn("at", F.row_number().over(Window.partitionBy("cell", "hash", "data", "part").orderBy("vec_id"))).where(F.col("at") <= k + 1).drop("at", "part")
+    classes = written(low.groupBy("cell", "data").agg(F.min("vec_id").alias("p"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "patch-classes")
+    pairs = written(patch_candidates(sketched(classes.select("cell", "p", "data")).drop("data"), limit), "patch-pairs").distinct()
+    ssd = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    left, right = (classes.select("cell", F.col("p").alias(n), F.col("data").alias(d), F.col("ids").alias(f"ids_{n}")) for n, d in (("p", "a"), ("q", "b")))
+    near = pairs.join(left, ["cell", "p"]).join(right, ["cell", "q"]).withColumn("ssd", ssd).where(F.col("ssd") <= limit)
+    there = F.struct(F.col("p").alias("own"), F.col("ids_q").alias("ids"))
+    back = F.struct(F.col("q").alias("own"), F.col("ids_p").alias("ids"))
+    beside = near.select("cell", "ssd", F.explode(F.array(there, back)).alias("e")).select("cell", F.col("e.own").alias("p"), F.explode("e.ids").alias("other"), "ssd")
+    own = classes.select("cell", "p", F.explode("ids").alias("other"), F.lit(0.0).alias("ssd"))
+    best = beside.unionByName(own).withColumn("at", F.row_number().over(Window.partitionBy("cell", "p").orderBy("ssd", "other"))).where(F.col("at") <= k + 1)
+    lists = best.groupBy("cell", "p").agg(F.array_sort(F.collect_list(F.struct("ssd", "other"))).alias("best"))
+    members = rows.select("cell", "vec_id", "data").join(classes.select("cell", "data", "p"), ["cell", "data"]).select("cell", F.col("vec_id").alias("ref"), "p")
+    named = members.join(lists, ["cell", "p"]).select("cell", "ref", F.posexplode(F.slice(F.filter("best", lambda e: e["other"] != F.col("ref")), 1, k)).alias("at", "e"))
+    return named.select("cell", "ref", "e.other", "e.ssd", (F.col("at") + 1).alias("place"))
 
 
 def pack_tiles(px: DataFrame, size: int) -> DataFrame:
