@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photolake.fixtures import view
 from photolake.functions import color as K
 from photolake.operators import develop as D
+from photolake.operators import presets
+from photolake.sources.scratch import shared_dir
 
 from .develop import _blue_fringe, _masked, _shift
 from .pixels import RGB, shown
@@ -73,3 +77,23 @@ SELECT image_id, y, x, {', '.join(_BYTE.format(c=c) for c in RGB)} FROM k""")
 def render(spark, d):
     """Camera colours to bytes with the three fringe repairs; images of even id are graded, the others get the display curve."""
     return D.render(view(spark, d, "fx_rgb"), _TO_WORKING, F.col("image_id") % 2 == 0)
+
+
+# Presets: stops and gains before the projection, the look after it; four keys, each under two looks.
+_PRESETS = [(k, 0.5 * (k % 2), (1.9, 1.4)[k // 2 % 2], (1.5, 2.0)[k // 2 % 2], k >= 4) for k in range(8)]
+
+
+@query(f"""WITH p(preset_id, lift, gr, gb, graded) AS (VALUES {', '.join(f'({k}, {2.0**ev!r}e0, {r}e0, {b}e0, {str(look).lower()})' for k, ev, r, b, look in _PRESETS)}),
+c AS MATERIALIZED (SELECT image_id, y, x, least(greatest(v, 0), 1) AS v, colour FROM {_coloured("fx_px")} w),
+d AS MATERIALIZED (SELECT a.image_id, a.y, a.x, {', '.join(f'CASE WHEN a.colour = {k} THEN a.v ELSE avg(CASE WHEN b.colour = {k} THEN b.v END) END AS {RGB[k]}0' for k in range(3))}
+ FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY a.image_id, a.y, a.x, a.v, a.colour),
+m AS (SELECT preset_id, graded, image_id, y, x, r0 * lift * gr AS r, g0 * lift AS g, b0 * lift * gb AS b FROM d, p),
+q AS (SELECT preset_id, graded, image_id, y, x, {_PROJECTED} FROM m),
+l AS (SELECT *, 0.2880402 * r + 0.7118741 * g + 0.0000857 * b AS luma FROM q),
+k AS (SELECT *, {', '.join(f'greatest((luma + ({c} - luma) * 1.25 - 0.18) * 1.1 + 0.18, 0) AS k{c}' for c in RGB)} FROM l)
+SELECT preset_id, image_id, y, x, {', '.join(_BYTE.replace("image_id % 2 = 0", "graded").format(c=c) for c in RGB)} FROM k""")
+def preset_cross(spark, d):
+    """Every frame under each of eight presets: developed once for each of four keys, kept, then shown under the looks."""
+    rows = spark.createDataFrame(_PRESETS, "preset_id long, ev double, gain_r double, gain_b double, graded boolean")
+    store = presets.DevelopedStore(spark, f"{shared_dir(spark)}/photolake/developed-{uuid.uuid4().hex}")
+    return presets.render_presets(view(spark, d, "fx_px"), view(spark, d, "fx_cfa"), rows, store, _TO_WORKING)[0]

@@ -272,11 +272,3 @@ def exposure_summary_big(spark, d):
     return items.groupBy(F.col("l_orderkey").alias("image_id")).agg(
         F.count(F.lit(1)).alias("n"), channel(F.col("l_quantity") / 50).alias("r"), channel(F.col("l_extendedprice") / 100000).alias("g"), channel(F.col("l_discount") * 10).alias("b")
     )
-
-
-@query("SELECT image_id, k AS preset_id, round(1.23e-8 + avg(r) * power(2, k * 0.5 - 1), 6) AS mean_r FROM fx_rgb CROSS JOIN (SELECT unnest(range(8)) AS k) p GROUP BY 1, 2")
-def preset_cross(spark, d):
-    """Every image under each of eight presets; the presets are an array literal, the pixels are averaged before."""
-    means = view(spark, d, "fx_rgb").groupBy("image_id").agg(F.avg("r").alias("m"))
-    presets = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("preset_id")
-    return means.select("image_id", presets, "m").select("image_id", "preset_id", shown(F.col("m") * F.pow(F.lit(2.0), F.col("preset_id") * 0.5 - 1), 6).alias("mean_r"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from photolake.fixtures import view
 from photolake.functions import color as K
 from photolake.operators import develop as D
+from photolake.operators import presets
 
 from .pixels import RGB, point, rounded, shown
 from .registry import query
@@ -137,19 +138,20 @@ def profile_dim(spark, d):
     return tags.drop("seconds").join(profiles, ["make", "model"], "left").select("image_id", "make", "model", "focal")
 
 
-_PRESET = {"ev": "CAST(event_id % 5 AS INT)", "haze": "CAST(event_id % 3 AS INT)", "kelvin": "kelvin"}
+_PRESET = {"ev": "(event_id % 5) * 0.25e0", "dehaze": "CASE WHEN event_id % 3 > 0 THEN (event_id % 3) * 0.5e0 END", "gain_r": "kelvin / 5000", "graded": "event_id % 2 = 0"}
+_KEY = "sha256('ev=' || CAST(ev AS VARCHAR) || '|impulse=none|dehaze=' || coalesce(CAST(dehaze AS VARCHAR), 'none') || '|purple=none|green=none|gain_r=' || CAST(gain_r AS VARCHAR) || '|gain_b=none')"
 
 
-@query(f"""WITH s AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in _PRESET.items())} FROM fx_kelvin), k AS (SELECT ev, haze, kelvin, min(event_id) AS developed_as FROM s GROUP BY ALL)
-SELECT event_id, developed_as FROM s JOIN k USING (ev, haze, kelvin)""")
+@query(f"""WITH s AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in _PRESET.items())} FROM fx_kelvin), k AS (SELECT *, {_KEY} AS key FROM s)
+SELECT event_id, key, min(event_id) OVER (PARTITION BY ev, dehaze, gain_r) AS developed_as FROM k""")
 def stage_cache_key(spark, d):
-    """The render that develops for each render: the first of all whose parameters before the camera space are equal.
-
-    The parameters themselves are the key, so that no two keys meet in one hash; developing is once a key.
-    """
+    """The key of each render's developed frames, and the first render that has it. What acts after the projection is no part of it."""
     renders = view(spark, d, "fx_kelvin").select("event_id", *[F.expr(e).alias(n) for n, e in _PRESET.items()])
-    keys = renders.groupBy(*_PRESET).agg(F.min("event_id").alias("developed_as"))
-    return renders.join(keys, list(_PRESET)).select("event_id", "developed_as")
+    for name in presets.DEVELOP:
+        if name not in _PRESET:
+            renders = renders.withColumn(name, F.lit(None))
+    keyed = renders.select("event_id", presets.develop_key().alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("event_id").alias("developed_as")), "key").select("event_id", "key", "developed_as")
 
 
 _BESIDE = "avg(CASE WHEN (a.y = b.y OR a.x = b.x) AND b.colour = {} THEN b.v END)"
