@@ -1,8 +1,8 @@
-"""Measuring lateral colour fringes of a mosaic: moments of tiles, shifts of tiles, a robust gate and a polynomial over the frame.
+"""Lateral colour fringes of a mosaic: moments of tiles, shifts of tiles, a robust gate, a polynomial over the frame, and the planes moved back.
 
-Frames are (image_id, y, x, r, g, b) with green known everywhere; red counts at even rows and columns, blue at odd ones.
-Neighbours are read by range windows along a column or a row of one image, so gaps in a frame stay gaps and a frame's
-pixels are shuffled twice by column and once by row, whatever the number of neighbours.
+Frames are (image_id, y, x, r, g, b) with green known everywhere, or mosaics (image_id, y, x, v) whose green is interpolated;
+red counts at even rows and columns, blue at odd ones. Neighbours are read on tiles with a halo, so gaps in a frame stay gaps
+and its pixels are shuffled once to be measured and once to be moved.
 """
 
 from __future__ import annotations
@@ -12,50 +12,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photolake.functions import kernels
+from photolake.sources.scratch import written
+
+from .pixels import tiled
+
 #: Division guards, the shift that marks a tile without texture, the scale of the moments, the gate's factor.
 GUARD, FLAT, NO_SHIFT, SCALE, GRADIENT_SCALE, GATE = 1e-5, 1e-10, 17.0, 0.25, 0.3125, 8.0
 ORDER = 4
 
 
-def _beside(value: Column | str, along: str, step: int) -> Column:
-    """The value ``step`` pixels further along y or x; null where there is no such pixel."""
-    across = {"y": "x", "x": "y"}[along]
-    return F.max(value).over(Window.partitionBy("image_id", across).orderBy(along).rangeBetween(step, step))
+def _at(v: np.ndarray, axis: int, step: int) -> np.ndarray:
+    """The plane as seen ``step`` places further along an axis; NaN beyond its edges."""
+    return kernels.around(v, [(step, 0) if axis == 0 else (0, step)])[0]
 
 
-def _pair(value: str, along: str, step: int) -> Column:
-    return _beside(value, along, step) + _beside(value, along, -step)
+def _pair(v: np.ndarray, axis: int, step: int) -> np.ndarray:
+    return _at(v, axis, step) + _at(v, axis, -step)
 
 
-def _filtered(df: DataFrame, along: str) -> DataFrame:
-    """High pass of the colour difference, low passes of difference and sum, and the green gradient along one axis."""
-    d = lambda k: _beside("difference", along, k)
-    n = along
-    df = df.withColumns({f"after_{n}": d(4), f"before_{n}": d(-4), f"green_{n}": 2 * F.col("g") + _pair("g", along, 2), f"own_{n}": 2 * F.col("c") + _pair("c", along, 2),
-                         f"slope_{n}": _beside("g", along, 1) - _beside("g", along, -1)})
-    one, other = -F.col("difference") + F.col(f"after_{n}"), -F.col(f"before_{n}") + F.col("difference")
-    across = F.abs(-F.col(f"before_{n}") + F.col(f"after_{n}"))
-    df = df.withColumns({f"high_{n}": F.abs(F.abs(one) + F.abs(other) - across), f"low_{n}": F.abs(F.col(f"green_{n}") - F.col(f"own_{n}")) / 4, f"sum_{n}": (F.col(f"green_{n}") + F.col(f"own_{n}")) / 4})
-    return df.withColumns({f"low_{n}": _pair(f"low_{n}", along, 2), f"sum_{n}": _pair(f"sum_{n}", along, 2)}).drop(f"after_{n}", f"before_{n}", f"green_{n}", f"own_{n}")
+def texture(c: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
+    """At the sites of a colour ``c``, of which green is known: its difference from green, and along each axis (y, x) a weight and green's slope.
 
+    The weight is the high pass of the difference, smoothed along the rows for both axes, times brightness over flatness. NaN where a neighbour is missing. Reaches four places.
+    """
+    d = c - g
+    out = {"difference": d}
+    for axis, n in enumerate("yx"):
+        across = 1 - axis
+        after, before = _at(d, axis, 4), _at(d, axis, -4)
+        high = np.abs(np.abs(after - d) + np.abs(d - before) - np.abs(after - before))
+        green, own = 2 * g + _pair(g, axis, 2), 2 * c + _pair(c, axis, 2)
+        low, bright = _pair(np.abs(green - own) / 4, axis, 2), _pair((green + own) / 4, axis, 2)
+        slope = _at(g, axis, 1) - _at(g, axis, -1)
+        out[f"slope_{n}"] = slope + 0.3 * _pair(slope, across, 1)
+        out[f"weight_{n}"] = (high + 0.5 * _pair(high, 1, 2)) * bright / (GUARD + 0.1 * bright + low)
+    return out
 
-def tile_moments(frames: DataFrame, tile: int) -> DataFrame:
-    """(image_id, vblock, hblock, colour, direction, m0, m1, m2) of every tile: sums of w·d², w·g·d and w·g².
 
-    d is the colour less green, g the smoothed green gradient along the direction (0 down, 1 across), w weighs texture
-    against flatness. Pixels without all their neighbours (four steps away, and two from those) do not count. Blocks are
-    numbered from 1.
-    """
-    at = lambda k: (F.col("y") % 2 == k) & (F.col("x") % 2 == k)
-    df = frames.withColumn("c", F.when(at(0), F.col("r")).when(at(1), F.col("b"))).withColumn("difference", F.col("c") - F.col("g"))
-    df = _filtered(df, "y")
-    df = _filtered(df, "x")
-    df = df.withColumns({"slope_y": F.col("slope_y") + 0.3 * _pair("slope_y", "x", 1), "high_y": F.col("high_y") + 0.5 * _pair("high_y", "x", 2), "high_x": F.col("high_x") + 0.5 * _pair("high_x", "x", 2)})
-    df = df.withColumn("slope_x", F.col("slope_x") + 0.3 * _pair("slope_x", "y", 1))
-    weight = lambda n: F.col(f"high_{n}") * F.col(f"sum_{n}") / (GUARD + 0.1 * F.col(f"sum_{n}") + F.col(f"low_{n}"))
-    axes = F.array(*[F.struct(F.lit(k).alias("direction"), weight(n).alias("w"), F.col(f"slope_{n}").alias("slope")) for k, n in enumerate("yx")])
+def filled_green(v: np.ndarray, colour: np.ndarray) -> np.ndarray:
+    """Green of a Bayer mosaic at every place: between sites the means of the pairs along both axes, weighed against the step across each."""
+    green = np.where(colour == 1, v, np.nan)
+    means, weights = [], []
+    for axis in (0, 1):
+        one, other = _at(green, axis, -1), _at(green, axis, 1)
+        both = ~np.isnan(one) & ~np.isnan(other)
+        means.append(np.where(both, (one + other) / 2, np.where(np.isnan(one), other, one)))
+        weights.append(np.where(np.isnan(means[-1]), 0.0, np.where(both, 1 / (GUARD + np.abs(one - other)) ** 2, 1.0)))
+    total = weights[0] + weights[1]
+    mixed = sum(np.nan_to_num(m) * w for m, w in zip(means, weights, strict=True)) / np.where(total > 0, total, np.nan)
+    return np.where(colour == 1, v, mixed)
+
+
+def _moments(sites: DataFrame, tile: int) -> DataFrame:
+    """The sums of ``tile_moments`` from the columns of ``texture`` at the sites."""
+    axes = F.array(*[F.struct(F.lit(k).alias("direction"), F.col(f"weight_{n}").alias("w"), F.col(f"slope_{n}").alias("slope")) for k, n in enumerate("yx")])
     block = lambda c: (F.floor(F.col(c) / tile) + 1).cast("int")
-    rows = df.where("c IS NOT NULL").select("image_id", block("y").alias("vblock"), block("x").alias("hblock"), (F.col("y") % 2).cast("int").alias("colour"), "difference", F.explode(axes).alias("a"))
+    rows = sites.where("difference IS NOT NULL").select("image_id", block("y").alias("vblock"), block("x").alias("hblock"), (F.col("y") % 2).cast("int").alias("colour"), "difference", F.explode(axes).alias("a"))
     w, g, d = F.col("a.w"), F.col("a.slope"), F.col("difference")
     full = rows.where("a.w IS NOT NULL AND a.slope IS NOT NULL")
     return full.groupBy("image_id", "vblock", "hblock", "colour", F.col("a.direction").alias("direction")).agg(
@@ -63,6 +76,35 @@ def tile_moments(frames: DataFrame, tile: int) -> DataFrame:
     )
 
 
+_TEXTURE = ["difference", "slope_y", "weight_y", "slope_x", "weight_x"]
+
+
+def tile_moments(frames: DataFrame, tile: int) -> DataFrame:
+    """(image_id, vblock, hblock, colour, direction, m0, m1, m2) of every tile: sums of w·d², w·g·d and w·g².
+
+    d is the colour less green, g the smoothed green gradient along the direction (0 down, 1 across), w weighs texture
+    against flatness. Pixels without all their neighbours (four steps away, and two from those) do not count. Blocks are
+    numbered from 1. The pixels are dealt once, in tiles with a halo; the sums are combined before they are shuffled.
+    """
+    at = lambda k: (F.col("y") % 2 == k) & (F.col("x") % 2 == k)
+    sites = frames.withColumn("c", F.when(at(0), F.col("r")).when(at(1), F.col("b")))
+    return _moments(tiled(sites, ["c", "g"], 4, lambda t: texture(t["c"], t["g"]), _TEXTURE), tile)
+
+
+def mosaic_moments(px: DataFrame, tile: int) -> DataFrame:
+    """As ``tile_moments`` of an RGGB mosaic (image_id, y, x, v): green is interpolated in the task that holds the tile."""
+
+    def kernel(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return texture(np.where(t["colour"] == 1, np.nan, t["v"]), filled_green(t["v"], t["colour"]))
+
+    return _moments(tiled(_with_colour(px), ["v", "colour"], 5, kernel, _TEXTURE), tile)
+
+
+def _with_colour(px: DataFrame) -> DataFrame:
+    """0, 1, 2 for red, green, blue of the RGGB pattern."""
+    return px.withColumn("colour", (F.col("y") % 2 + F.col("x") % 2).cast("int"))
+
+
 def tile_shifts(moments: DataFrame) -> DataFrame:
     """``moments`` with shift, the tile's weight and the variance of the image's shifts under 2 for this colour and direction.
 
@@ -109,24 +151,30 @@ def power_sums(blocks: DataFrame) -> DataFrame:
     return agg.select("image_id", "colour", "direction", "n", F.explode(cells).alias("e")).select("image_id", "colour", "direction", "n", "e.*")
 
 
-def solve(equations: DataFrame) -> DataFrame:
+def solve(equations: DataFrame, few: str = "stored") -> DataFrame:
     """(image_id, colour, direction, coefficients): 16 coefficients for each system, null where it can't be solved.
 
-    With fewer than 32 blocks (for blue: in both colours) the first 16 sums, as they are stored, are taken as a system of
-    four; with fewer than 10 there is no solution. One small system a group.
+    With fewer than 32 blocks (for blue: in both colours) four terms are solved for: ``stored`` takes the first 16 sums, as
+    they are stored, as a system of four, which is not the least-squares one but what the results are compared with;
+    ``bilinear`` takes the least squares of 1, h, v and vh. With fewer than 10 there is no solution. One small system a group.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["p", "q"])
         n, out = int(rows.least.iloc[0]), None
-        size = 16 if n >= 32 else 4
-        matrix, right = rows.value.to_numpy()[: size * size].reshape(size, size), rows.rhs.to_numpy()[:: ORDER * ORDER][:size]
+        values, right = rows.value.to_numpy(), rows.rhs.to_numpy()[:: ORDER * ORDER]
+        terms = list(range(16)) if n >= 32 else [0, 1, 2, 3] if few == "stored" else [0, 1, ORDER, ORDER + 1]
+        size = len(terms)
+        matrix = values[: size * size].reshape(size, size) if few == "stored" or size == 16 else values.reshape(16, 16)[np.ix_(terms, terms)]
+        right = right[terms]
         if n >= 10:
             # powers up to the sixth differ widely: rows and columns are scaled before the solution
             scale = np.sqrt(np.abs(np.diag(matrix)))
             scale[scale == 0] = 1
             try:
-                out = np.append(np.linalg.solve(matrix / np.outer(scale, scale), right / scale) / scale, np.zeros(16 - size)).tolist()
+                found = np.zeros(16)
+                found[terms] = np.linalg.solve(matrix / np.outer(scale, scale), right / scale) / scale
+                out = found.tolist()
             except np.linalg.LinAlgError:
                 out = None
         return pd.DataFrame({"image_id": rows.image_id.iloc[:1], "colour": rows.colour.iloc[:1], "direction": rows.direction.iloc[:1], "coefficients": [out]})
@@ -145,3 +193,75 @@ def shift_at(v: Column, h: Column, coefficients: Column) -> Column:
 def radial_shift(block: Column, blocks: int, slider: Column) -> Column:
     """Shift along one axis of the block numbered ``block`` of ``blocks``: none in the middle, the slider's amount at the edge."""
     return -2 * ((block - 0.5) / blocks - 0.5) * slider
+
+
+#: The largest step that a plane is moved by, in pixels; a larger one counts as this.
+MOST_SHIFT = 8.0
+
+
+def moved(v: np.ndarray, colour: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """A mosaic whose red and blue planes lie ``down`` and ``across`` of green, with them moved back; green stays.
+
+    What a site of a colour shows belongs to the place that lies a shift further on. There it differs from green by some
+    amount; these amounts, which lie on the shifted lattice of the colour, are interpolated back to the lattice itself and
+    taken from green. So a shift of 0 changes nothing. A site whose neighbours are missing stays.
+    """
+    green, h, w = filled_green(v, colour), *v.shape
+    y, x = np.mgrid[0:h, 0:w]
+
+    def bilinear(field: np.ndarray, dy: np.ndarray, dx: np.ndarray, step: int) -> np.ndarray:
+        """``field`` at (y + dy, x + dx) between places that are ``step`` apart."""
+        iy, ix = np.floor(dy / step), np.floor(dx / step)
+        fy, fx = dy / step - iy, dx / step - ix
+        total, weight = np.zeros_like(v), np.zeros_like(v)
+        for a, wy in ((0, 1 - fy), (1, fy)):
+            for b, wx in ((0, 1 - fx), (1, fx)):
+                ty, tx = (y + step * (iy + a)).astype(int), (x + step * (ix + b)).astype(int)
+                inside = (ty >= 0) & (ty < h) & (tx >= 0) & (tx < w)
+                found = np.where(inside, field[np.clip(ty, 0, h - 1), np.clip(tx, 0, w - 1)], np.nan)
+                use = wy * wx > 0
+                total = total + np.where(use, wy * wx * found, 0.0)
+                weight = weight + wy * wx
+        return total
+
+    site = (colour != 1) & ~np.isnan(v) & ~np.isnan(down) & ~np.isnan(across)
+    dy, dx = (np.where(site, np.clip(s, -MOST_SHIFT, MOST_SHIFT), 0.0) for s in (down, across))
+    amount = np.where(site, bilinear(green, dy, dx, 1) - v, np.nan)
+    back = green - bilinear(amount, -dy, -dx, 2)
+    return np.where(site & ~np.isnan(back) & ((dy != 0) | (dx != 0)), back, v)
+
+
+def apply_shifts(px: DataFrame, down: Column, across: Column) -> DataFrame:
+    """(image_id, y, x, v) of RGGB mosaics with red and blue moved by the shifts, which are columns of ``px`` or expressions of them.
+
+    A null shift is none. One shuffle by tile.
+    """
+    own = _with_colour(px).select("image_id", "y", "x", "v", "colour", F.coalesce(down, F.lit(0.0)).alias("down"), F.coalesce(across, F.lit(0.0)).alias("across"))
+    halo = int(MOST_SHIFT) + 4
+    return tiled(own, ["v", "colour", "down", "across"], halo, lambda t: {"v": moved(t["v"], t["colour"], t["down"], t["across"])}, ["v"])
+
+
+def fitted_shifts(px: DataFrame, tile: int, few: str = "bilinear") -> DataFrame:
+    """(image_id, colour, down, across): the coefficients of both polynomials of red (0) and blue (1), null where the fit failed."""
+    fits = solve(power_sums(gated_blocks(tile_shifts(mosaic_moments(px, tile)))), few)
+    pick = lambda k: F.max_by("coefficients", F.when(F.col("direction") == k, 1))
+    return fits.groupBy("image_id", "colour").agg(pick(0).alias("down"), pick(1).alias("across"))
+
+
+def correct_fringes(px: DataFrame, tile: int = 64, rounds: int = 1, few: str = "bilinear") -> DataFrame:
+    """(image_id, y, x, v) of RGGB mosaics with lateral fringes measured and taken out, ``rounds`` times.
+
+    A shift is the polynomial at the place in blocks, so it changes smoothly over the frame. An image of which too few blocks
+    can be measured stays as it is. One round takes out shifts of up to about a pixel; more of them are for larger shifts, as what
+    a round measures of planes that lie right already is noise. Two shuffles of the pixels a round; the fits, four a image, are written between them.
+    """
+    out = px.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    for k in range(rounds):
+        fits = written(fitted_shifts(out, tile, few), "fringe-fits").withColumnRenamed("colour", "plane")
+        sites = _with_colour(out).withColumn("plane", F.when(F.col("colour") == 0, 0).when(F.col("colour") == 2, 1))
+        at = [(F.col(c) + 0.5) / tile + 0.5 for c in ("y", "x")]  # the middle of block n lies at n
+        known = sites.join(fits, ["image_id", "plane"], "left")
+        out = apply_shifts(known.select("image_id", "y", "x", "v", *[shift_at(*at, F.col(c)).alias(c) for c in ("down", "across")]), F.col("down"), F.col("across"))
+        if k + 1 < rounds:
+            out = written(out, "fringes")
+    return out

@@ -141,3 +141,63 @@ def test_streams_keep_bounded_state(spark, tmp_path):
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
     out = jobs.drained(jobs.recent_stream(source(), 2), "update", "t").groupBy("user_id").agg(F.max_by("items", "batch").alias("items")).collect()
     assert {r.user_id: r["items"] for r in out} == {0: ["i0", "i5"], 1: ["i1", "i6"]}
+
+
+def _displaced(size=192, tile=16):
+    """A textured RGGB mosaic whose red and blue lie off green by linear polynomials of the block, and the same in place."""
+    y, x = np.mgrid[0:size, 0:size].astype(float)
+    scene = lambda yy, xx: 0.5 + 0.14 * np.sin(yy / 3.1 + np.cos(xx / 9)) + 0.12 * np.cos(xx / 3.7 + np.sin(yy / 11)) + 0.1 * np.sin((yy + xx) / 5)
+    v, h = (y + 0.5) / tile + 0.5, (x + 0.5) / tile + 0.5
+    shifts = {0: (0.9 - 0.1 * v, 0.05 * h - 0.3), 2: (0.4 + 0.02 * h, -0.8 + 0.08 * v)}
+    colour = (y.astype(int) % 2) + (x.astype(int) % 2)
+    off, right = scene(y, x), scene(y, x)
+    for c, part in ((0, 0.9), (2, 1.05)):
+        site = colour == c
+        off[site] = (part * scene(y + shifts[c][0], x + shifts[c][1]))[site]
+        right[site] = (part * scene(y, x))[site]
+    return off, right, colour, shifts, v, h
+
+
+def _mosaic(spark, plane):
+    return spark.createDataFrame([(1, int(a), int(b), float(p)) for (a, b), p in np.ndenumerate(plane)], "image_id long, y int, x int, v double")
+
+
+def _plane(df, shape):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r.y, r.x] = r.v
+    return out
+
+
+def test_known_shifts_are_taken_back():
+    off, right, colour, shifts, _, _ = _displaced()
+    down, across = (sum(np.where(colour == c, shifts[c][k], 0.0) for c in (0, 2)) for k in (0, 1))
+    back = aberration.moved(off, colour, down, across)
+    inner = (colour != 1) & (np.minimum(*np.mgrid[0:192, 0:192]) > 10) & (np.maximum(*np.mgrid[0:192, 0:192]) < 182)
+    assert np.abs(back - right)[inner].mean() < 0.25 * np.abs(off - right)[inner].mean()
+    assert (back[colour == 1] == off[colour == 1]).all()
+    same = aberration.moved(off, colour, np.zeros_like(off), np.zeros_like(off))
+    assert (same == off).all()
+
+
+def test_measured_shifts_are_taken_back(spark):
+    """Polynomials that displaced the planes are found and undone."""
+    off, right, colour, shifts, v, h = _displaced()
+    inner = (colour != 1) & (np.minimum(*np.mgrid[0:192, 0:192]) > 20) & (np.maximum(*np.mgrid[0:192, 0:192]) < 172)
+    back = _plane(aberration.correct_fringes(_mosaic(spark, off), 16), off.shape)
+    assert np.isfinite(back).all() and back.min() > -1 and back.max() < 2
+    assert np.abs(back - right)[inner].mean() < 0.4 * np.abs(off - right)[inner].mean()
+
+
+def test_frames_without_texture_or_rows_stay(spark):
+    flat = np.full((40, 40), 0.25)
+    assert (_plane(aberration.correct_fringes(_mosaic(spark, flat), 8, 1), flat.shape) == flat).all()
+    assert aberration.correct_fringes(_mosaic(spark, flat).limit(0), 8, 1).count() == 0
+
+
+def test_moments_and_shifts_deal_pixels_once(spark, tmp_path):
+    _mosaic(spark, np.zeros((8, 8))).write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    for df, deals in ((aberration.mosaic_moments(px, 8), 2), (aberration.apply_shifts(px, F.lit(0.5), F.lit(0.5)), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("- Exchange ") == deals and "Window" not in plan  # the second deals the sums of blocks
