@@ -74,10 +74,24 @@ def missing_files(nodes: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def viewer_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Media of each folder in listing order, with place, previous and next item."""
-    w = Window.partitionBy("parent").orderBy(F.desc("time_created"), "name_display", "fs_node_id")
+    """Media of each folder in listing order, with place, previous and next item.
+
+    The rows are dealt to ranges of (folder, order), so a folder of any size splits: places and neighbours are found in a range,
+    and what the ranges before and after it hold of the same folder is added from one row for each range and folder end.
+    """
     media = children_of(nodes, edges).where(is_media(F.col("type_mime")))
-    return media.select("parent", "fs_node_id", (F.row_number().over(w) - 1).alias("place"), F.lag("fs_node_id").over(w).alias("previous"), F.lead("fs_node_id").over(w).alias("next"))
+    order = ["parent", F.desc("time_created"), "name_display", "fs_node_id"]
+    dealt = written(media.select("parent", "time_created", "name_display", "fs_node_id").repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("range_", "parent").orderBy(*order[1:])
+    rows = dealt.withColumns({"at": F.row_number().over(own) - 1, "previous": F.lag("fs_node_id").over(own), "next": F.lead("fs_node_id").over(own)})
+    # a folder that spans ranges has an end in each: so few rows that the ranges of one folder are ordered together
+    ends = rows.groupBy("parent", "range_").agg(F.count(F.lit(1)).alias("n"), F.min_by("fs_node_id", "at").alias("head"), F.max_by("fs_node_id", "at").alias("tail"))
+    over = Window.partitionBy("parent").orderBy("range_")
+    ends = ends.select("parent", "range_", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("tail").over(over).alias("tail"), F.lead("head").over(over).alias("head"))
+    ends = ends.where("before > 0 OR head IS NOT NULL")
+    out = rows.join(ends, ["parent", "range_"], "left")
+    place = (F.col("at") + F.coalesce("before", F.lit(0))).alias("place")
+    return out.select("parent", "fs_node_id", place, F.coalesce("previous", F.col("tail")).alias("previous"), F.coalesce("next", F.col("head")).alias("next"))
 
 
 def recent_list(events: DataFrame, cap: int = 60) -> DataFrame:
@@ -88,14 +102,15 @@ def recent_list(events: DataFrame, cap: int = 60) -> DataFrame:
 
 
 def batch_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """In each delete batch, the children under each parent of the same batch; parent -1 where none is. The last edge wins."""
+    """(batch, parent, fs_node_id): in each delete batch the parent of each node of the same batch, -1 where none is. The last edge wins.
+
+    A row a child, so that a parent of any number of children is no single value; a tree's order is that of the rows.
+    """
     dead = nodes.where(F.col("time_deleted").isNotNull()).select(F.col("time_deleted").alias("batch"), "fs_node_id")
     links = edges.select(F.col("fs_node_id_child").alias("fs_node_id"), F.col("fs_node_id_parent").alias("parent"), "id")
     inside = dead.join(links, "fs_node_id").join(dead.select("batch", F.col("fs_node_id").alias("parent")), ["batch", "parent"], "left_semi")
     best = inside.groupBy("batch", "fs_node_id").agg(F.max_by("parent", "id").alias("parent"))
-    return dead.join(best, ["batch", "fs_node_id"], "left").groupBy("batch", F.coalesce("parent", F.lit(-1)).alias("parent")).agg(
-        F.array_sort(F.collect_list("fs_node_id")).alias("children")
-    )
+    return dead.join(best, ["batch", "fs_node_id"], "left").select("batch", F.coalesce("parent", F.lit(-1)).alias("parent"), "fs_node_id")
 
 
 def toggled(selection: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,31 +10,115 @@ from photolake.sources.scratch import written
 from .catalogue import ROOT, dead_parent_edges, live, orphan_nodes, sweep_dead_edges
 
 
+#: A node that more frontier rows stand at is stepped from in SALTS parts; levels that a round walks before it writes;
+#: steps of a node up to which a graph counts as narrow.
+HOT, SALTS, LEVELS, NARROW = 100_000, 64, 4, 4
+
+
+def stepped(frontier: DataFrame, steps: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(start, fs_node_id) one step on from the frontier (start, fs_node_id) over ``steps`` (fs_node_id, to).
+
+    ``hot`` lists nodes at which much of the frontier stands: their frontier rows are dealt by start to SALTS keys, and
+    their steps copied to each.
+    """
+    if hot is None:
+        return frontier.join(steps, "fs_node_id").select("start", F.col("to").alias("fs_node_id")).distinct()
+    marked = hot.select("fs_node_id", F.lit(True).alias("hot"))
+    many = frontier.join(marked, "fs_node_id", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("start"), F.lit(SALTS))).otherwise(0))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    few = steps.join(marked, "fs_node_id", "left").select("fs_node_id", "to", F.explode(copies).alias("salt"))
+    return many.withColumn("salt", F.col("salt").cast("long")).join(few, ["fs_node_id", "salt"]).select("start", F.col("to").alias("fs_node_id")).distinct()
+
+
+def _hot(frontier: DataFrame) -> DataFrame | None:
+    if frontier.count() <= HOT:
+        return None
+    return written(frontier.groupBy("fs_node_id").count().where(F.col("count") > HOT).select("fs_node_id"), "hot")
+
+
+def _steps(edges: DataFrame, up: bool) -> DataFrame:
+    a, b = ("fs_node_id_child", "fs_node_id_parent") if up else ("fs_node_id_parent", "fs_node_id_child")
+    return written(live(edges).select(F.col(a).alias("fs_node_id"), F.col(b).alias("to")).where("fs_node_id IS NOT NULL AND to IS NOT NULL").distinct(), "edges")
+
+
 def closure(edges: DataFrame, starts: DataFrame, up: bool, max_depth: int = 1000) -> DataFrame:
     """(start, fs_node_id, depth): what is reached over live edges from each start, itself at depth 0, least depth.
 
-    ``starts`` has a column fs_node_id. Each round is one join of the frontier with the edges; a node once reached from
-    a start leaves the frontier, so cycles and diamonds end.
+    ``starts`` has a column fs_node_id. A round walks LEVELS levels and writes what is new; a node once reached from a start
+    leaves the frontier, so cycles and diamonds end.
     """
-    a, b = ("fs_node_id_child", "fs_node_id_parent") if up else ("fs_node_id_parent", "fs_node_id_child")
-    steps = live(edges).select(F.col(a).alias("fs_node_id"), F.col(b).alias("to")).where("to is not null").distinct()
-    steps = written(steps, "edges")
+    steps = _steps(edges, up)
     frontier = starts.select(F.col("fs_node_id").alias("start"), "fs_node_id").distinct().withColumn("depth", F.lit(0))
     known = frontier = written(frontier, "closure")
-    for depth in range(1, max_depth + 1):
-        found = frontier.join(steps, "fs_node_id").select("start", F.col("to").alias("fs_node_id")).distinct()
-        frontier = written(found.join(known, ["start", "fs_node_id"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+    for depth in range(0, max_depth, LEVELS):
+        layer, found, hot = frontier.drop("depth"), None, _hot(frontier)
+        for k in range(1, LEVELS + 1):
+            layer = stepped(layer, steps, hot)
+            here = layer.withColumn("depth", F.lit(depth + k))
+            found = here if found is None else found.unionByName(here)
+        new = found.groupBy("start", "fs_node_id").agg(F.min("depth").alias("depth"))
+        new = written(new.join(known, ["start", "fs_node_id"], "left_anti"), "closure")
+        known = known.unionByName(new)
+        frontier = new.where(F.col("depth") == depth + LEVELS)
         if frontier.isEmpty():
             return known
-        known = known.unionByName(frontier)
     raise RuntimeError(f"deeper than {max_depth}")
 
 
 def would_create_cycle(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(child, parent, cycle): would linking the child under the parent close a cycle; a node under itself does."""
-    above = closure(edges, pairs.select(F.col("parent").alias("fs_node_id")), up=True)
-    hit = above.select(F.col("start").alias("parent"), F.col("fs_node_id").alias("child"), F.lit(True).alias("hit"))
-    return pairs.distinct().join(hit, ["parent", "child"], "left").select("child", "parent", F.coalesce("hit", F.lit(False)).alias("cycle"))
+    """(child, parent, cycle): would linking the child under the parent close a cycle; a node under itself does.
+
+    It does if the child is reached upwards from the parent. Both ends are walked, in each round from the side whose next steps
+    are fewer, and a pair is settled when the sides meet or one of them ends; settled pairs drop out with what only they
+    asked for. So a folder of a million children is not walked down where its few parents answer, nor a long chain twice.
+    """
+    pairs = written(pairs.select("child", "parent").distinct(), "cycle-pairs")
+    key = ["child", "parent"]
+    yes = pairs.where("child = parent")
+    done = [yes.withColumn("cycle", F.lit(True))]
+    open_ = written(pairs.where("child <> parent"), "cycle-open")
+    done.append(pairs.where("child IS NULL OR parent IS NULL").withColumn("cycle", F.lit(False)))
+    sides = {}
+    for end, up in (("parent", True), ("child", False)):
+        seen = written(open_.select(F.col(end).alias("start"), F.col(end).alias("fs_node_id")).distinct(), "cycle-seen")
+        steps = _steps(edges, up)
+        degrees = written(steps.groupBy("fs_node_id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        # where no node has many steps, several levels at a time cost little more than one
+        narrow = (degrees.agg(F.max("degree")).first()[0] or 0) <= NARROW
+        sides[end] = {"seen": seen, "frontier": seen, "steps": steps, "degrees": degrees, "levels": LEVELS if narrow else 1}
+    while not open_.isEmpty():
+        cost = {end: s["frontier"].join(s["degrees"], "fs_node_id").agg(F.sum("degree")).first()[0] or 0 for end, s in sides.items()}
+        end = min(cost, key=lambda e: (cost[e], e))
+        if not cost[end]:  # no step leads on from this side: what is known of it is all
+            done.append(open_.withColumn("cycle", F.lit(False)))
+            break
+        s, other = sides[end], sides["child" if end == "parent" else "parent"]
+        layer, found, hot = s["frontier"], None, _hot(s["frontier"])
+        for level in range(s["levels"]):
+            layer = stepped(layer, s["steps"], hot)
+            here = layer.withColumn("level", F.lit(level))
+            found = here if found is None else found.unionByName(here)
+        found = found.groupBy("start", "fs_node_id").agg(F.min("level").alias("level"))
+        new = written(found.join(s["seen"], ["start", "fs_node_id"], "left_anti"), "cycle-seen")
+        last, new = new.where(F.col("level") == s["levels"] - 1).drop("level"), new.drop("level")
+        s["seen"] = s["seen"].unionByName(new)
+        there = "child" if end == "parent" else "parent"
+        # the places that an open pair's other side knows, met by the new ones of this side
+        asked = open_.join(other["seen"].select(F.col("start").alias(there), "fs_node_id"), there)
+        met = asked.join(new.select(F.col("start").alias(end), "fs_node_id"), [end, "fs_node_id"], "left_semi").select(*key).distinct()
+        met = written(met, "cycle-met")
+        left = open_.join(met, key, "left_anti")
+        on = last.select(F.col("start").alias(end)).distinct()
+        ended = left.join(on, end, "left_anti")
+        done += [met.withColumn("cycle", F.lit(True)), written(ended.select(*key), "cycle-ended").withColumn("cycle", F.lit(False))]
+        open_ = written(left.join(on, end, "left_semi").select(*key), "cycle-open")
+        for e, side in sides.items():
+            alive = open_.select(F.col(e).alias("start")).distinct()
+            side["frontier"] = (last if e == end else side["frontier"]).join(alive, "start", "left_semi")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("child", "parent", "cycle")
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -45,15 +129,15 @@ def cascade(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame
     """
     alive = written(live(nodes).where(F.col("type_mime") != ROOT).select("fs_node_id"), "alive")
     links = written(live(edges).select(F.col("fs_node_id_parent").alias("parent"), F.col("fs_node_id_child").alias("fs_node_id")), "edges")
-    fallen = written(targets.select("fs_node_id").distinct().join(alive, "fs_node_id", "left_semi"), "cascade")
-    while True:
-        below = links.join(fallen.select(F.col("fs_node_id").alias("parent")), "parent", "left_semi").select("fs_node_id").distinct()
+    new = fallen = written(targets.select("fs_node_id").distinct().join(alive, "fs_node_id", "left_semi"), "cascade")
+    while not new.isEmpty():
+        # only a child of what fell last can have lost its last parent just now
+        below = links.join(new.select(F.col("fs_node_id").alias("parent")), "parent", "left_semi").select("fs_node_id").distinct()
         below = below.join(alive, "fs_node_id", "left_semi").join(fallen, "fs_node_id", "left_anti")
         held = links.join(below, "fs_node_id", "left_semi").join(fallen.select(F.col("fs_node_id").alias("parent")), "parent", "left_anti").select("fs_node_id")
         new = written(below.join(held, "fs_node_id", "left_anti"), "cascade")
-        if new.isEmpty():
-            return fallen
-        fallen = written(fallen.unionByName(new), "cascade")
+        fallen = fallen.unionByName(new)
+    return fallen
 
 
 def soft_delete(nodes: DataFrame, edges: DataFrame, targets: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
