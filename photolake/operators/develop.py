@@ -51,16 +51,26 @@ def gamut_matrix(primaries: tuple, white: tuple = D65, source: tuple = PROPHOTO,
     return np.linalg.solve(to_xyz(primaries, white), adapt @ to_xyz(source, source_white))
 
 
-def lut3d_apply(px: DataFrame, lattices: DataFrame) -> DataFrame:
+#: Lattice points, of all lattices together, up to which they are sent to every executor: about 40 MB. Parts of a lattice's pixels beyond.
+MOST_POINTS, LATTICE_PARTS = 1_000_000, 32
+
+
+def lut3d_apply(px: DataFrame, lattices: DataFrame, most_points: int = MOST_POINTS) -> DataFrame:
     """``px`` with r, g, b looked up in the lattice of its lut_id, by tetrahedra after a clamp to 0..1.
 
-    ``lattices``: lut_id, n, i, j, k, r, g, b; n³ rows for each lut_id, n at least 2, i for red. Pixels whose lut_id has
-    no lattice keep their values.
+    ``lattices``: lut_id, n, i, j, k, r, g, b; n³ rows for each lut_id, n at least 2, i for red. Pixels whose lut_id is null or
+    has no lattice keep their values. The points are counted: up to ``most_points`` the lattices are broadcast; beyond, the
+    pixels of each lut_id are dealt to LATTICE_PARTS keys by a hash of their place, and the lattice is copied to each, so that
+    no lattice, however much it is used, is the work of one task.
     """
     at = (F.col("k") * F.col("n") + F.col("j")) * F.col("n") + F.col("i")
     packed = lattices.groupBy("lut_id").agg(F.max("n").alias("_n"), F.array_sort(F.collect_list(F.struct(at.alias("at"), *RGB))).alias("_lut"))
     n = F.col("_n")
-    out = px.join(packed, "lut_id", "left")
+    if lattices.limit(most_points + 1).count() <= most_points:
+        out = px.join(F.broadcast(packed), "lut_id", "left")
+    else:
+        dealt = px.withColumn("_part", F.pmod(F.xxhash64(*PIXEL), F.lit(LATTICE_PARTS)).cast("int"))
+        out = dealt.join(packed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LATTICE_PARTS - 1)))), ["lut_id", "_part"], "left")
     out = out.withColumns({f"_p{c}": F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * (n - 1) for c in RGB})
     out = out.withColumns({f"_b{c}": F.least(F.floor(f"_p{c}"), n - 2) for c in RGB})
     out = out.withColumns({f"_f{c}": F.col(f"_p{c}") - F.col(f"_b{c}") for c in RGB})

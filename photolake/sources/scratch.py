@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is not set, as in local tests, a new temporary folder that is set there."""
+    """``spark.checkpoint.dir``; only where it is not set and all tasks run on this machine, a new temporary folder that is set there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="spark-photolake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

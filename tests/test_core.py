@@ -201,3 +201,38 @@ def test_moments_and_shifts_deal_pixels_once(spark, tmp_path):
     for df, deals in ((aberration.mosaic_moments(px, 8), 2), (aberration.apply_shifts(px, F.lit(0.5), F.lit(0.5)), 1)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("- Exchange ") == deals and "Window" not in plan  # the second deals the sums of blocks
+
+
+def test_lattices_both_ways(spark):
+    """Broadcast or dealt to parts: the same pixels, also those whose lattice is null or missing."""
+    from photolake.operators import develop
+
+    rng = np.random.default_rng(6)
+    px = spark.createDataFrame([(k % 3, k // 40, k % 40, [0, 0, 0, 7, None][k % 5], *map(float, rng.random(3))) for k in range(800)], "image_id long, y int, x int, lut_id int, r double, g double, b double")
+    lattices = spark.createDataFrame([(0, 3, i, j, k, i / 2, j / 4, k / 2) for i in range(3) for j in range(3) for k in range(3)], "lut_id int, n int, i int, j int, k int, r double, g double, b double")
+    one, two = (sorted((tuple(r) for r in develop.lut3d_apply(px, lattices, most).select(*px.columns).collect()), key=repr) for most in (27, 26))
+    assert one == two and len(one) == 800
+    plan = develop.lut3d_apply(px, lattices, 26)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and "strategy=broadcast" not in plan
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from photolake.sources import scratch
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+    assert scratch.shared_dir(session("local[4]")).startswith("/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            scratch.shared_dir(session(master))
+
+
+def test_shipped_package_is_whole(spark):
+    import zipfile
+
+    from photolake.sources.ship import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert {"photolake/__init__.py", "photolake/operators/graph.py", "photolake/functions/kernels.py"} <= set(names)
+    assert all(n.startswith("photolake/") and n.endswith(".py") for n in names)
