@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from photolake.fixtures import view
@@ -122,3 +124,48 @@ def ca_shift_vector_radial(spark, d):
     frame = view(spark, d, "fx_rgb64").select("image_id", "y", "x", sliders)
     shift = lambda c: shown(A.radial_shift(F.floor(F.col(c) / TILE) + 1, 8, F.col("s.slider")), 6)
     return frame.select("image_id", "y", "x", F.col("s.colour").alias("colour"), shift("y").alias("down"), shift("x").alias("across"))
+
+
+# Steps of red (0) and blue (2) down and across that are taken back, with their whole and broken parts in places and in lattice steps.
+_STEPS = {0: (0.6, -1.3), 2: (-0.4, 0.25)}
+
+
+def _parts(c: int) -> str:
+    out = []
+    for s in _STEPS[c]:
+        out += [math.floor(s), s - math.floor(s), math.floor(-s / 2), -s / 2 - math.floor(-s / 2)]
+    return f"({c}, {', '.join(f'{p!r}e0' if isinstance(p, float) else str(p) for p in out)})"
+
+
+def _four(table: str, column: str, step: int, whole: tuple[str, str], broken: tuple[str, str]) -> tuple[str, str]:
+    """Joins of the four places around a broken step, and their weighted sum; a place of weight 0 may be missing."""
+    joins, terms = [], []
+    for a in (0, 1):
+        for b in (0, 1):
+            n = f"{column}{a}{b}"
+            joins.append(f"LEFT JOIN {table} {n} ON {n}.image_id = p.image_id AND {n}.y = p.y + {step} * ({whole[0]} + {a}) AND {n}.x = p.x + {step} * ({whole[1]} + {b})")
+            weight = " * ".join(f"{f}" if k else f"(1 - {f})" for k, f in zip((a, b), broken, strict=True))
+            terms.append(f"CASE WHEN {weight} > 0 THEN {weight} * {n}.{column} ELSE 0 END")
+    return " ".join(joins), " + ".join(terms)
+
+
+_TO, _OF_GREEN = _four("green", "g", 1, ("iy", "ix"), ("fy", "fx"))
+_BACK, _OF_AMOUNT = _four("amounts", "d", 2, ("jy", "jx"), ("ky", "kx"))
+
+
+@query(f"""WITH s(colour, iy, fy, jy, ky, ix, fx, jx, kx) AS (VALUES {_parts(0)}, {_parts(2)}),
+m AS MATERIALIZED (SELECT image_id, y, x, v, y % 2 + x % 2 AS colour FROM fx_px40),
+near AS (SELECT m.*, u.v AS u, d.v AS d, l.v AS l, r.v AS r FROM m LEFT JOIN m u ON u.image_id = m.image_id AND u.y = m.y - 1 AND u.x = m.x LEFT JOIN m d ON d.image_id = m.image_id AND d.y = m.y + 1 AND d.x = m.x
+ LEFT JOIN m l ON l.image_id = m.image_id AND l.y = m.y AND l.x = m.x - 1 LEFT JOIN m r ON r.image_id = m.image_id AND r.y = m.y AND r.x = m.x + 1),
+weighed AS (SELECT *, CASE WHEN u + d IS NOT NULL THEN (u + d) / 2 ELSE coalesce(u, d) END AS mv, CASE WHEN u + d IS NOT NULL THEN 1 / power(1e-5 + abs(u - d), 2) ELSE 1 END AS wv,
+ CASE WHEN l + r IS NOT NULL THEN (l + r) / 2 ELSE coalesce(l, r) END AS mh, CASE WHEN l + r IS NOT NULL THEN 1 / power(1e-5 + abs(l - r), 2) ELSE 1 END AS wh FROM near),
+green AS MATERIALIZED (SELECT image_id, y, x, v, colour, CASE WHEN colour = 1 THEN v WHEN mv IS NULL THEN mh WHEN mh IS NULL THEN mv ELSE (mv * wv + mh * wh) / (wv + wh) END AS g FROM weighed),
+amounts AS MATERIALIZED (SELECT p.image_id, p.y, p.x, {_OF_GREEN} - p.v AS d FROM green p JOIN s USING (colour) {_TO}),
+back AS (SELECT p.image_id, p.y, p.x, p.g - ({_OF_AMOUNT}) AS v FROM green p JOIN s USING (colour) {_BACK})
+SELECT m.image_id, m.y, m.x, round(1.23e-8 + coalesce(back.v, m.v), 6) AS v FROM m LEFT JOIN back USING (image_id, y, x)""")
+def ca_shift_apply(spark, d):
+    """Mosaics of 40 × 40 with red and blue moved back by known steps; green is interpolated at their sites first."""
+    px = view(spark, d, "fx_px40")
+    colour = F.col("y") % 2 + F.col("x") % 2
+    step = lambda k: F.when(colour == 0, F.lit(_STEPS[0][k])).when(colour == 2, F.lit(_STEPS[2][k]))
+    return A.apply_shifts(px, step(0), step(1)).withColumn("v", shown("v", 6))
