@@ -47,11 +47,25 @@ SENTENCES = {
     "bysa4_ref": "licensed under cc by sa 4 0",
     "mpl2_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+# Further wordings of these sentences, and parts of them where a colon or semicolon ends one.
+VARIANTS = {
+    "isc_grant": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "mit_warranty": ("the software is provided as is without warranty of any kind express or implied",),
+    "mit_liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
+    "bsd_warranty": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "gpl_hope": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "lgpl_hope": ("this library is distributed in the hope that it will be useful but without any warranty",),
+}
+#: What stands before the colon in "This program is free software: you can redistribute it ..."; the rest tells the licence alone.
+OPENING = ("this program is free software ", "this library is free software ")
 #: (licence, sentence identifiers that follow each other among a text's licence sentences). Earlier rules go first.
 RULES = [
+    ("BSD-3-Clause", ("bsd_use", "bsd_source", "bsd_binary", "bsd_name", "bsd_warranty")),
     ("BSD-3-Clause", ("bsd_use", "bsd_source", "bsd_binary", "bsd_name")),
+    ("BSD-2-Clause", ("bsd_use", "bsd_source", "bsd_binary", "bsd_warranty")),
     ("BSD-2-Clause", ("bsd_use", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache2_full", "apache2_use", "apache2_copy", "apache2_law", "apache2_see")),
+    ("MIT", ("mit_grant", "mit_notice", "mit_warranty", "mit_liability")),
     ("MIT", ("mit_grant", "mit_notice", "mit_warranty")),
     ("GPL-3.0-or-later", ("gpl3_later", "gpl_hope", "gpl_see")),
     ("GPL-2.0-or-later", ("gpl2_later", "gpl_hope", "gpl_see")),
@@ -76,8 +90,8 @@ NAMES = {
     "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
     "ISC": ("isc license",),
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0"),
-    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3 license"),
-    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2 license"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3 license", "gplv3", "gpl v3", "gnu gplv3"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2 license", "gplv2", "gpl v2", "gnu gplv2"),
     "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license v3 0"),
     "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"),
     "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license v3 0"),
@@ -91,14 +105,23 @@ NAMES = {
     "CC-BY-NC-4.0": ("creative commons attribution noncommercial 4 0 international license",),
 }
 #: How a notice names a licence; a subject before it ("this project is") is taken off first.
-NOTICES = ("{}", "the {}", "licensed under the {}", "released under the {}", "distributed under the {}", "licensed under the terms of the {}", "available under the {}")
-SUBJECT = "^(?:this|the|all) (?:[a-z0-9]+ ){1,4}?(?:is|are) "
-#: A tag of one line that names a licence by its published short identifier.
-TAG, TAGGED = "[Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier:[ \\t]*([A-Za-z0-9.+-]+)", "spdx license identifier"
+NOTICES = ("{}", "the {}", "licensed under {}", "released under {}", "distributed under {}", "licensed under the {}", "released under the {}", "distributed under the {}", "licensed under the terms of the {}", "available under the {}")
+SUBJECT = "^(?:this|the|all) (?:[a-z0-9]+ ){0,4}?(?:is|are) "
+#: A tag of one line that names licences by their published short identifiers, joined by operators; what may part them; the
+#: identifiers of former versions of the list. A plus says "or later".
+TAG = r"[Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)"
+TAGGED, OPERATOR = "spdx license identifier", r"[ \t]+(?:OR|AND|WITH)[ \t]+"
+FORMER = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+#: Marks of comments at the beginning of a line.
+COMMENT = r"(?m)^[ \t]*(?://+|#+|/?[*]+/?|--+|;+|%+)[ \t]?"
 _SHORT = [*NAMES, "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later"]
 _plain = lambda name: re.sub("[^a-z0-9]+", " ", name.lower()).strip()
 #: Sentence to identifier: the sentences above, then the notices and tags by rule. A listed sentence keeps its identifier.
 KNOWN = {f"{TAGGED} {_plain(n)}": f"tag_{n}" for n in _SHORT} | {notice.format(form): f"notice_{n}" for n, forms in NAMES.items() for form in forms for notice in NOTICES} | {s: i for i, s in SENTENCES.items()}
+KNOWN |= {f"{TAGGED} {_plain(n)}": f"tag_{n}-only" for n in FORMER} | {s: i for i, forms in VARIANTS.items() for s in forms}
+KNOWN |= {s[len(o) :]: i for i, s in SENTENCES.items() for o in OPENING if s.startswith(o)}
+# a title and the body below it are one licence
+RULES = [(n, (f"notice_{n}", *ids)) for n, ids in RULES if n in NAMES and len(ids) > 1] + RULES
 RULES += [
     ("LGPL-3.0-or-later", ("lgpl3_later",)), ("LGPL-2.1-or-later", ("lgpl21_later",)), ("AGPL-3.0-or-later", ("agpl3_later",)), ("GPL-2.0-only", ("gpl2_only",)),
     ("Unlicense", ("unlicense_free",)), ("Zlib", ("zlib_grant", "zlib_notice")), ("Zlib", ("zlib_grant",)),
@@ -125,8 +148,12 @@ def recognise(text: Column, known: dict[str, str] = KNOWN) -> Column:
     named = lambda s: F.coalesce(F.try_element_at(table, normal(s)), F.try_element_at(table, F.regexp_replace(normal(s), SUBJECT, "")))
     # a stem of two words may be parted by any white space in the raw text, so the raw text is asked for first words
     first = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(s.split(" ")[0])) for s in stems])
-    pieces = F.filter(F.split(F.regexp_replace(text, TAG, f"\n\n{TAGGED} $1\n\n"), SENTENCE_END), lambda p: holds(normal(p)))
-    ids = F.flatten(F.transform(pieces, lambda p: F.when(named(p).isNotNull(), F.array(named(p))).otherwise(F.transform(F.split(p, LINE_END), named))))
+    marked = F.regexp_replace(F.regexp_replace(text, COMMENT, ""), TAG, f"\n\n{TAGGED} $1\n\n")
+    pieces = F.filter(F.split(marked, SENTENCE_END), lambda p: holds(normal(p)))
+    listed = lambda p: F.split(F.substring(p, F.instr(p, TAGGED) + len(TAGGED), F.length(p)), OPERATOR)
+    tags = lambda p: F.transform(listed(p), lambda x: F.try_element_at(table, F.concat(F.lit(f"{TAGGED} "), normal(F.replace(x, F.lit("+"), F.lit(" or later"))))))
+    whole = lambda p: F.when(named(p).isNotNull(), F.array(named(p))).otherwise(F.transform(F.split(p, LINE_END), named))
+    ids = F.flatten(F.transform(pieces, lambda p: F.when(F.instr(p, TAGGED) > 0, tags(p)).otherwise(whole(p))))
     return F.when(first, F.filter(ids, lambda i: i.isNotNull())).otherwise(none)
 
 
@@ -137,7 +164,8 @@ def scan_licenses(
 
     ``sentence_ids`` lists the licence sentences of the text in order. Rules are tried at each of them from the left,
     in their order, and the first that fits takes its sentences; ``matches`` lists the licences found so, ``licenses``
-    each of them once, in the order of first appearance. A sentence that no rule takes gives no match. A null or empty
+    each of them once, in the order of first appearance. Marks of comments at the beginning of lines count for nothing; a tag that joins
+    licences by OR, AND or WITH names each of them. A sentence that no rule takes gives no match. A null or empty
     text gives empty arrays. Repeated rows are scanned each; other columns are not read. One projection, no shuffle.
     """
     taken = lambda ids: "".join(f"<{i}>" for i in ids)
@@ -157,11 +185,12 @@ def oracle_sql(known: dict[str, str] = KNOWN, rules: list[tuple[str, tuple[str,
     pattern = "|".join(taken(ids) for _, ids in rules).replace(".", "\\.")
     normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     named = lambda x: f"coalesce({table}[{normal(x)}], {table}[regexp_replace({normal(x)}, '{SUBJECT}', '')])"
-    marked = f"regexp_replace(coalesce(text, ''), '{TAG}', chr(10) || chr(10) || '{TAGGED} \\1' || chr(10) || chr(10), 'g')"
+    tag = lambda x: f"{table}['{TAGGED} ' || " + normal(f"replace({x}, '+', ' or later')") + "]"
+    marked = f"regexp_replace(regexp_replace(coalesce(text, ''), '{COMMENT}', '', 'g'), '{TAG}', chr(10) || chr(10) || '{TAGGED} \\1' || chr(10) || chr(10), 'g')"
     return f"""
 WITH p AS (SELECT doc_id, string_split_regex({marked}, '{SENTENCE_END}') AS pieces FROM documents),
 s AS (
-  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN {named('p')} IS NOT NULL THEN [{named('p')}] ELSE list_transform(string_split_regex(p, '{LINE_END}'), lambda x: {named('x')}) END)), lambda i: i IS NOT NULL) AS ids FROM p),
+  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN instr(p, '{TAGGED}') > 0 THEN list_transform(string_split_regex(substr(p, instr(p, '{TAGGED}') + {len(TAGGED)}), '{OPERATOR}'), lambda x: {tag('x')}) WHEN {named('p')} IS NOT NULL THEN [{named('p')}] ELSE list_transform(string_split_regex(p, '{LINE_END}'), lambda x: {named('x')}) END)), lambda i: i IS NOT NULL) AS ids FROM p),
 m AS (
   SELECT doc_id, ids, list_transform(regexp_extract_all(list_reduce(list_prepend('', list_transform(ids, lambda i: '<' || i || '>')), lambda a, b: a || b), '{pattern}'), lambda x: {names}[x]) AS matches
   FROM s)
