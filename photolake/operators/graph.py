@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.sources.scratch import written
+from photolake.sources.scratch import discard, written
 
 from .catalogue import ROOT, dead_parent_edges, live, orphan_nodes, sweep_dead_edges
 
@@ -60,7 +60,10 @@ def closure(edges: DataFrame, starts: DataFrame, up: bool, max_depth: int = 1000
         new = written(new.join(known, ["start", "fs_node_id"], "left_anti"), "closure")
         known = known.unionByName(new)
         frontier = new.where(F.col("depth") == depth + LEVELS)
+        if hot is not None:
+            discard(hot)
         if frontier.isEmpty():
+            discard(steps)
             return known
     raise RuntimeError(f"deeper than {max_depth}")
 
@@ -115,6 +118,7 @@ def would_create_cycle(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         for e, side in sides.items():
             alive = open_.select(F.col(e).alias("start")).distinct()
             side["frontier"] = (last if e == end else side["frontier"]).join(alive, "start", "left_semi")
+    discard(*[t for side in sides.values() for t in (side["steps"], side["degrees"])])
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -137,6 +141,7 @@ def cascade(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame
         held = links.join(below, "fs_node_id", "left_semi").join(fallen.select(F.col("fs_node_id").alias("parent")), "parent", "left_anti").select("fs_node_id")
         new = written(below.join(held, "fs_node_id", "left_anti"), "cascade")
         fallen = fallen.unionByName(new)
+    discard(alive, links)
     return fallen
 
 

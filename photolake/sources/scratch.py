@@ -25,3 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/photolake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later plan reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if folder.getParent().getName() == "photolake":
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
