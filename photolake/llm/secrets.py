@@ -1,7 +1,7 @@
 """Secret scan with a recursive decoding worklist.
 
-A text is layer 0. Percent escapes, ``\\u`` escapes, base64 runs (wrapped ones too) and compressed bytes inside base64
-or escapes each open a new layer that is scanned like the first and unwrapped in turn, until no new layer appears;
+A text is layer 0. Percent escapes (with a plus for a blank too), ``\\u`` escapes, base64 runs (wrapped or glued to other
+letters too) and compressed bytes inside base64 or escapes each open a new layer that is scanned like the first and unwrapped in turn, until no new layer appears;
 compressed bytes are unpacked until they are compressed no more. A layer whose content was seen
 before in the same text is not opened again, so cycles end. Every layer keeps, for each of its characters, the range of
 the original text that it came from; a find in a layer is reported at that range.
@@ -37,7 +37,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 LEAST_ASSIGNED = 8
 
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\u\{[0-9A-Fa-f]{1,6}\})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -50,6 +50,9 @@ _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh
 #: (bytes, each with the last OVERLAP bytes of the one before it); every chunk is a layer.
 MAX_UNPACKED, PIECE, CHUNK, OVERLAP = 64 << 20, 1 << 20, 8 << 20, 1 << 20
 
+#: How base64 of compressed bytes begins: where it is glued to other letters, it is tried from there.
+_HEADS = re.compile("H4sI|Qlpo|/Td6WF|eAE|eF4|eJ[w-z]|eN[o-r]")
+
 Span = tuple[int, int, int]
 
 
@@ -69,9 +72,11 @@ def _unescape(run: str) -> str:
         return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
     if run[1] == "x":
         return bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "replace")
+    character = lambda code: chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
     if run[1] == "U":
-        code = int(run[2:], 16)
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+        return character(int(run[2:], 16))
+    if run[2] == "{":
+        return "".join(character(int(x, 16)) for x in re.findall(r"\{(\w+)", run))
     units = b"".join(int(x, 16).to_bytes(2, "big") for x in run.split("\\u")[1:])
     return units.decode("utf-16-be", "replace")
 
@@ -122,6 +127,30 @@ def _readable(data: bytes, whole: bool = True) -> str | None:
     return text if data and odd * 20 <= len(data) else None
 
 
+def _readable_otherwise(data: bytes) -> str | None:
+    """Bytes as UTF-16 or Latin-1 text: with a mark or zero bytes in every other place, or printable and nearly all ASCII."""
+    zeros = [data[k::2].count(0) * 10 >= len(data) * 3 for k in (0, 1)]
+    kind = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-16-be" if zeros[0] and not zeros[1] else "utf-16-le" if zeros[1] and not zeros[0] else None
+    if kind and len(data) % 2 == 0:
+        try:
+            text = data.decode(kind)
+        except UnicodeDecodeError:
+            return None
+        return text if text and sum(c < " " and c not in "\t\r\n" for c in text) * 20 <= len(text) else None
+    plain = len(data.translate(None, _CONTROL)) == len(data) and not any(0x80 <= b < 0xA0 for b in data)
+    return data.decode("latin-1") if len(data) >= 16 and plain and sum(b < 0x80 for b in data) * 10 >= 9 * len(data) else None
+
+
+def _deflated(data: bytes) -> str | None:
+    """The readable content of a raw deflate stream that the bytes are, whole and without rest; of more than MAX_UNPACKED bytes it stays closed."""
+    box = zlib.decompressobj(-15)
+    try:
+        out = box.decompress(data, MAX_UNPACKED)
+    except zlib.error:
+        return None
+    return _readable(out) if box.eof and not box.unused_data and len(out) >= 8 else None
+
+
 def _streamed(pieces: Iterator[bytes]) -> Iterator[str]:
     """Readable overlapping chunks of a stream of bytes, unpacked for as long as it is compressed."""
     while True:
@@ -161,6 +190,8 @@ def _texts(data: bytes, most: int) -> tuple[Iterator[str], bool, bool]:
             break
         data, packed = b"".join(out), True
     text = _readable(data)
+    if text is None:  # its characters have no fixed places in the run, as those of compressed bytes
+        text, packed = _deflated(data) or _readable_otherwise(data), True
     return iter([text] if text else []), packed, False
 
 
@@ -188,6 +219,7 @@ def _base64_parts(run: str, most: int) -> Iterator[tuple[int, int, Iterator[str]
     if re.search("[+/_-]", run):
         tried += [m.span() for m in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", run)]
         tried += [m.span() for m in re.finditer(r"(?<=[/_-])[A-Za-z0-9+]{16,}={0,2}", run)]
+    tried += [(m.start(), len(run)) for m in _HEADS.finditer(run)] + [(k, len(run)) for k in (1, 2, 3) if len(run) - k >= 16]
     done: list[tuple[int, int]] = []
     for a, b in dict.fromkeys(tried):
         body = run[a:b].rstrip("=").translate(str.maketrans("-_", "+/"))
@@ -261,6 +293,9 @@ def scan(text: str | None, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span]
         escapes = [(m.start(), m.end(), _unescape(m.group())) for m in _ESCAPE.finditer(layer.text)]
         if escapes:
             yield layer.replaced(escapes)
+            if "+" in layer.text and "%" in layer.text:
+                blanks = [(m.start(), m.end(), " ") for m in re.finditer(r"\+", layer.text)]
+                yield layer.replaced(sorted(escapes + blanks))
         for a, b, data in _bytes_runs(layer.text):
             texts, packed, over = _texts(data, max_unpacked)
             large += over
