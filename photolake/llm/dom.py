@@ -241,19 +241,17 @@ class Page:
     def set_aside(self) -> list[bool]:
         """For each block: does it stand beside the article by its markup?
 
-        A form, or an element that only its name sets aside, holds the page rather than stands beside it when all
-        articles are in it, or, on a page without any, its first heading, and most of the text.
+        An element holds the page rather than stands beside it when all articles and most of the text are in it, or, on a
+        page without an article, its first heading and most of the text: a form around the page, or a menu that is never closed.
         """
         lengths = [0]
         for b in self.blocks:
             lengths.append(lengths[-1] + len(b.text) - b.linked)
         heading = next((i for i, b in enumerate(self.blocks) if b.tag == "h1"), None)
         out: list[bool] = []
-        for k, (around, name, before) in enumerate(self.beside):
-            holds = False
-            if name == "form" or name not in BESIDE_TAGS | {"header"}:
-                a, b = self.first_block[k], self.last_block.get(k, len(self.blocks))
-                all_mains = self.mains_at_end.get(k, self.mains) - before == self.mains if self.mains else heading is not None and a <= heading < b
-                holds = all_mains and 10 * (lengths[b] - lengths[a]) >= 6 * lengths[-1]
+        for k, (around, _, before) in enumerate(self.beside):
+            a, b = self.first_block[k], self.last_block.get(k, len(self.blocks))
+            all_mains = self.mains_at_end.get(k, self.mains) - before == self.mains if self.mains else heading is not None and a <= heading < b
+            holds = all_mains and 10 * (lengths[b] - lengths[a]) >= 6 * lengths[-1]
             out.append(not holds or (around >= 0 and out[around]))
         return [b.beside >= 0 and out[b.beside] for b in self.blocks]

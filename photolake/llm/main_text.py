@@ -27,8 +27,9 @@ FEATURES = ("one", "words", "linked", "ends", "marks", "heading", "item", "digit
 PRIOR = np.array([-1.6, 0.9, -4.0, 1.0, 0.5, 0.5, -0.4, -1.0, -0.5])
 #: The corpus counts as at most so many blocks beside the prior, whose precision is the second number.
 EVIDENCE, PRECISION = 200.0, 4.0
-#: Log odds by markup: in an article, by a hint, outside of the page's articles, beside them; the most that text may say.
-IN_MAIN, BY_HINT, OUTSIDE, ASIDE, MOST = 4.0, 1.5, -2.5, -9.0, 2.5
+#: Log odds by markup: in an article, by a hint, outside of the page's articles, outside of what hints point at, beside them;
+#: the most that text may say.
+IN_MAIN, BY_HINT, OUTSIDE, UNHINTED, ASIDE, MOST = 4.0, 1.5, -2.5, -2.0, -9.0, 2.5
 #: Capacities of edges to the next block, to the next of the same parent and of the same grandparent.
 NEXT, SIBLING, COUSIN = 0.3, 0.8, 0.4
 _MARKS, _ENDS = ".,;:!?…。，", (".", "!", "?", "…", ":", "”", "\"", "»", "。")
@@ -144,10 +145,12 @@ def graph(page: Page, weights: np.ndarray) -> tuple[list[int], list[tuple[int, i
     """Terminal capacities and smoothness edges of a page's blocks."""
     blocks, beside = page.blocks, page.set_aside()
     has_main = any(b.zone == MAIN and not s for b, s in zip(blocks, beside, strict=True))
+    hinted = [len(b.text) * (b.zone == HINT) for b, s in zip(blocks, beside, strict=True) if not s]
+    most_hinted = 2 * sum(hinted) >= sum(len(b.text) for b, s in zip(blocks, beside, strict=True) if not s)
     said = np.array([features(b) for b in blocks]) @ weights if blocks else ()
     prefers = []
     for b, aside, text in zip(blocks, beside, said, strict=True):
-        markup = ASIDE if aside else IN_MAIN if b.zone == MAIN else OUTSIDE if has_main else BY_HINT if b.zone == HINT else 0.0
+        markup = ASIDE if aside else IN_MAIN if b.zone == MAIN else OUTSIDE if has_main else BY_HINT if b.zone == HINT else UNHINTED if most_hinted else 0.0
         prefers.append(round(UNIT * (markup + min(MOST, max(-MOST, float(text))))))
     edges = [(i, i + 1, round(UNIT * NEXT)) for i in range(len(blocks) - 1)]
     for above, weight in (("parent", SIBLING), ("grandparent", COUSIN)):

@@ -58,6 +58,8 @@ PAGES = {
     "broken": f"<article><p><b>{A}<br><p>{B}</b></i><p>{C}</article></div></div><footer>end",
     "inline": f"<article><p>The <a href='/h'>har<b>vest</b></a> was\n\t late this&#32;year, and the growers of the valley had to wait for the rain to end.</p><p>Yes&#46;</p>{C}</article>",
     "role": f"<div role='navigation'>{MENU}</div><div role='main'><p>{A}</p><p>{B}</p><p>{C}</p><div hidden>secret</div><div style='display: none'>unseen words</div></div>",
+    "unclosed menu": f"<nav>{MENU}<article><p>{A}</p><p>{B}</p><p>{C}</p></article><footer>The end of it.</footer>",
+    "hinted": f"<div id='head'>A daily of the valley.</div><div class='content'><p>{A}</p><p>{B}</p><p>{C}</p></div><div id='base'>Written by us all.</div>",
     "related": f"<div class='story'><p>{A}</p><p>{B}</p><p>{C}</p></div><div class='related'><article><a href='/x'>Another story</a></article></div>",
 }
 
