@@ -76,7 +76,7 @@ def evidence(name: str, attributes: str, inside_main: bool) -> int:
 
 @dataclass(slots=True)
 class Block:
-    """A run of text between block borders: its leaf element, the two block elements above it, and what these say."""
+    """A run of text between block borders: its leaf element, the two block elements above it (0 for the page itself), and what these say."""
 
     text: str
     linked: int  # characters in links
@@ -185,6 +185,7 @@ class Page:
         _, _, beside, zone, _ = self._stack[-1]
         said = evidence(name, attributes, zone == MAIN)
         self._number += 1
+        number = 0 if name in ("html", "body") else self._number
         if block or said == BESIDE:
             self._flush()
             block = True
@@ -201,7 +202,7 @@ class Page:
         if name == "a":
             self._link = "href" in attributes.lower()
         self._open[name].append(len(self._stack))
-        self._stack.append((name, block, beside, zone, self._number))
+        self._stack.append((name, block, beside, zone, number))
 
     def _end(self, name: str) -> None:
         if name in ("html", "body") or name in VOID:

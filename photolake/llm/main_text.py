@@ -157,7 +157,7 @@ def graph(page: Page, weights: np.ndarray) -> tuple[list[int], list[tuple[int, i
         last: dict[int, int] = {}
         for i, b in enumerate(blocks):
             group = getattr(b, above)
-            if group in last:
+            if group in last and (group or above == "parent"):  # to be two steps below the page itself says nothing
                 edges.append((last[group], i, round(UNIT * weight)))
             last[group] = i
     return prefers, edges
