@@ -134,7 +134,7 @@ SENTENCE_END, LINE_END = r"\n[ \t\r]*\n|[.!?;:]+[ \t\r\n]+", r"[\n\r]+"
 
 def _stems(known: dict[str, str]) -> list[str]:
     """A few stems so that each sentence holds one: texts without any are passed over."""
-    stems = ["licen", "permission", "redistribut", "warrant", "copyright", "free software"]
+    stems = ["licen", "permission", "redistribut", "warrant", "copyright", "free software", "gpl", "unencumbered", "removed or altered"]
     return stems + [s for s in known if not any(x in s for x in stems)]
 
 
