@@ -188,7 +188,7 @@ def demosaic_bilinear(px: DataFrame, cfa: DataFrame) -> DataFrame:
 
 
 #: Side of a patch, coefficients of its sketch, coefficients of the grid, and different patches of a grid cell that meet in one piece.
-PATCH, SKETCH, GRID, PIECE = 8, 16, 3, 512
+PATCH, SKETCH, GRID, PIECE = 8, 16, 3, 2048
 
 
 def _cosines() -> np.ndarray:
@@ -213,11 +213,12 @@ def sketched(patches: DataFrame) -> DataFrame:
 
 
 def patch_candidates(different: DataFrame, limit: float) -> DataFrame:
-    """(cell, p, q): pairs p < q of different patches (cell, p, sketch) whose sketches are within the sum of squares ``limit``: all that may be near.
+    """(cell, p, q): pairs p < q of different patches (cell, p, data, sketch) within the sum of squares ``limit``, but for rounding: all that may be near.
 
     They meet on a grid over the GRID coefficients that vary most over the table, wide enough that partners are in equal or
     neighbouring cells; half of the neighbours are asked, so a pair meets once. A cell of many patches is cut into pieces
-    that meet two by two, so no task gets more than two pieces of a cell. Neither the means nor any single direction decides.
+    that meet two by two, each two pieces in one group whose distances are one matrix product. So no task gets more than two
+    pieces of a cell at a time, and where the grid tells little apart, a pair costs 64 multiplications and no row.
     """
     spread = different.agg(*[F.coalesce(F.var_pop(F.col("sketch")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(SKETCH)]).first()
     axes = sorted(range(SKETCH), key=lambda k: (-spread[k], k))[:GRID]
@@ -226,26 +227,41 @@ def patch_candidates(different: DataFrame, limit: float) -> DataFrame:
     rows = different.withColumns({f"g{j}": F.floor(F.col("sketch")[k] / width).cast("long") for j, k in enumerate(axes)})
     grid = ["cell", *[f"g{j}" for j in range(GRID)]]
     sizes = rows.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    rows = rows.join(sizes, grid).withColumn("piece", F.pmod(F.xxhash64("p", F.lit(1)), F.col("pieces")).cast("int"))
+    rows = rows.select("cell", "p", "data", F.concat_ws("|", *grid, "piece").alias("block"))
+    blocks = sizes.select(*grid, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     ahead = [d for d in np.ndindex(*[3] * GRID) if d >= (1,) * GRID]  # of each two opposite neighbours one, and the cell itself
     steps = F.explode(F.array(*[F.struct(*[F.lit(int(x) - 1).alias(f"d{j}") for j, x in enumerate(d)]) for d in ahead])).alias("d")
-    asking = rows.select("cell", "p", "sketch", *grid[1:], steps)
-    asking = asking.select("cell", "p", "sketch", *[(F.col(f"g{j}") + F.col(f"d.d{j}")).alias(f"g{j}") for j in range(GRID)], sum((F.col(f"d.d{j}") != 0).cast("int") for j in range(GRID)).alias("away"))
-    # each piece of the asked cell takes a copy of the asking patch, and the asking patches are dealt to as many tasks by a hash
-    deals = F.least("pieces", F.lit(64))
-    asking = asking.join(sizes, grid).withColumn("deal", F.pmod(F.xxhash64("p"), deals).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).drop("pieces")
-    asked = rows.join(sizes, grid).withColumn("piece", F.pmod(F.xxhash64("p", F.lit(1)), F.col("pieces")).cast("int"))
-    asked = asked.select(*grid, "piece", F.col("p").alias("q"), F.col("sketch").alias("other"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
-    met = asking.join(asked, [*grid, "piece", "deal"]).where("away > 0 OR p < q")
-    apart = sum((F.col("sketch")[k] - F.col("other")[k]) * (F.col("sketch")[k] - F.col("other")[k]) for k in range(SKETCH))
-    return met.where(apart <= most).select("cell", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    asking = blocks.select("*", F.concat_ws("|", *grid, "piece").alias("a"), F.col("piece").alias("own"), steps).drop("piece")
+    asking = asking.select("cell", "a", "own", *[(F.col(f"g{j}") + F.col(f"d.d{j}")).alias(f"g{j}") for j in range(GRID)], sum((F.col(f"d.d{j}") != 0).cast("int") for j in range(GRID)).alias("away"))
+    meets = asking.join(blocks, grid).where("away > 0 OR own <= piece").select("a", F.concat_ws("|", *grid, "piece").alias("b"))
+    ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block")
+    met = rows.join(meets.select("a", "b", ends), "block").groupBy("a", "b")
+    kind = StructType([StructField(n, different.schema["cell" if n == "cell" else "p"].dataType) for n in ("cell", "p", "q")])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        first = (group.block == group.a).to_numpy()
+        own = bool((group.a == group.b).iloc[0])
+        one, two = group[first], group if own else group[~first]
+        if not len(one) or not len(two):  # a piece to which no patch was dealt
+            return group.iloc[:0].assign(q=group.p.iloc[:0])[["cell", "p", "q"]]
+        x, y = np.stack(one.data.to_numpy()), np.stack(two.data.to_numpy())
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero(xx[:, None] + yy[None] - 2 * (x @ y.T) <= most + 1e-12 * (xx[:, None] + yy[None]))
+        p, q = one.p.to_numpy()[i], two.p.to_numpy()[j]
+        once = p < q if own else np.ones(len(p), dtype=bool)
+        return pd.DataFrame({"cell": one.cell.to_numpy()[i][once], "p": np.minimum(p, q)[once], "q": np.maximum(p, q)[once]})
+
+    return met.applyInPandas(meet, kind)
 
 
 def similar_patches(patches: DataFrame, sigma: float, k: int = 16) -> DataFrame:
     """(cell, ref, other, ssd, place): for every patch the ``k`` most alike of its cell within a sum of squares of (2.5 sigma)² · 64.
 
     ``patches``: cell, vec_id (unique in its cell), data of 64 numbers. Equal patches are one, with their ``k`` + 1 smallest
-    ids, which is all of them that a list can name; different ones meet by ``patch_candidates``, and only for those pairs
-    are the 64 numbers fetched. Ties go to smaller ids. Rows with a null among cell, id or data are left out.
+    ids, which is all of them that a list can name; different ones meet by ``patch_candidates``, and only the pairs that it
+    finds are summed up one by one. Ties go to smaller ids. Rows with a null among cell, id or data are left out.
     """
     limit = (2.5 * sigma) ** 2 * PATCH * PATCH
     rows = patches.select("cell", "vec_id", "data").where("cell IS NOT NULL AND vec_id IS NOT NULL AND data IS NOT NULL")
@@ -256,7 +272,7 @@ def similar_patches(patches: DataFrame, sigma: float, k: int = 16) -> DataFrame:
         low = low.withColumn("part", part)
         low = low.withColumn("at", F.row_number().over(Window.partitionBy("cell", "hash", "data", "part").orderBy("vec_id"))).where(F.col("at") <= k + 1).drop("at", "part")
     classes = written(low.groupBy("cell", "data").agg(F.min("vec_id").alias("p"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "patch-classes")
-    pairs = written(patch_candidates(sketched(classes.select("cell", "p", "data")).drop("data"), limit), "patch-pairs").distinct()
+    pairs = written(patch_candidates(sketched(classes.select("cell", "p", "data")), limit), "patch-pairs").distinct()
     ssd = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
     left, right = (classes.select("cell", F.col("p").alias(n), F.col("data").alias(d), F.col("ids").alias(f"ids_{n}")) for n, d in (("p", "a"), ("q", "b")))
     near = pairs.join(left, ["cell", "p"]).join(right, ["cell", "q"]).withColumn("ssd", ssd).where(F.col("ssd") <= limit)

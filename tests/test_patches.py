@@ -63,3 +63,18 @@ def test_ties_equal_patches_and_odd_rows(spark):
     df = spark.createDataFrame(rows + odd, SCHEMA).withColumns({n: F.lit("x") for n in ("p", "q", "ids", "hash", "sketch", "part")})
     assert got(df, 0.056, 2) == brute(rows, 0.056, 2)
     assert P.similar_patches(df.limit(0), 0.056).count() == 0
+
+
+def test_patches_that_the_grid_does_not_part(spark):
+    """Unit vectors in all directions: nearly all meet in a few grid cells, yet only those that are near come out as candidates."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(1500, 64))
+    data /= np.sqrt((data**2).sum(axis=1, keepdims=True))
+    rows = [(i, i % 2, d.tolist()) for i, d in enumerate(data)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(df, 0.056, 16) == brute(rows, 0.056, 16)
+    limit = (2.5 * 0.056) ** 2 * 64
+    ssd = ((data[:, None, :] - data[None]) ** 2).sum(axis=2)
+    near = {(a, b) for a, b in np.argwhere(ssd <= limit).tolist() if a < b and a % 2 == b % 2}
+    found = {(r.p, r.q) for r in P.patch_candidates(P.sketched(df.withColumn("p", F.col("vec_id"))), limit).collect()}
+    assert found == near
