@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from photolake.fixtures import view
 from photolake.operators import catalogue as C
 from photolake.operators import graph as G
+from photolake.plans import catalogue, registry  # noqa: F401  it registers its queries
 
 EDGE = "id long, fs_node_id_child long, fs_node_id_parent long, time_deleted long"
 
@@ -106,3 +108,14 @@ def test_cascade_writes_what_is_new(spark, counted):
     fallen = {r[0] for r in G.cascade(nodes, edges_of(spark, pairs), spark.createDataFrame([(1,)], "fs_node_id long")).collect()}
     assert fallen == set(ids) - {777, 10_001}
     assert counted["cascade"] == [1, 3, 9, 27, 80, 0]
+
+
+def test_batch_tree_states_count_and_sorted_children(spark):
+    """The query names the children of each parent and their number, none left out."""
+    sf = "/root/testdata/sf0.001"
+    out = registry.QUERIES["batch_tree"](spark, sf)
+    assert sorted(out.columns) == ["batch", "children", "n", "parent"]
+    rows = out.collect()
+    listed = [(r.batch, int(c)) for r in rows for c in r.children.split(",")]
+    assert all(r.n == len(r.children.split(",")) and r.children.split(",") == sorted(r.children.split(","), key=int) for r in rows)
+    assert sorted(listed) == sorted((r.time_deleted, r.fs_node_id) for r in view(spark, sf, "fx_node").where("time_deleted IS NOT NULL").collect())
