@@ -1,5 +1,6 @@
 """Walks over the catalogue's edges: long chains, folders of very many children, crowded frontiers, cycles, against plain search."""
 
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from photolake.fixtures import view
 from photolake.operators import catalogue as C
 from photolake.operators import graph as G
 from photolake.plans import catalogue, registry  # noqa: F401  it registers its queries
+from photolake.sources.scratch import CLEANUP, written
 
 EDGE = "id long, fs_node_id_child long, fs_node_id_parent long, time_deleted long"
 
@@ -119,3 +121,30 @@ def test_batch_tree_states_count_and_sorted_children(spark):
     listed = [(r.batch, int(c)) for r in rows for c in r.children.split(",")]
     assert all(r.n == len(r.children.split(",")) and r.children.split(",") == sorted(r.children.split(","), key=int) for r in rows)
     assert sorted(listed) == sorted((r.time_deleted, r.fs_node_id) for r in view(spark, sf, "fx_node").where("time_deleted IS NOT NULL").collect())
+
+
+def test_pairs_that_an_edge_joins_are_not_walked(spark, counted):
+    pairs = [(k, k + 1) for k in range(40)]
+    asked = spark.createDataFrame([(p, c) for c, p in pairs] + [(7, 7), (None, 3)], "child long, parent long")
+    got = G.would_create_cycle(edges_of(spark, pairs), asked).collect()
+    assert sorted((r.child, r.parent) for r in got if r.cycle) == sorted([*((p, c) for c, p in pairs), (7, 7)]) and len(got) == 42
+    assert "cycle-seen" not in counted
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    shuffles = lambda: {f for _, _, files in os.walk(spark.conf.get("spark.local.dir")) for f in files if f.startswith("shuffle_")}
+    before = shuffles()
+    out = written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    assert not shuffles() - before and out.count() == 100 and spark.conf.get(CLEANUP, None) is None
+
+
+def test_nodes_that_are_crowded_levels_ahead_are_dealt(spark, monkeypatch):
+    """The frontier has each node once, yet all of it stands at one node a level on: that level's steps are dealt."""
+    monkeypatch.setattr(G, "HOT", 100)
+    monkeypatch.setattr(G, "SALTS", 2)
+    edges = edges_of(spark, [(10 + k, 1) for k in range(1000)] + [(1, 0)])
+    starts = spark.range(10, 1010).select(F.col("id").alias("fs_node_id"))
+    hot = G._hot(starts.select(F.col("fs_node_id").alias("start"), "fs_node_id"), G._steps(edges, True), 3)
+    assert hot[0] is None and [tuple(map(tuple, h.collect())) for h in hot[1:]] == [((1, 10),), ((0, 10),)]
+    found = {(r.start, r.fs_node_id, r.depth) for r in G.closure(edges, starts, up=True).collect()}
+    assert found == {(s, n, d) for s in range(10, 1010) for n, d in ((s, 0), (1, 1), (0, 2))}
