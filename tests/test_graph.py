@@ -5,12 +5,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from photolake.fixtures import view
 from photolake.operators import catalogue as C
 from photolake.operators import graph as G
 from photolake.plans import catalogue, registry  # noqa: F401  it registers its queries
+from photolake.sources import scratch
 from photolake.sources.scratch import CLEANUP, written
 
 EDGE = "id long, fs_node_id_child long, fs_node_id_parent long, time_deleted long"
@@ -148,3 +150,37 @@ def test_nodes_that_are_crowded_levels_ahead_are_dealt(spark, monkeypatch):
     assert hot[0] is None and [tuple(map(tuple, h.collect())) for h in hot[1:]] == [((1, 10),), ((0, 10),)]
     found = {(r.start, r.fs_node_id, r.depth) for r in G.closure(edges, starts, up=True).collect()}
     assert found == {(s, n, d) for s in range(10, 1010) for n, d in ((s, 0), (1, 1), (0, 2))}
+
+
+def walked_levels(monkeypatch):
+    """How many levels each round of a walk asks for."""
+    seen, hot = [], G._hot
+    monkeypatch.setattr(G, "HOT", 50)
+    monkeypatch.setattr(G, "_hot", lambda frontier, steps, levels: seen.append(levels) or hot(frontier, steps, levels))
+    return seen
+
+
+def test_large_frontiers_walk_up_one_level_a_round(spark, monkeypatch):
+    """The levels of a round lie in one task, so a large frontier must not hold several at a time; a small one still does."""
+    seen = walked_levels(monkeypatch)
+    pairs = [(1000 + k, 100 + k % 30) for k in range(200)] + [(100 + k, 10 + k % 3) for k in range(30)] + [(10 + k, 1) for k in range(3)]
+    reach = above(pairs)
+    starts = spark.range(1000, 1200).select(F.col("id").alias("fs_node_id"))
+    found = {(r.start, r.fs_node_id) for r in G.closure(edges_of(spark, pairs), starts, up=True).collect()}
+    assert found == {(s, n) for s in range(1000, 1200) for n in reach(s)}
+    assert seen and set(seen) == {1}
+    seen.clear()
+    G.closure(edges_of(spark, pairs), starts.limit(5), up=True)
+    assert set(seen) == {G.LEVELS}
+
+
+def test_writes_of_many_rows_are_cut_small(spark, monkeypatch):
+    """Partitions of a write are merged to PART_BYTES at most, and cut finer where more rows are moved."""
+    seen, names = [], (scratch.ADVISORY, scratch.INITIAL)
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append([spark.conf.get(n, None) for n in names]) or write(self, path))
+    before = [spark.conf.get(n, None) for n in names]
+    written(spark.range(10), "few")
+    written(spark.range(10), "many", rows=100 * scratch.PART_ROWS)
+    assert seen == [[str(scratch.PART_BYTES), None], [str(scratch.PART_BYTES), "100"]]
+    assert [spark.conf.get(n, None) for n in names] == before
