@@ -184,3 +184,15 @@ def test_writes_of_many_rows_are_cut_small(spark, monkeypatch):
     written(spark.range(10), "many", rows=100 * scratch.PART_ROWS)
     assert seen == [[str(scratch.PART_BYTES), None], [str(scratch.PART_BYTES), "100"]]
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_large_frontiers_walk_down_one_level_a_round(spark, monkeypatch):
+    """A folder that all starts hang below: least depths by two ways, with a cycle."""
+    seen = walked_levels(monkeypatch)
+    pairs = [(1000 + k, 100 + k % 60) for k in range(200)] + [(100 + k, 1) for k in range(60)] + [(1000, 1), (1, 1007)]
+    reach = above([(p, c) for c, p in pairs])
+    starts = spark.range(100, 160).union(spark.range(1, 2)).select(F.col("id").alias("fs_node_id"))
+    out = G.closure(edges_of(spark, pairs), starts, up=False).collect()
+    assert {(r.start, r.fs_node_id) for r in out} == {(s, n) for s in [1, *range(100, 160)] for n in reach(s)}
+    assert len(out) == len({(r.start, r.fs_node_id) for r in out}) and next(r.depth for r in out if (r.start, r.fs_node_id) == (1, 1000)) == 1
+    assert set(seen[:2]) == {1}
