@@ -1,4 +1,8 @@
-"""Numpy kernels for tiles. They import nothing of the plans, so that a worker can load them alone."""
+"""Numpy kernels for tiles. They import nothing of the plans, so that a worker can load them alone.
+
+Rows and columns are the last two axes; those before them, if any, count tiles that do not see each other. What lies beyond
+the edges counts as missing, like NaN.
+"""
 
 from __future__ import annotations
 
@@ -16,9 +20,9 @@ def mean_of_three(tile: np.ndarray) -> np.ndarray:
 def around(plane: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     """The plane as seen at each offset (dy, dx), stacked; NaN beyond its edges."""
     r = max(abs(o) for pair in offsets for o in pair)
-    wide = np.pad(plane, r, constant_values=np.nan)
-    h, w = plane.shape
-    return np.stack([wide[r + dy : r + dy + h, r + dx : r + dx + w] for dy, dx in offsets])
+    wide = np.pad(plane, [(0, 0)] * (plane.ndim - 2) + [(r, r)] * 2, constant_values=np.nan)
+    h, w = plane.shape[-2:]
+    return np.stack([wide[..., r + dy : r + dy + h, r + dx : r + dx + w] for dy, dx in offsets])
 
 
 def spread(near: np.ndarray) -> dict[str, np.ndarray]:
@@ -37,7 +41,7 @@ def fill_colours(v: np.ndarray, colour: np.ndarray, diagonal: float = 1.0, alone
 
     A colour that no neighbour has is NaN, or with ``alone`` the own value.
     """
-    weights = np.array([1.0 if dy == 0 or dx == 0 else diagonal for dy, dx in EIGHT])[:, None, None]
+    weights = np.array([1.0 if dy == 0 or dx == 0 else diagonal for dy, dx in EIGHT]).reshape(-1, *[1] * v.ndim)
     out = {}
     for k, name in enumerate(("r", "g", "b")):
         own = np.where(colour == k, v, np.nan)
@@ -66,7 +70,7 @@ def _strided(v: np.ndarray, step: int, of) -> np.ndarray:
     out = np.empty_like(v)
     for a in range(step):
         for b in range(step):
-            out[a::step, b::step] = of(v[a::step, b::step])
+            out[..., a::step, b::step] = of(v[..., a::step, b::step])
     return out
 
 
@@ -77,7 +81,7 @@ def box_mean(v: np.ndarray, r: int, step: int = 1) -> np.ndarray:
         seen = ~np.isnan(grid)
         parts = []
         for plane in (np.where(seen, grid, 0.0), seen.astype(float)):
-            for axis in (0, 1):
+            for axis in (-2, -1):
                 n = plane.shape[axis]
                 total = np.concatenate([np.zeros_like(plane.take([0], axis)), np.cumsum(plane, axis=axis)], axis=axis) if n else plane
                 at = np.arange(n)
@@ -93,8 +97,8 @@ def box_min(v: np.ndarray, r: int, step: int = 1) -> np.ndarray:
 
     def of(grid: np.ndarray) -> np.ndarray:
         seen, plane = ~np.isnan(grid), np.where(np.isnan(grid), np.inf, grid)
-        for axis in (0, 1):
-            wide = np.pad(plane, [(r, r) if k == axis else (0, 0) for k in (0, 1)], constant_values=np.inf)
+        for axis in (-2, -1):
+            wide = np.pad(plane, [(r, r) if k == axis + plane.ndim else (0, 0) for k in range(plane.ndim)], constant_values=np.inf)
             plane = np.minimum.reduce([wide.take(np.arange(k, k + grid.shape[axis]), axis) for k in range(2 * r + 1)])
         return np.where(seen, plane, np.nan)
 

@@ -320,7 +320,7 @@ def develop_mosaic(
         read["inside"] = (F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))).cast("int")
     if dehaze_strength:
         read |= {"ry": F.col("y") % 2, "rx": F.col("x") % 2}
-    return tiled(sites.select(*PIXEL, *[c.alias(n) for n, c in read.items()]), list(read), halo, chain, list(RGB), size or max(TILE, 8 * halo))
+    return tiled(sites.select(*PIXEL, *[c.alias(n) for n, c in read.items()]), list(read), halo, chain, list(RGB), size or max(TILE, 8 * halo), deep=True)
 
 
 def render(px: DataFrame, matrix: tuple[tuple[float, ...], ...], graded: Column, curve: str = "V-Log", fringes: bool = True) -> DataFrame:

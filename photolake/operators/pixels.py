@@ -40,13 +40,16 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str], size: int = TILE) -> DataFrame:
+def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str], size: int = TILE, deep: bool = False) -> DataFrame:
     """(image_id, y, x, *out), a row for each pixel: what a numpy kernel makes of the pixels up to ``halo`` steps around.
 
     The kernel gets a 2-D array of doubles for each value and returns one of the same shape for each name of ``out``, or
     one with an axis more in front, which becomes an array column. NaN stands for a place outside the image and for a
     null, both ways. With a halo of at least the kernel's reach the result does not depend on ``size``. Places count from
     0 and frames may have gaps; a pixel must not come twice; one without an image or place is left out. An empty table gives none; other columns are left out.
+
+    With ``deep`` it gets arrays with an axis in front that counts tiles, and must take what lies beyond their edges as
+    missing: small frames under a wide halo then cost their own pixels and no margin.
     """
     # a pixel goes to the tiles that its halo reaches and to no others: most go to one
     tile = lambda c: F.floor(c / size).cast("int")
@@ -77,9 +80,35 @@ def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[[dict[st
             taken = {n: done[n][..., at[0][kept], at[1][kept]] for n in names}
             yield pd.DataFrame({c: rows[c].to_numpy()[a:b][kept] for c in ("image_id", "y", "x")} | {n: v if v.ndim == 1 else list(v.T) for n, v in taken.items()})
 
+    def layered(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole tiles one behind the other, as many as hold about a full tile's pixels with what fills up the smaller ones."""
+        new = (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1]).any(axis=1)
+        first, tile_of = np.flatnonzero(np.r_[True, new]), np.r_[0, np.cumsum(new)]
+        y, x, tile_y, tile_x = (rows[c].to_numpy() for c in ("y", "x", "tile_y", "tile_x"))
+        core = (y // size == tile_y) & (x // size == tile_x)
+        y, x = (c - np.minimum.reduceat(c, first)[tile_of] for c in (y, x))
+        tall, broad = (np.maximum.reduceat(c, first) + 1 for c in (y, x))
+        starts, h, w = [0], 0, 0  # the first tile of each stack
+        for k, (high, wide) in enumerate(zip(tall.tolist(), broad.tolist(), strict=True)):
+            h, w = max(h, high), max(w, wide)
+            if k > starts[-1] and (k + 1 - starts[-1]) * h * w > (size + 2 * halo) ** 2:
+                starts.append(k)
+                h, w = high, wide
+        for s, e in zip(starts, [*starts[1:], len(first)], strict=True):
+            a, b = first[s], first[e] if e < len(first) else len(rows)
+            if not core[a:b].any():  # nothing but halo
+                continue
+            at = tile_of[a:b] - s, y[a:b], x[a:b]
+            planes = {v: np.full((e - s, tall[s:e].max(), broad[s:e].max()), np.nan) for v in values}
+            for k, v in enumerate(values):
+                planes[v][at] = rows[f"in_{k}"].to_numpy()[a:b]
+            done, kept = kernel(planes), core[a:b]
+            taken = {n: done[n][..., at[0][kept], at[1][kept], at[2][kept]] for n in names}
+            yield pd.DataFrame({c: rows[c].to_numpy()[a:b][kept] for c in ("image_id", "y", "x")} | {n: v if v.ndim == 1 else list(v.T) for n, v in taken.items()})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_groups(batches, key):
-            yield from made(rows)
+            yield from (layered if deep else made)(rows)
 
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
     done = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, f"image_id long, y int, x int, {schema}")

@@ -93,3 +93,25 @@ def test_window_kernels_equal_loops():
                     assert np.isnan(mean[y, x]) and np.isnan(least[y, x])
                 else:
                     assert abs(mean[y, x] - np.mean(near)) < 1e-12 and least[y, x] == min(near)
+
+
+def test_small_frames_under_a_wide_halo_cost_their_own_pixels(spark):
+    """Frames of 8x8 and one of 5x3, halo 50: a kernel over stacks gets arrays of the frames' size, not of the halo's."""
+    rows = [(i, y, x, float(i)) for i in range(300) for y in range(8) for x in range(8)] + [(300, y, x, 300.0) for y in range(5) for x in range(3)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, v double")
+    sizes = lambda t: {"v": t["v"], "side": np.full(t["v"].shape, float(t["v"].shape[-1] * t["v"].shape[-2]))}
+    out = P.tiled(px, ["v"], 50, sizes, ["v", "side"], deep=True).collect()
+    assert sorted((r.image_id, r.y, r.x, r.v) for r in out) == sorted(rows) and max(r.side for r in out) == 64
+
+
+def test_kernels_over_stacks_are_those_of_each_tile():
+    rng = np.random.default_rng(5)
+    v = rng.random((7, 11, 9))
+    v[2, 6:], v[3, :, 4:], v[5, 2, 2] = np.nan, np.nan, np.nan
+    ry, rx = (np.broadcast_to(c % 2, v.shape).astype(float) for c in np.indices(v.shape[1:]))
+    colour = ry + rx
+    chain = lambda v, ry, rx, colour: kernels.fill_colours(kernels.mend_fringes(kernels.clear(kernels.calm(v, ry + 1, [(0, 2), (2, 0), (0, -2), (-2, 0)], 0.05), ry, rx, colour, 0.5, 0.3, "min", 3, 0.01, 1.0), colour, 0.8, 0.6, 0.5, (0.0, 0.1), 1.0, 0.2, (0.5, 0.5)), colour)
+    whole = chain(v, ry, rx, colour)
+    for k in range(len(v)):
+        for name, plane in chain(v[k], ry[k], rx[k], colour[k]).items():
+            np.testing.assert_array_equal(whole[name][k], plane)
