@@ -30,6 +30,11 @@ def develop_key() -> Column:
     return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("none"))) for n in DEVELOP]), 256)
 
 
+def _run_of_file() -> Column:
+    """The run in which a row was written, by its file run/frames/part or run/images/part. Cheap, since every pixel asks for it."""
+    return F.substring_index(F.substring_index("_metadata.file_path", "/", -3), "/", 1)
+
+
 class DevelopedStore:
     """Developed frames under ``path``: a folder for each key, in it one for each run that added to it.
 
@@ -53,7 +58,7 @@ class DevelopedStore:
         if not runs:
             return self.spark.createDataFrame([], "image_id long, version string, run string")
         rows = self.spark.read.schema("image_id long, version string").parquet(*[f"{r}/images" for r in runs])
-        return rows.withColumn("run", F.regexp_extract("_metadata.file_path", r"([^/]+)/images/[^/]+$", 1)).groupBy("image_id", "version").agg(F.min("run").alias("run"))
+        return rows.withColumn("run", _run_of_file()).groupBy("image_id", "version").agg(F.min("run").alias("run"))
 
     def read(self, key: str, wanted: DataFrame) -> DataFrame:
         """(image_id, y, x, r, g, b) of the wanted (image_id, version)."""
@@ -63,7 +68,7 @@ class DevelopedStore:
             return self.spark.createDataFrame([], schema)
         chosen = self.images(key).join(wanted, ["image_id", "version"], "left_semi").select("image_id", "run")
         rows = self.spark.read.schema(schema).parquet(*[f"{r}/frames" for r in runs])
-        return rows.withColumn("run", F.regexp_extract("_metadata.file_path", r"([^/]+)/frames/[^/]+$", 1)).join(chosen, ["image_id", "run"], "left_semi").drop("run")
+        return rows.withColumn("run", _run_of_file()).join(chosen, ["image_id", "run"], "left_semi").drop("run")
 
     def add(self, px: DataFrame, cfa: DataFrame, key: str, **parameters) -> bool:
         """Develops the frames of ``px`` (image_id, version, y, x, v) that the key lacks; False where it lacks none."""

@@ -63,3 +63,16 @@ def test_empty_tables_and_too_many_presets(spark, tables, tmp_path, monkeypatch)
     monkeypatch.setattr(R, "MOST_PRESETS", 3)
     with pytest.raises(ValueError, match="presets"):
         R.render_presets(px, cfa, presets, store, MATRIX)
+
+
+def test_a_pixel_is_read_without_a_pattern(spark, tables, tmp_path):
+    """Every pixel asks in which run it was written: a pattern over the file's path cost more than all that is done to the pixel."""
+    px, cfa, _ = tables
+    store = R.DevelopedStore(spark, str(tmp_path / "frames" / "images"))
+    for most in (1, 3):
+        store.add(px.where(F.col("image_id") < most).withColumn("version", F.lit("")), cfa, "key")
+    wanted = px.select("image_id", F.lit("").alias("version")).distinct()
+    out = store.read("key", wanted)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and out.count() == px.count()
+    assert {r.run for r in store.images("key").collect()} == {d.name for d in (tmp_path / "frames" / "images" / "key").iterdir()}
