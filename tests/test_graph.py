@@ -196,3 +196,27 @@ def test_large_frontiers_walk_down_one_level_a_round(spark, monkeypatch):
     assert {(r.start, r.fs_node_id) for r in out} == {(s, n) for s in [1, *range(100, 160)] for n in reach(s)}
     assert len(out) == len({(r.start, r.fs_node_id) for r in out}) and next(r.depth for r in out if (r.start, r.fs_node_id) == (1, 1000)) == 1
     assert set(seen[:2]) == {1}
+
+
+NODE = "fs_node_id long, name_display string, type_mime string, uri_storage string, time_modified long, time_created long, time_deleted long"
+
+
+def small_catalogue(spark):
+    """Nodes as a union, as the given tables make them: a root, two folders of which one is dead, files held by none, one or both."""
+    folders = spark.createDataFrame([(0, "r", C.ROOT, None, 0, 0, None), (1, "a", C.FOLDER, None, 0, 0, None), (2, "b", C.FOLDER, None, 0, 0, 7)], NODE)
+    files = spark.createDataFrame([(10 + k, f"{k}", "image/png", f"u{k}", 0, 0, 7 if k == 5 else None) for k in range(8)], NODE)
+    return folders.unionByName(files), edges_of(spark, [(1, 0), (2, 0), (10, 1), (11, 2), (12, 1), (12, 2), (14, 99), (15, 2), (16, 1)])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_come_written_and_each_once(spark):
+    nodes, edges = small_catalogue(spark)
+    listing = spark.createDataFrame([("u0",), ("u0",), ("u1",), ("u3",), ("u4",)], "uri string")
+    targets = C.reconcile_targets(nodes, edges, C.missing_files(nodes, listing))
+    assert sorted(r.fs_node_id for r in targets.collect()) == [11, 12, 13, 14, 16, 17]
+    assert "Join" not in plan_of(targets)  # what reads it reads a table: no join is left to partitions of another size
+    # a listing that names a URI often is made small before it meets the files
+    assert "Aggregate" in plan_of(C.missing_files(nodes, listing))
