@@ -220,3 +220,18 @@ def test_targets_come_written_and_each_once(spark):
     assert "Join" not in plan_of(targets)  # what reads it reads a table: no join is left to partitions of another size
     # a listing that names a URI often is made small before it meets the files
     assert "Aggregate" in plan_of(C.missing_files(nodes, listing))
+
+
+def test_reconciled_edges_come_written(spark):
+    nodes, edges = small_catalogue(spark)
+    after, swept = G.reconcile(nodes, edges, spark.createDataFrame([(13,)], "fs_node_id long"), 50)
+    assert "Join" not in plan_of(swept)
+    got = {(r.fs_node_id_child, r.fs_node_id_parent): r.time_deleted for r in swept.collect()}
+    assert got == {(1, 0): None, (2, 0): None, (10, 1): None, (11, 2): 50, (12, 1): None, (12, 2): 51, (14, 99): 50, (15, 2): 51, (16, 1): None}
+    assert sorted(r.fs_node_id for r in after.where("time_deleted = 50").collect()) == [11, 13, 14, 17]
+
+
+def test_orphans_of_a_union_come_written(spark):
+    nodes, edges = small_catalogue(spark)
+    out = C.orphan_ids(nodes, edges)
+    assert sorted(r.fs_node_id for r in out.collect()) == [11, 13, 14, 17] and "Join" not in plan_of(out)
