@@ -63,19 +63,22 @@ class Snapshot:
         self.store, self.manifest = store, manifest
         self.version, self.marks = manifest["version"], manifest["marks"]
 
-    def read(self, name: str) -> DataFrame:
-        """The table: of rows with one key those of the latest change. What changed is small beside the table and meets it by key."""
+    def read(self, name: str, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The table: of rows with one key those of the latest change. What changed is small beside the table and meets it by key.
+
+        ``only`` keeps some rows by what they hold; it is asked before the table meets its changes, so that the rest moves nowhere.
+        """
         about = self.manifest["tables"][name]
         spark, key = self.store.spark, about["key"]
         schema = StructType.fromJson(about["schema"])
         parts = [spark.read.schema(schema).parquet(f"{self.store.path}/{p}") for p in about["parts"]]
         if len(parts) == 1:
-            return parts[0]
+            return only(parts[0])
         changes = parts[1].withColumn("change_", F.lit(1))
         for k, part in enumerate(parts[2:], 2):
             changes = changes.unionByName(part.withColumn("change_", F.lit(k)))
         last = changes.groupBy(*key).agg(F.max_by(F.struct(*schema.names), "change_").alias("row_")).select("row_.*")
-        return parts[0].join(last.select(*key), key, "left_anti").select(*schema.names).unionByName(last)
+        return only(parts[0]).join(last.select(*key), key, "left_anti").select(*schema.names).unionByName(only(last).select(*schema.names))
 
 
 class Snapshots:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from photolake.operators.catalogue import import_changes, link_changes, live
+from photolake.operators.catalogue import distinct_picks, import_changes, link_changes, live
 from photolake.sources.scratch import shared_dir, written
 from photolake.sources.snapshots import Snapshot, Snapshots
 
 #: The state of a query lies in RocksDB on the executors' disks and goes to the checkpoint as changes.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows about of a file that a stream reads; folders up to which the edges under them are picked out by a list sent to all tasks.
+FILE_ROWS, FEW = 50_000, 500_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -48,13 +50,29 @@ def run(stream: DataFrame, mode: str, put, checkpoint: str) -> None:
 
 
 def arrivals(events: DataFrame, name: str, by: str, parts: int = 4) -> DataFrame:
-    """The events as a file stream of about ``parts`` micro-batches in the order of ``by``, from files written one after the other."""
+    """The events as a file stream of about ``parts`` micro-batches in the order of ``by``, from parts written one after the other.
+
+    Each part has the same number of files, and so has a micro-batch: it is one part, which many tasks write and read. The
+    smallest part tells the number, so that no file stays empty and is left out. Events without a value of ``by`` come first.
+    """
     spark, path = events.sparkSession, folder(events.sparkSession, f"arrivals-{name}")
-    edges = events.stat.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        part = events if low is None else events.where(F.col(by) > low)
-        (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    edges = sorted(set(events.stat.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)))
+    after = lambda edge: F.coalesce(F.col(by) > edge, F.lit(False))
+    beyond = events.agg(F.count(F.lit(1)), *[F.count_if(after(e)) for e in edges]).first()
+    sizes = [a - b for a, b in zip(beyond, [*beyond[1:], 0], strict=True)]
+    files = max(1, min([n for n in sizes if n], default=0) // FILE_ROWS)
+    for low, high, size in zip([None, *edges], [*edges, None], sizes, strict=True):
+        if size or low is None:
+            part = events if low is None else events.where(F.col(by) > low)
+            part = part if high is None else part.where((F.col(by) <= high) | (F.col(by).isNull() if low is None else F.lit(False)))
+            (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def under(parents: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Picks out the edges under the parents (parent) where these are few; else keeps all, and a join must do it."""
+    keys = written(parents.select(F.col("parent").alias("fs_node_id_parent")).distinct(), "parents")
+    return (lambda rows: rows.join(F.broadcast(keys), "fs_node_id_parent", "left_semi").select(*rows.columns)) if keys.count() <= FEW else lambda rows: rows
 
 
 def import_batch(catalogue: Snapshots, picks: DataFrame, number: int, stream: str = "import") -> Snapshot:
@@ -62,24 +80,23 @@ def import_batch(catalogue: Snapshots, picks: DataFrame, number: int, stream: st
 
     A new URI becomes a node, a dead one is revived, and each is linked under its parent; what is there stays. The batch's
     number is committed with it, so a batch that is sent again after a failure changes nothing. A pick may come however
-    late: what is known of a URI is the table, not a state with a horizon. Only changed rows are written.
+    late: what is known of a URI is the table, not a state with a horizon. Only changed rows are written, and of the edges
+    only those under the picks' parents meet them.
     """
-    picks = written(picks, "picks")  # small beside the tables, and of a known size to the planner
+    picks = written(distinct_picks(picks), "picks")  # small beside the tables, and of a known size to the planner
+    near = under(picks)
 
     def change(now: Snapshot) -> dict[str, DataFrame]:
-        nodes, edges = now.read("nodes"), now.read("edges")
-        changed = written(import_changes(nodes, picks), "changed")
-        asked = picks.where("uri_storage IS NOT NULL").select("uri_storage", "parent").distinct()
-        known = nodes.join(changed.select("fs_node_id"), "fs_node_id", "left_anti").select("fs_node_id", "uri_storage").unionByName(changed.select("fs_node_id", "uri_storage"))
-        pairs = known.join(asked, "uri_storage").select(F.col("fs_node_id").alias("child"), "parent")
-        return {"nodes": changed, "edges": link_changes(edges, pairs)}
+        changed, placed = import_changes(now.read("nodes"), picks)
+        pairs = written(placed.join(picks, "uri_storage").select(F.col("fs_node_id").alias("child"), "parent"), "pairs")
+        return {"nodes": changed, "edges": link_changes(now.read("edges", near), pairs)}
 
     return catalogue.update(change, (stream, number))
 
 
 def listing(catalogue: Snapshot, parents: DataFrame) -> DataFrame:
     """(parent, fs_node_id, name_display, uri_storage, time_created): the live children of the given parents (parent)."""
-    links = live(catalogue.read("edges")).select(F.col("fs_node_id_parent").alias("parent"), F.col("fs_node_id_child").alias("fs_node_id"))
+    links = live(catalogue.read("edges", under(parents))).select(F.col("fs_node_id_parent").alias("parent"), F.col("fs_node_id_child").alias("fs_node_id"))
     inside = links.join(parents.select("parent").distinct(), "parent", "left_semi")
     return inside.join(live(catalogue.read("nodes")), "fs_node_id").select("parent", "fs_node_id", "name_display", "uri_storage", "time_created")
 
@@ -92,7 +109,7 @@ def import_stream(catalogue: Snapshots, picks: DataFrame, checkpoint: str, listi
     """
 
     def put(rows: DataFrame, number: int) -> None:
-        rows = written(rows, "batch")
+        rows = written(distinct_picks(rows), "batch")
         now = import_batch(catalogue, rows, number)
         if listings:
             listing(now, rows).withColumn("version", F.lit(now.version)).write.mode("overwrite").parquet(f"{listings}/batch={number}")

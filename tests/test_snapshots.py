@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from photolake.operators.catalogue import with_row_numbers
@@ -137,3 +138,43 @@ def test_row_numbers_keep_columns_of_any_name(spark):
     assert [tuple(r) for r in out.orderBy("row_number").collect()] == [(k, "p", "o", "b", "x", "y", k + 1) for k in range(500)]
     with pytest.raises(ValueError, match="row_number"):
         with_row_numbers(out, "k")
+
+
+def test_a_batch_of_arrivals_is_a_part_of_many_files(spark, monkeypatch):
+    """Parts follow each other in order, repeated and missing values among them, though each is written by several tasks."""
+    monkeypatch.setattr(jobs, "FILE_ROWS", 50)
+    ids = [k * 7 % 1000 for k in range(1000)] + [500] * 40 + [None] * 3
+    events = spark.createDataFrame([(k, f"i{k}") for k in ids], "event_id long, item string").repartition(3)
+    stream = jobs.arrivals(events, "test", "event_id")
+    rows = jobs.drained(stream, "append", "arrivals-test").collect()
+    assert sorted((r.event_id is not None, r.event_id) for r in rows) == sorted((k is not None, k) for k in ids)
+    spans = {b: [-1 if r.event_id is None else r.event_id for r in rows if r.batch == b] for b in range(4)}
+    assert all(max(spans[b]) < min(spans[b + 1]) for b in range(3)) and {r.batch for r in rows} == set(spans)
+    same = jobs.arrivals(spark.createDataFrame([(5,)] * 300 + [(6,)], "event_id long"), "test", "event_id")
+    assert sorted((r.batch, r.event_id) for r in jobs.drained(same, "append", "arrivals-same").distinct().collect()) == [(0, 5), (1, 6)]
+
+
+def test_arrivals_of_a_large_part_have_more_files_than_one(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 50)
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: written.append(path) or write(self, path))
+    jobs.arrivals(spark.range(1000).withColumnRenamed("id", "event_id"), "test", "event_id")
+    assert len(written) == 4 and len(spark.read.parquet(written[0]).inputFiles()) >= 16
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_import_meets_the_edges_under_its_parents_alone(spark, tmp_path, monkeypatch, few):
+    """Edges of other folders do not move, and a changed edge counts by what it is now; with many parents all edges meet the pairs."""
+    store = Snapshots(spark, str(tmp_path / "c"))
+    nodes = spark.createDataFrame([(1, "a", "image/png", "u1", None, 1, None), (2, "b", "image/png", "u2", None, 1, 9)], NODE)
+    store.create({"nodes": (nodes, ["fs_node_id"]), "edges": (spark.createDataFrame([(k, 1, k, None) for k in range(50)] + [(90, 2, 7, 9)], EDGE), ["id"])})
+    store.update(lambda now: {"edges": spark.createDataFrame([(3, 1, 70, None), (60, 1, 7, 8)], EDGE)})
+    monkeypatch.setattr(jobs, "FEW", few)
+    met, links = [], jobs.link_changes
+    monkeypatch.setattr(jobs, "link_changes", lambda edges, pairs: met.append(edges.count()) or links(edges, pairs))
+    picks = [("u1", "x", "image/png", 1, 3), ("u2", "y", "image/png", 2, 7), ("u1", "x", "image/png", 3, 70), ("u2", "z", "image/png", 1, 7), ("u9", "n", "image/png", 4, 7)]
+    now = jobs.import_batch(store, spark.createDataFrame(picks, PICK), 0)
+    assert met == [52 if few == 0 else 4]  # ids 7, 60 and 90 under 7, and 3, which went from 3 to 70
+    assert files(now) == {"u1": (1, "a", None), "u2": (2, "z", None), "u9": (3, "n", None)}
+    live = {(r.id, r.fs_node_id_child, r.fs_node_id_parent) for r in now.read("edges").where("time_deleted IS NULL").collect()}
+    assert live == {(k, 1, k) for k in range(50) if k != 3} | {(3, 1, 70), (10000003, 1, 3), (90, 2, 7), (30000007, 3, 7)}
