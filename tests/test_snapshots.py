@@ -178,3 +178,11 @@ def test_import_meets_the_edges_under_its_parents_alone(spark, tmp_path, monkeyp
     assert files(now) == {"u1": (1, "a", None), "u2": (2, "z", None), "u9": (3, "n", None)}
     live = {(r.id, r.fs_node_id_child, r.fs_node_id_parent) for r in now.read("edges").where("time_deleted IS NULL").collect()}
     assert live == {(k, 1, k) for k in range(50) if k != 3} | {(3, 1, 70), (10000003, 1, 3), (90, 2, 7), (30000007, 3, 7)}
+
+
+def test_listing_reads_the_edges_under_its_parents_alone(spark, store, monkeypatch):
+    now = store.update(lambda now: {"edges": spark.createDataFrame([(k, 1, k, None) for k in range(30, 60)] + [(20, 2, 0, None), (61, 0, 30, 5)], EDGE)})
+    seen, read = [], snapshots.Snapshot.read
+    monkeypatch.setattr(snapshots.Snapshot, "read", lambda self, name, *only: seen.append((name, read(self, name, *only).count())) or read(self, name, *only))
+    out = jobs.listing(now, spark.createDataFrame([(30,), (0,), (30,), (None,)], "parent long")).collect()
+    assert sorted((r.parent, r.uri_storage) for r in out) == [(0, "u1"), (30, "u1")] and dict(seen)["edges"] == 4
