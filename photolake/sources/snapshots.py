@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from photolake.sources.scratch import small_tasks
+
 #: Folders of changes that a table may have before the next commit writes it anew.
 MOST_CHANGES = 16
 
@@ -142,7 +144,8 @@ class Snapshots:
 
     def _written(self, name: str, df: DataFrame) -> str:
         part = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
+        with small_tasks(self.spark):
+            df.write.parquet(f"{self.path}/{part}")
         return part
 
     def _commit(self, manifest: dict) -> Snapshot:

@@ -186,6 +186,24 @@ def test_writes_of_many_rows_are_cut_small(spark, monkeypatch):
     assert [spark.conf.get(n, None) for n in names] == before
 
 
+def test_a_task_of_a_write_reads_a_small_split(spark, tmp_path, monkeypatch):
+    """A split is SPLIT_BYTES at most, however few cores there are, or what the session allows if that is less."""
+    for k in range(12):
+        spark.range(1000).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    table = lambda: spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get(scratch.SPLIT)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        monkeypatch.setattr(scratch, "SPLIT_BYTES", 9 << 20)  # a small file counts as 4 MB and more, so three are a split
+        assert len(written(table(), "split").inputFiles()) == 4
+        spark.conf.set(scratch.SPLIT, "5m")
+        assert len(written(table(), "split").inputFiles()) == 6 and spark.conf.get(scratch.SPLIT) == "5m"
+    finally:
+        spark.conf.set(scratch.SPLIT, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert [scratch._bytes(t) for t in ("134217728b", "128MB", "16m", "1g", "7")] == [1 << 27, 1 << 27, 1 << 24, 1 << 30, 7]
+
+
 def test_large_frontiers_walk_down_one_level_a_round(spark, monkeypatch):
     """A folder that all starts hang below: least depths by two ways, with a cycle."""
     seen = walked_levels(monkeypatch)
