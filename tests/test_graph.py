@@ -186,6 +186,33 @@ def test_writes_of_many_rows_are_cut_small(spark, monkeypatch):
     assert [spark.conf.get(n, None) for n in names] == before
 
 
+def cuts(spark, monkeypatch):
+    """(name, number of partitions asked for) of each table that is written, the number None where it is the session's."""
+    seen, write = [], DataFrameWriter.parquet
+    cut = lambda: (lambda n: n and int(n))(spark.conf.get(scratch.INITIAL, None))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append((path.rsplit("/", 1)[1][:-33], cut())) or write(self, path))
+    return seen
+
+
+def filed(df, path):
+    """The rows from a file, as the given tables come."""
+    df.coalesce(1).write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_a_walk_is_cut_by_the_rows_that_it_reads(spark, tmp_path, monkeypatch):
+    """From the first write on, when no table of its own tells their number: else the session's few partitions grow with the tables."""
+    pairs = [(100 + k, 1 + k % 7) for k in range(300)]
+    edges, starts = filed(edges_of(spark, pairs), tmp_path / "e"), filed(spark.range(1, 400).withColumnRenamed("id", "fs_node_id"), tmp_path / "s")
+    bytes_read = sum(os.path.getsize(f.removeprefix("file://")) for f in edges.inputFiles())
+    assert scratch.rows_read(edges, edges) == bytes_read // scratch.ROW_BYTES and scratch.rows_read(spark.range(3)) == 0
+    monkeypatch.setattr(scratch, "PART_ROWS", 10)
+    monkeypatch.setattr(G, "HOT", 50)
+    seen = cuts(spark, monkeypatch)
+    G.closure(edges, starts, up=False)
+    assert {name for name, _ in seen} == {"edges", "closure", "crowd"} and all(n and n >= 20 for _, n in seen), seen
+
+
 def test_a_task_of_a_write_reads_a_small_split(spark, tmp_path, monkeypatch):
     """A split is SPLIT_BYTES at most, however few cores there are, or what the session allows if that is less."""
     for k in range(12):
