@@ -280,3 +280,13 @@ def test_orphans_of_a_union_come_written(spark):
     nodes, edges = small_catalogue(spark)
     out = C.orphan_ids(nodes, edges)
     assert sorted(r.fs_node_id for r in out.collect()) == [11, 13, 14, 17] and "Join" not in plan_of(out)
+
+
+def test_a_reconciliation_is_cut_by_the_rows_that_it_reads(spark, tmp_path, monkeypatch):
+    """Each write from the first on, that of the edges, which come as a union made distinct."""
+    nodes, edges = small_catalogue(spark)
+    nodes, edges = filed(nodes, tmp_path / "n"), filed(edges, tmp_path / "e").distinct()
+    monkeypatch.setattr(scratch, "PART_ROWS", 1)
+    seen = cuts(spark, monkeypatch)
+    G.reconcile(nodes, edges, spark.createDataFrame([(13,)], "fs_node_id long"), 50)
+    assert {"edges", "alive", "orphans", "targets", "cascade", "reconciled"} == {name for name, _ in seen} and all(n and n > 4 for _, n in seen), seen
