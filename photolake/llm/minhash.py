@@ -238,13 +238,19 @@ def lowest(docs: DataFrame, key: str, text: str, idf: tuple[np.ndarray, np.ndarr
     return docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInArrow(freeing(cut), "key_ long, lowest binary")
 
 
+def _each_once(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, each once, with the sums of their weights: two shingles of a text may share the 32 bits that are kept."""
+    first = np.flatnonzero(np.concatenate([[True], low["hash"][1:] != low["hash"][:-1]])) if len(low) else np.zeros(0, np.int64)
+    return (low["hash"], low["weight"]) if len(first) == len(low) else (low["hash"][first], np.add.reduceat(low["weight"], first))
+
+
 def low_estimate(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
     """Weighted Jaccard similarity over the shingles under the lower of the two last hashes, and if these are all."""
     whole = len(x) < LOWEST and len(y) < LOWEST
     if not whole:
         last = min(t["hash"][-1] for t in (x, y) if len(t) == LOWEST)
         x, y = x[: np.searchsorted(x["hash"], last, "right")], y[: np.searchsorted(y["hash"], last, "right")]
-    return weighted_jaccard((x["hash"], x["weight"]), (y["hash"], y["weight"])), whole
+    return weighted_jaccard(_each_once(x), _each_once(y)), whole
 
 
 def low_passes(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -292,7 +298,10 @@ def _led(members: DataFrame, width: int, similarity: float) -> DataFrame:
                     out.append((bucket, one, *found, None, None))
                 if leaders.n > n and size > dealt_from:
                     out.append((bucket, one, None, None, total, sketches[i].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "one", "other", "like", "total", "sketch"]).astype({"bucket": "int64", "one": "int64", "other": "Int64"})
+            led = pd.DataFrame(out, columns=["bucket", "one", "other", "like", "total", "sketch"]).astype({"bucket": "int64", "one": "int64"})
+            # from the numbers themselves: beside nulls the frame holds them as floats, which do not tell keys over 2**53 apart
+            led["other"] = pd.array([x[2] for x in out], dtype="Int64")
+            yield led
 
     dealt_from = LEAD_BLOCK
     # each bucket has an order of its own, so that members meet other leaders in each band
@@ -414,7 +423,7 @@ def other_candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, doc
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two sorted shingle arrays with weights."""
+    """Of two sorted shingle arrays with weights; no shingle is twice in one of them."""
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     least = np.minimum(x[1][i], y[1][j]).sum() if len(both) else 0.0
     total = x[1].sum() + y[1].sum() - least

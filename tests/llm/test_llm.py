@@ -235,6 +235,39 @@ def test_near_duplicates_of_a_hot_bucket_equal_brute_force(spark, monkeypatch, b
     assert np.mean([got[i] == expected[i] for i in range(len(texts))]) >= 0.99
 
 
+def test_near_duplicates_with_shingles_that_share_32_bits(spark, monkeypatch):
+    """Two runs of five words whose shingles differ but for their upper 32 bits, in texts whose classes meet in buckets."""
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    runs = [" ".join(f"r{i}w{k}" for k in range(5)) for i in (42047, 371754)]
+    shingle = minhash.Weights((np.zeros(0, np.int64), np.zeros(0))).of(minhash.pa.array(runs))[0]
+    assert shingle[0] != shingle[1] and shingle[0] >> np.uint64(32) == shingle[1] >> np.uint64(32)
+    texts = []
+    for s in range(6):
+        stream = [f"w{s}x{k}" for k in range(300)]
+        for o in (0, 25):
+            texts += [" ".join([*runs, *stream[o : o + 200]]), " ".join([*runs, *stream[o : o + 199], f"e{o}"])]
+    rows = minhash.near_duplicates(docs(spark, texts)).collect()
+    expected, links = brute_force_classes(texts)
+    assert links == 12 and {r.doc_id: r.class_id for r in rows} == dict(enumerate(expected))
+
+
+def test_low_estimate_counts_shingles_that_share_32_bits():
+    low = lambda *hashes: np.array([(h, 1.0) for h in hashes], minhash._LOW)
+    assert minhash.low_estimate(low(5, 7, 7, 9), low(5, 7, 7, 9)) == (1.0, True)
+    assert minhash.low_estimate(low(5, 7, 7, 9), low(1, 2)) == minhash.low_estimate(low(1, 2), low(5, 7, 7, 9)) == (0.0, True)
+    assert minhash.low_estimate(low(5, 7, 7, 9), low(5, 7, 9)) == (0.75, True)
+    assert minhash.low_estimate(low(), low()) == (0.0, True)
+
+
+def test_near_duplicates_of_a_dealt_bucket_with_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    monkeypatch.setattr(minhash, "LEAD_BLOCK", 20)
+    first, words = 2**63 - 100, [f"t{k}" for k in range(300)]
+    texts = [" ".join([*words[:i], f"c{i}", *words[i + 1 :]]) for i in range(0, 300, 4)]
+    table = spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(table).collect()} == {(first + i, first) for i in range(len(texts))}
+
+
 def test_near_duplicates_of_the_table_equal_brute_force(spark):
     """Every pair of different texts that share a shingle, by brute force, against the classes of the whole table."""
     table = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
