@@ -339,6 +339,29 @@ def test_classifiers(spark, run, label, accuracy):
     assert run(empty(spark), labels).count() == 0
 
 
+def test_quality_learns_from_all_pairs():
+    """The weights are where the loss over every pair of a good and a bad text is least."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 12))
+    label = (x[:, 0] - x[:, 1] + rng.normal(size=900) > -1).astype(int)
+    r = quality.fit_pairs(x, label)
+    z = np.clip((x - r.mean) / r.scale, -8, 8)
+    d = (z[label == 1][:, None] - z[label != 1]).reshape(-1, 12)
+    gradient = -d.T @ (1 / (1 + np.exp(d @ r.weights))) / len(d) + 1e-3 * r.weights
+    assert len(d) > 100_000 and np.abs(gradient).max() < 1e-6
+
+
+@pytest.mark.parametrize("good, bad, spread", [(300, 60, 0.0), (300, 60, 3.0), (1, 1, 5.0), (5, 2000, 2.0), (2000, 3, 1.0), (200, 60, 40.0)])
+def test_sums_over_all_pairs(good, bad, spread):
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(good + bad, 12))
+    u, at = z @ rng.normal(size=12) * spread, rng.permutation(good + bad)
+    d, q = z[at[:good]][:, None] - z[at[good:]], 1 / (1 + np.exp(np.clip(u[at[:good]][:, None] - u[at[good:]], -500, 500)))
+    gradient, curve = quality.pair_sums(u, z, at[:good], at[good:])
+    for got, expected in ((gradient, -np.einsum("ij,ijk->k", q, d)), (curve, np.einsum("ij,ijk,ijl->kl", q * (1 - q), d, d))):
+        assert np.abs(got - expected).max() <= 1e-9 * np.abs(expected).max()
+
+
 def test_features_of_odd_texts():
     import pyarrow as pa
 
