@@ -235,9 +235,8 @@ def test_near_duplicates_of_a_hot_bucket_equal_brute_force(spark, monkeypatch, b
     assert np.mean([got[i] == expected[i] for i in range(len(texts))]) >= 0.99
 
 
-def test_near_duplicates_with_shingles_that_share_32_bits(spark, monkeypatch):
-    """Two runs of five words whose shingles differ but for their upper 32 bits, in texts whose classes meet in buckets."""
-    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+def texts_that_share_32_bits():
+    """Texts whose classes meet in buckets, with two runs of five words whose shingles differ but for their upper 32 bits."""
     runs = [" ".join(f"r{i}w{k}" for k in range(5)) for i in (42047, 371754)]
     shingle = minhash.Weights((np.zeros(0, np.int64), np.zeros(0))).of(minhash.pa.array(runs))[0]
     assert shingle[0] != shingle[1] and shingle[0] >> np.uint64(32) == shingle[1] >> np.uint64(32)
@@ -246,11 +245,26 @@ def test_near_duplicates_with_shingles_that_share_32_bits(spark, monkeypatch):
         stream = [f"w{s}x{k}" for k in range(300)]
         for o in (0, 25):
             texts += [" ".join([*runs, *stream[o : o + 200]]), " ".join([*runs, *stream[o : o + 199], f"e{o}"])]
+    return texts
+
+
+def test_near_duplicates_with_shingles_that_share_32_bits(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    texts = texts_that_share_32_bits()
     rows = minhash.near_duplicates(docs(spark, texts)).collect()
     expected, links = brute_force_classes(texts)
     assert links == 12 and {r.doc_id: r.class_id for r in rows} == dict(enumerate(expected))
 
 
+def test_pipeline_drops_near_duplicates_with_shingles_that_share_32_bits(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "idf_table", lambda docs, text: (np.zeros(0, np.int64), np.zeros(0)))
+    texts = texts_that_share_32_bits()
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(i, texts[i]) for i in range(0, len(texts), 2)]
+
+
 def test_low_estimate_counts_shingles_that_share_32_bits():
     low = lambda *hashes: np.array([(h, 1.0) for h in hashes], minhash._LOW)
     assert minhash.low_estimate(low(5, 7, 7, 9), low(5, 7, 7, 9)) == (1.0, True)
